@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, quality, toxicity
+from .labelled import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,33 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup)}
+def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: fold(c, 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", held)
+    out = docs.select("doc_id", held(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_toxicity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: fold(c, 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", held)
+    out = docs.select("doc_id", held(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    made = chat.format_conversations(turns.unionByName(probe))
+    read = made.select("conv_id", chat.parse_formatted(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    digest = F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["body"], F.lit("\n"))), ""), 256)
+    return read.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_compression, op4_exact_dedup, op9_toxicity_ngrams, op10_chat_format)}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -45,4 +72,12 @@ SELECT doc_id, size, source_size, target, CAST(least(floor(k * rate + start) - f
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
+    "op10_chat_format": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + length(text) + 2 * 0 + (length(replace(replace(role || text, '\', '\\'), '<', '\l')) - length(role || text)) + 5 + 8 AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
