@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, html_text, jaccard, media, mixing, quality, substring_dedup, toxicity
+from . import chat, exact_dedup, html_text, jaccard, media, mixing, pieces, quality, substring_dedup, toxicity
 from .labelled import fold
 
 
@@ -40,6 +40,12 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op6_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pieces.encode(docs).withColumn("decoded", pieces.decode(F.col("tokens")))
+    return out.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.transform("tokens", lambda t: t.cast("string"))), 256).alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -66,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_compression, op3_passage_dedup, op4_exact_dedup, op5_html_blocks, op7_media_chunks, op8_jaccard_join, op9_toxicity_ngrams, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_compression, op3_passage_dedup, op4_exact_dedup, op5_html_blocks, op6_piece_scan, op7_media_chunks, op8_jaccard_join, op9_toxicity_ngrams, op10_chat_format)}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""
