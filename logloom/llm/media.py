@@ -1,17 +1,20 @@
 """Operator 7: media columns held as content-defined chunks.
 
 A payload (a text's UTF-8 bytes, padded with spaces to a positive multiple of 192) is held as the
-8-bit samples of a WAV file. The file is a header, kept in the manifest, and an ordered list of
-chunks of the payload. A rolling gear hash cuts the payload where its top bits are 0, so equal
-passages give equal chunks wherever they stand; a chunk's digest is its SHA-256.
+8-bit samples of a WAV file. The file is a header and an ordered list of chunks of the payload. A
+rolling gear hash cuts the payload where its top bits are 0, so equal passages give equal chunks
+wherever they stand; a chunk's digest is its SHA-256.
 
-    manifests(docs)      one row per distinct content: header, sizes, digests in order
-    chunk_store(docs)    one row per distinct chunk: digest and zstandard-compressed bytes
-    reconstruct(m, s)    joins chunks to manifests by digest, puts each file together in order,
-                         checks every chunk's and the payload's digest, and reads features back
+    chunk_lists(docs)    a row per row: the digests of its chunks, in order
+    shared_digests(l)    digests that occur more than once, by aggregation and joins on digests alone
+    media_rows(docs)     a row per row, the media column: header and chunk list; a chunk that occurs
+                         nowhere else has its (compressed) bytes in the list, others only the digest
+    chunk_store(docs)    one row per chunk that occurs more than once
+    play(media, store)   one row per distinct content: joins stored chunks to the lists that refer to them,
+                         puts each file together in order, checks every digest and reads the features back
 
-Contents, not rows, are keyed, so a group of copies is one manifest and one set of chunks. Chunks meet
-in a map-side combined aggregation by digest and in one join; only one content's own chunks meet in one row.
+Bytes of chunks without a twin, most of them, are written once and never shuffled. Whether a chunk may have
+a twin is looked up in a bitmap of fixed size; a false hit only moves a chunk to the store.
 
 Defined cases: null text counts as empty and pads to 192 spaces; rows repeat their content's values; a
 damaged or missing chunk raises an error; an empty table gives an empty result.
@@ -28,14 +31,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SLICE_BYTES, U64, mixed, ship, slices, staged, text_column
+from .common import FILTER_BITS, SLICE_BYTES, U64, mixed, ship, slices, staged
 
 UNIT = 192
 #: Bytes of a chunk: at least, in the mean after that (a power of two), at most.
 LEAST, MEAN, MOST = 256, 1024, 8192
 RATE = 8000
 #: Texts of which the store's compression dictionary is made, at most.
-DICTIONARY_ROWS, DICTIONARY_BYTES = 1000, 112_640
+DICTIONARY_ROWS, DICTIONARY_BYTES = 1000, 262_144
+LEVEL = 9
 
 GEAR = mixed(np.arange(1, 257, dtype=U64))
 
@@ -96,33 +100,46 @@ def features(samples: bytes) -> str:
     return f"mean={int(x.sum()) * 1000 // n};energy={int((x * x).sum()) * 1000 // n};crossings={crossings};min={x.min() + 128};max={x.max() + 128};distinct={len(np.unique(x))}"
 
 
-MANIFEST = "content binary, n_bytes bigint, payload_bytes bigint, payload_digest binary, header binary, digests array<binary>"
-
-
 def content_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def manifests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per distinct content, in MANIFEST's columns."""
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{text_col}`").alias("text"))
+
+
+def _payloads(batches):
+    """(text bytes, payload, its chunks) of all rows, in runs of about SLICE_BYTES."""
+    for batch in batches:
+        for _, column in slices(batch, "text", SLICE_BYTES):
+            yield [(d, p, chunked(p)) for t in column.to_pylist() for d in (t.encode(),) for p in (padded(d),)]
+
+
+def chunk_lists(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (digests): the digests of the chunks of each row's payload."""
 
     def rows(batches):
-        for batch in batches:
-            for _, column in slices(batch, "text", SLICE_BYTES):
-                out = {}
-                for text in column.to_pylist():
-                    data = text.encode()
-                    key = hashlib.sha256(data).digest()
-                    if key not in out:
-                        payload = padded(data)
-                        out[key] = (key, len(data), len(payload), hashlib.sha256(payload).digest(), header(len(payload)), [hashlib.sha256(c).digest() for c in chunked(payload)])
-                names = ["content", "n_bytes", "payload_bytes", "payload_digest", "header", "digests"]
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-                columns = list(zip(*out.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    made = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(rows, MANIFEST)
-    return made.groupBy("content").agg(*[F.first(c).alias(c) for c in ("n_bytes", "payload_bytes", "payload_digest", "header", "digests")])
+        for run in _payloads(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([[hashlib.sha256(c).digest() for c in chunks] for _, _, chunks in run], pa.list_(pa.binary()))], ["digests"])
+
+    return _texts(docs, text_col).mapInArrow(rows, "digests array<binary>")
+
+
+def shared_digests(lists: DataFrame) -> bytes:
+    """A bitmap of 2**FILTER_BITS bits (8 MB, whatever the input) of the digests that occur more than once."""
+    counts = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("c")).where("c > 1")
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
+    bit = F.shiftright(head, 32 - FILTER_BITS) + 1
+    rows = counts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
+    out = bytearray(1 << FILTER_BITS - 3)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(out)
+
+
+def may_be_shared(bitmap: bytes, digest: bytes) -> bool:
+    bit = int.from_bytes(digest[:4], "big") >> 32 - FILTER_BITS
+    return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
 
 
 def store_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
@@ -133,71 +150,102 @@ def store_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
 
 def _packer(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     made = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
-    return zstandard.ZstdCompressor(level=3, dict_data=made, write_checksum=False), zstandard.ZstdDecompressor(dict_data=made)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=False), zstandard.ZstdDecompressor(dict_data=made)
+
+
+MEDIA = "content binary, n_bytes bigint, payload_bytes bigint, payload_digest binary, header binary, chunks array<struct<digest:binary,packed:binary>>"
+CHUNK_KIND = pa.list_(pa.struct([("digest", pa.binary()), ("packed", pa.binary())]))
+
+
+def media_rows(docs: DataFrame, bitmap, dictionary: bytes = b"", text_col: str = "text") -> DataFrame:
+    """The media column of every row, in MEDIA's columns; packed is null where the chunk is in the store. bitmap: a broadcast."""
+
+    def rows(batches):
+        pack, _ = _packer(dictionary)
+        for run in _payloads(batches):
+            cols: list[list] = [[] for _ in range(6)]
+            for data, payload, chunks in run:
+                digests = [hashlib.sha256(c).digest() for c in chunks]
+                listed = [{"digest": d, "packed": None if may_be_shared(bitmap.value, d) else pack.compress(c)} for d, c in zip(digests, chunks, strict=True)]
+                for col, value in zip(cols, (hashlib.sha256(data).digest(), len(data), len(payload), hashlib.sha256(payload).digest(), header(len(payload)), listed), strict=True):
+                    col.append(value)
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), CHUNK_KIND]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in MEDIA.split(", ")])
+
+    return _texts(docs, text_col).mapInArrow(rows, MEDIA)
 
 
-def chunk_store(docs: DataFrame, dictionary: bytes = b"", text_col: str = "text") -> DataFrame:
-    """One row per distinct chunk: digest, packed (compressed with the dictionary)."""
+def chunk_store(docs: DataFrame, bitmap, dictionary: bytes = b"", text_col: str = "text") -> DataFrame:
+    """One row (digest, packed) per distinct chunk that may be shared. bitmap: a broadcast."""
 
     def rows(batches):
         pack, _ = _packer(dictionary)
-        seen: dict[bytes, None] = {}
-        for batch in batches:
-            for _, column in slices(batch, "text", SLICE_BYTES):
-                out = {}
-                for text in column.to_pylist():
-                    for chunk in chunked(padded(text.encode())):
-                        key = hashlib.sha256(chunk).digest()
-                        if key not in seen:
-                            out[key] = pack.compress(chunk)
-                            seen[key] = None
-                if len(seen) > 200_000:  # only saves shuffled bytes: the aggregation below finds every repeat
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "packed"])
-
-    made = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(rows, "digest binary, packed binary")
-    return made.groupBy("digest").agg(F.first("packed").alias("packed"))
-
-
-def reconstruct(made: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """Every manifest's file put together from the store: MANIFEST's columns but the digests, and payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature, all read from the stored bytes; samples is the payload read back."""
-    entries = made.select("content", F.posexplode("digests").alias("seq", "digest"))
-    parts = entries.join(store, "digest", "left").groupBy("content").agg(F.collect_list(F.struct("seq", "digest", "packed")).alias("parts"))
-    files = made.drop("digests").join(parts, "content")
-    kinds = pa.struct([("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-
-    def read(head: bytes, parts: list[dict], digest: bytes, unpack) -> dict:
-        chunks = []
-        for p in sorted(parts, key=lambda p: p["seq"]):
-            if p["packed"] is None:
-                raise ValueError(f"the store has no chunk {p['digest'].hex()}")
-            chunk = unpack.decompress(p["packed"])
-            if hashlib.sha256(chunk).digest() != p["digest"]:
-                raise ValueError(f"chunk {p['digest'].hex()} is damaged")
-            chunks.append(chunk)
-        file = head + b"".join(chunks)
-        samples = read_samples(file)
-        found = hashlib.sha256(samples).digest()
-        if found != digest:
-            raise ValueError(f"payload {digest.hex()} is damaged")
-        return {"payload_sha256": found.hex(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": features(samples)}
-
-    @F.arrow_udf("payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    def played(head: pa.Array, parts: pa.Array, digest: pa.Array) -> pa.Array:
+        seen: set[bytes] = set()
+        for run in _payloads(batches):
+            out = {}
+            for _, _, chunks in run:
+                for chunk in chunks:
+                    key = hashlib.sha256(chunk).digest()
+                    if key not in seen and may_be_shared(bitmap.value, key):
+                        out[key] = pack.compress(chunk)
+                        seen.add(key)
+            if len(seen) > 200_000:  # only saves shuffled bytes: the aggregation finds every repeat
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "packed"])
+
+    return _texts(docs, text_col).mapInArrow(rows, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+
+
+PLAYED = "payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+PLAYED_KIND = pa.struct([("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def read_back(head: bytes, chunks: list[dict], digest: bytes, unpack) -> dict:
+    """The file of a header and chunks in order, checked, and what is read from it."""
+    parts = []
+    for c in chunks:
+        if c["packed"] is None:
+            raise ValueError(f"the store has no chunk {c['digest'].hex()}")
+        part = unpack.decompress(c["packed"])
+        if hashlib.sha256(part).digest() != c["digest"]:
+            raise ValueError(f"chunk {c['digest'].hex()} is damaged")
+        parts.append(part)
+    file = head + b"".join(parts)
+    samples = read_samples(file)
+    found = hashlib.sha256(samples).digest()
+    if found != digest:
+        raise ValueError(f"payload {digest.hex()} is damaged")
+    return {"payload_sha256": found.hex(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": features(samples)}
+
+
+def play(media: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """One row per distinct content: content, n_bytes, payload_bytes and PLAYED, all read from the stored bytes."""
+
+    @F.arrow_udf(PLAYED)
+    def played(head: pa.Array, chunks: pa.Array, digest: pa.Array) -> pa.Array:
         _, unpack = _packer(dictionary)
-        rows = [read(head[i].as_py(), parts[i].as_py(), digest[i].as_py(), unpack) for i in range(len(head))]
-        return pa.array(rows, kinds)
+        return pa.array([read_back(head[i].as_py(), chunks[i].as_py(), digest[i].as_py(), unpack) for i in range(len(head))], PLAYED_KIND)
 
-    return files.select("content", "n_bytes", "payload_bytes", played("header", "parts", "payload_digest").alias("m")).select("content", "n_bytes", "payload_bytes", "m.*")
+    refers = F.exists("chunks", lambda c: c["packed"].isNull())
+    # A row without references is the only one of its content: a twin would share its chunks.
+    whole = media.where(~refers)
+    first = media.where(refers).groupBy("content").agg(*[F.first(c).alias(c) for c in ("n_bytes", "payload_bytes", "payload_digest", "header", "chunks")])
+    entries = first.select("content", F.posexplode("chunks").alias("seq", "c")).select("content", "seq", F.col("c.digest").alias("digest"), F.col("c.packed").alias("own"))
+    inline = entries.where("own is not null").select("content", "seq", "digest", F.col("own").alias("packed"))
+    stored = entries.where("own is null").drop("own").join(store, "digest", "left").select("content", "seq", "digest", "packed")
+    parts = inline.unionByName(stored).groupBy("content").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "packed"))).alias("parts"))
+    joined = first.drop("chunks").join(parts, "content").withColumn("chunks", F.transform("parts", lambda p: F.struct(p["digest"].alias("digest"), p["packed"].alias("packed"))))
+    rows = whole.unionByName(joined.select(*whole.columns))
+    return rows.select("content", "n_bytes", "payload_bytes", played("header", "chunks", "payload_digest").alias("m")).select("content", "n_bytes", "payload_bytes", "m.*")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as media, reads the stored bytes back, and returns per row the id and the values read."""
     dictionary = store_dictionary(docs, text_col)
-    made = staged(manifests(docs, text_col), "media-manifests")
-    store = staged(chunk_store(docs, dictionary, text_col), "media-chunks", "uncompressed")
-    values = reconstruct(made, store, dictionary)
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared_digests(chunk_lists(docs, text_col)))
+    media = staged(media_rows(docs, bitmap, dictionary, text_col), "media-rows", "uncompressed")
+    store = staged(chunk_store(docs, bitmap, dictionary, text_col), "media-chunks", "uncompressed")
+    values = play(media, store, dictionary)
     keys = docs.select(F.col(f"`{id_col}`"), content_key(F.col(f"`{text_col}`")).alias("content"))
     return keys.join(values, "content").drop("content")
 
