@@ -187,6 +187,18 @@ def decided(block: Block) -> bool | None:
     return n > 600 and density < 0.05
 
 
+def nearest(found: list[Block], speaks) -> list[tuple[int | None, int | None]]:
+    """For each block the nearest decided ones before and after it, among those that speak."""
+    out: list[list[int | None]] = [[None, None] for _ in found]
+    for side, order in ((0, range(len(found))), (1, range(len(found) - 1, -1, -1))):
+        last = None
+        for i in order:
+            out[i][side] = last
+            if found[i].label is not None and speaks(found[i]):
+                last = i
+    return [(a, b) for a, b in out]
+
+
 def extract(page: str | None) -> str:
     """The main text: kept blocks in page order, joined by newlines."""
     if not page:
@@ -195,29 +207,19 @@ def extract(page: str | None) -> str:
     inside = any(b.article and not b.out for b in found)
     for b in found:
         b.label = False if b.out or inside and not b.article else decided(b)
+    everywhere, within = nearest(found, lambda b: True), nearest(found, lambda b: b.article and not b.out)
     labels = [b.label for b in found]
-    last, before = None, []
-    for i, label in enumerate(labels):
-        before.append(last)
-        last = (i, label) if label is not None else last
-    following, after = None, [None] * len(labels)
-    for i in range(len(labels) - 1, -1, -1):
-        after[i] = following
-        following = (i, labels[i]) if labels[i] is not None else following
     for i, b in enumerate(found):
-        if b.label is None:
-            left, right = before[i], after[i]
-            if b.article:  # only neighbours in the article speak
-                left = left if left and found[left[0]].article else None
-                right = right if right and found[right[0]].article else None
-            if b.heading and right:  # a heading belongs to what follows
-                b.label = right[1]
-            elif left and right and left[1] != right[1] and i - left[0] != right[0] - i:
-                b.label = (left if i - left[0] < right[0] - i else right)[1]
-            elif left and right:
-                b.label = left[1] and right[1]
-            else:
-                b.label = left[1] if left else right[1] if right else b.article
+        if b.label is not None:
+            continue
+        left, right = (within if b.article else everywhere)[i]  # in an article only its own text speaks
+        if b.heading and right is not None:  # a heading belongs to what follows
+            b.label = labels[right]
+        elif left is not None and right is not None:
+            nearer = left if i - left < right - i else right
+            b.label = labels[left] and labels[right] if i - left == right - i else labels[nearer]
+        else:
+            b.label = labels[left] if left is not None else labels[right] if right is not None else b.article
     return "\n".join(b.text for b in found if b.label)
 
 
