@@ -1,7 +1,7 @@
 """Operator 9: toxicity by a linear classifier over character n-grams scaled by log-count ratios.
 
 Features say whether an n-gram (of lowered UTF-8 bytes, hashed) occurs in a text. Naive Bayes
-log-count ratios r are counted over labelled texts; n-grams whose ratio is significant are kept,
+log-count ratios r are counted over labelled texts; n-grams whose shares differ significantly are kept,
 each present one has the value r, and logistic regression with L2 penalty weighs them.
 
 Presence, not frequency, makes a text's length matter little: a long text with a few toxic words
@@ -26,7 +26,7 @@ LENGTHS = (4, 5, 6)
 TABLE_BITS = 20
 #: Labelled texts of each class at most, and features at most.
 ROWS_PER_CLASS, FEATURES = 2500, 16_384
-#: A feature's log ratio must be so many of its standard errors from 0.
+#: A feature's shares in the two classes must differ by so many standard errors.
 SIGNIFICANT = 4.0
 
 
@@ -92,8 +92,8 @@ def fit_texts(toxic: list[str], clean: list[str], steps: int = 200) -> ToxicMode
     c1, c0 = (counted(a) for a in arrays)
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     ratio = np.log(p1 / p0)
-    error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    sure = np.abs(ratio) / error
+    pooled = (c1 + c0 + 1) / (n1 + n0 + 2)
+    sure = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
     slots = np.flatnonzero((sure >= SIGNIFICANT) & (c1 + c0 >= 4))
     slots = np.sort(slots[np.argsort(-sure[slots], kind="stable")[:FEATURES]])
     if not len(slots):
