@@ -113,3 +113,28 @@ def subscription(xml: str) -> dict:
     for e in root.iter():
         e.text, e.tail = (e.text or "").strip() or None, (e.tail or "").strip() or None
     return {"description": description, "queries": texts + inner, "canonical": " ".join(ET.tostring(root, encoding="unicode").split())}
+
+
+def for_each(events: DataFrame, handler) -> int:
+    """Calls handler(row) for each event, partition by partition on the driver, until it returns False; the number of calls."""
+    calls = 0
+    for row in events.toLocalIterator():
+        calls += 1
+        if handler(row) is False:
+            break
+    return calls
+
+
+def named_rows(dimension: DataFrame, name: str = "name", patterns: list[str] = (), contains: str | None = None, enabled_only: bool = False) -> DataFrame:
+    """Rows of a configuration table (channel policies, subscriptions, providers, classic logs) by name patterns or text, in order without case."""
+    out = dimension
+    if patterns:
+        match = F.lit(False)
+        for p in patterns:
+            match = match | wildcard(F.col(name), p)
+        out = out.where(match)
+    if contains:
+        out = out.where(F.contains(F.upper(name), F.lit(contains.upper())))
+    if enabled_only:
+        out = out.where("enabled")
+    return out.orderBy(F.upper(name))
