@@ -16,12 +16,24 @@ from ..functions.parse import account, joined, raw
 UNKNOWN = "(unknown)"
 
 
+def _place() -> Column:
+    """Time and record id as one number: unlike a struct it is a fixed-width aggregation buffer, so counting hashes and never sorts."""
+    micros = F.coalesce(F.unix_micros(F.col("time_created").cast("timestamp")), F.lit(0)).cast("decimal(18,0)")
+    return (micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.coalesce("record_id", F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _folded(rows: DataFrame, *groups: str) -> DataFrame:
+    """Counts of (groups, key, place) rows: first per exact key in a hash aggregation, then the few casings of each key together."""
+    exact = rows.groupBy(*groups, "key").agg(F.min("place").alias("place"), F.count("*").alias("count"))
+    folded = exact.groupBy(*groups, F.upper("key").alias("folded")).agg(F.min_by("key", "place").alias("key"), F.sum("count").alias("count"))
+    return folded.select(*groups, "key", "count")
+
+
 def count_text(events: DataFrame, key: Column, unknown: bool = False) -> DataFrame:
     """Rows (key, count): keys trimmed and equal without case, shown as first seen; blank ones skipped, or counted as (unknown)."""
     shown = F.trim(F.coalesce(key, F.lit("")))
     shown = F.when(shown == "", F.lit(UNKNOWN)).otherwise(shown) if unknown else shown
-    rows = events.select(shown.alias("key"), F.struct("time_created", "record_id").alias("seq")).where("key != ''")
-    return rows.groupBy(F.upper("key").alias("folded")).agg(F.min_by("key", "seq").alias("key"), F.count("*").alias("count")).select("key", "count")
+    return _folded(events.select(shown.alias("key"), _place().alias("place")).where("key != ''"))
 
 
 def count_number(events: DataFrame, key: str) -> DataFrame:
@@ -30,8 +42,9 @@ def count_number(events: DataFrame, key: str) -> DataFrame:
 
 def count_levels(events: DataFrame, name: Column) -> DataFrame:
     """Rows (level, level_name, count); null levels count as 0, the first name seen stays."""
-    rows = events.select(F.coalesce("level", F.lit(0)).alias("level"), name.alias("name"), F.struct("time_created", "record_id").alias("seq"))
-    return rows.groupBy("level").agg(F.min_by("name", "seq").alias("level_name"), F.count("*").alias("count"))
+    rows = events.select(F.coalesce("level", F.lit(0)).alias("level"), name.alias("key"), _place().alias("place"))
+    exact = rows.groupBy("level", "key").agg(F.min("place").alias("place"), F.count("*").alias("count"))
+    return exact.groupBy("level").agg(F.min_by("key", "place").alias("level_name"), F.sum("count").alias("count"))
 
 
 def top(counts: DataFrame, k: int, text: bool = True) -> DataFrame:
@@ -48,8 +61,8 @@ def summary(events: DataFrame, matched: Column | None = None) -> DataFrame:
 def fan_out(events: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """Rows (dim, key, count) of all dimensions from one unpivot; keys as in count_text."""
     cells = F.array(*[F.struct(F.lit(d).alias("dim"), F.trim(F.coalesce(c.cast("string"), F.lit(""))).alias("key")) for d, c in dimensions.items()])
-    rows = events.select(F.struct("time_created", "record_id").alias("seq"), F.explode(cells).alias("c")).select("seq", "c.*").where("key != ''")
-    return rows.groupBy("dim", F.upper("key").alias("folded")).agg(F.min_by("key", "seq").alias("key"), F.count("*").alias("count")).select("dim", "key", "count")
+    rows = events.select(_place().alias("place"), F.explode(cells).alias("c")).select("place", "c.*").where("key != ''")
+    return _folded(rows, "dim")
 
 
 def fan_out_top(counts: DataFrame, k: int) -> DataFrame:
