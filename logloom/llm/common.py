@@ -132,16 +132,19 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 # ------------------------------------------------------------------------------ text hashing
 
-_TABLES: list[np.ndarray] = []
+def worker_cache() -> dict:
+    """What a process keeps between tasks; in sys, as a shipped module's globals travel with its functions."""
+    return sys.__dict__.setdefault("_llm_cache", {})
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _TABLES or len(_TABLES[0]) < n:
+    tables = worker_cache().get("powers")
+    if tables is None or len(tables[0]) < n:
         size = max(n, SLICE_BYTES + (1 << 18))
         up, down = np.full(size, BASE, U64), np.full(size, INVERSE, U64)
         up[0] = down[0] = 1
-        _TABLES[:] = [np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)]
-    return _TABLES[0][:n], _TABLES[1][:n]
+        tables = worker_cache()["powers"] = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    return tables[0][:n], tables[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
