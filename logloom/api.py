@@ -81,9 +81,9 @@ class EventLog:
         top = reports.fan_out_top(reports.security_counts(rows, report), request.top)
         return top, reports.security_samples(rows, report, request.sample_size) if request.include_samples else None
 
-    def timeline(self, request: requests.TimelineRequest, spec: FilterSpec | None = None) -> timeline.Timeline:
+    def timeline(self, request: requests.TimelineRequest, spec: FilterSpec | None = None, payload: bool = True) -> timeline.Timeline:
         checked = requests.timeline_request(request, set(rules.RULES) | rules.WITHOUT_RULE)
-        rows = rules.unified(self.events.where(filters.to_column(spec or FilterSpec())), list(checked.named_events))
+        rows = rules.unified(self.events.where(filters.to_column(spec or FilterSpec())), list(checked.named_events), with_payload=payload)
         return timeline.build(rows, checked.keys, checked.max_events, checked.max_groups, checked.bucket_minutes, include_uncorrelated=checked.include_uncorrelated)
 
     def enrich(self, dimension: DataFrame, on: Column) -> DataFrame:

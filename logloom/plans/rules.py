@@ -61,16 +61,16 @@ def source_column(text: str) -> Column:
     return lookup(data, text)
 
 
-def columns_of(notation: str) -> dict[str, Column]:
-    out: dict[str, Column] = {}
+def makers_of(notation: str) -> dict[str, Callable[[], Column]]:
+    """Name -> maker of a column; making one is some dozens of calls to the engine, so callers make what they select."""
+    out: dict[str, Callable[[], Column]] = {}
     for part in notation.split(";"):
         part = part.strip()
         if part in HEADS:
-            name = {"C": "Computer", "A": "Action", "W": "Who", "T": "When"}[part]
-            out[name] = HEADS[part]()
+            out[{"C": "Computer", "A": "Action", "W": "Who", "T": "When"}[part]] = HEADS[part]
         elif part:
             name, _, text = part.partition("=")
-            out[name] = source_column(text or name)
+            out[name] = lambda text=text or name: source_column(text)
     return out
 
 
@@ -89,8 +89,11 @@ class RuleSpec:
         base = (F.col("log_name") == self.channel) & ids
         return base & F.coalesce(self.predicate(), F.lit(False)) if self.predicate else base
 
+    def makers(self) -> dict[str, Callable[[], Column]]:
+        return makers_of(self.notation) | self.extra
+
     def columns(self) -> dict[str, Column]:
-        return columns_of(self.notation) | {k: f() for k, f in self.extra.items()}
+        return {k: f() for k, f in self.makers().items()}
 
 
 RULES: dict[str, RuleSpec] = {}
@@ -301,13 +304,21 @@ def project(events: DataFrame, name: str) -> DataFrame:
     return events.where(rule.guard()).select(*[c.alias(k) for k, c in (head | rule.columns()).items()])
 
 
-def unified(events: DataFrame, names: list[str], keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Classified events in one frame: the heads, who / object_affected / computer / action, and a payload map."""
+def unified(events: DataFrame, names: list[str], keep: tuple[str, ...] | None = None, with_payload: bool = True) -> DataFrame:
+    """Classified events in one frame: the heads, who / object_affected / computer / action, and a payload map (of the kept keys)."""
     from ..operators.timeline import payload
+    from .profiles import snake_case
 
     specs = _specs(names)
     rows = classify(events, names)
-    pick = lambda options: F.coalesce(*[F.when(F.col("named_event") == r.name, next((c for k, c in r.columns().items() if k in options), F.lit(None))).cast("string") for r in specs])
-    maps = F.coalesce(*[F.when(F.col("named_event") == r.name, payload({k: c if k not in ("PolicyChanges", "Statistics", "GroupPolicies") else F.to_json(c) for k, c in r.columns().items()}, keep)) for r in specs])
-    affected = ("ObjectAffected", "UserAffected", "ComputerAffected", "GroupName", "AccountName", "GpoName", "User")
-    return rows.select("named_event", F.col("id"), F.col("id").alias("event_id"), "record_id", "time_created", "log_name", "computer_name", pick(("Who",)).alias("who"), pick(affected).alias("object_affected"), F.col("computer_name").alias("computer"), pick(("Action",)).alias("action"), maps.alias("payload"))
+
+    def pick(*options: str) -> Column:
+        made = [F.when(F.col("named_event") == r.name, r.makers()[k]().cast("string")) for r in specs for k in [next((o for o in r.makers() if o in options), None)] if k]
+        return F.coalesce(*made, F.lit(None).cast("string"))
+
+    def fields(rule: RuleSpec) -> dict[str, Column]:
+        wanted = {k: f for k, f in rule.makers().items() if keep is None or snake_case(k) in keep}
+        return {k: F.to_json(f()) if k in ("PolicyChanges", "Statistics", "GroupPolicies") else f() for k, f in wanted.items()}
+
+    out = rows.select("named_event", F.col("id"), F.col("id").alias("event_id"), "record_id", "time_created", "log_name", "computer_name", pick("Who").alias("who"), pick("ObjectAffected", "UserAffected", "ComputerAffected", "GroupName", "AccountName", "GpoName", "User").alias("object_affected"), F.col("computer_name").alias("computer"), pick("Action").alias("action"), *([F.coalesce(*[F.when(F.col("named_event") == r.name, payload(fields(r), keep)) for r in specs]).alias("payload")] if with_payload and specs else []))
+    return out

@@ -462,7 +462,7 @@ _CAPPED = _DISPATCH + f", t AS (SELECT *, substr(sha256({_TOKEN}), 1, 16) AS cor
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = data(spark, sf_dir).withColumns({"message": F.lit(""), "message_subject": F.lit("")})
-    return rules.unified(rows, NAMED)
+    return rules.unified(rows, NAMED, with_payload=False)
 
 
 @query(_DISPATCH + " SELECT record_id, named_event, who, object_affected, computer FROM named")
