@@ -20,16 +20,16 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, ship, staged, text_column
+from .common import fresh, ship, staged, text_column, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a document is cut, and of a chunk.
 GIANT, CHUNK = 65_536, 8_192
 SPACE = "▁"
-_LOADED: dict[bytes, PieceModel] = {}
 
 
 class PieceModel:
@@ -47,14 +47,14 @@ class PieceModel:
         self.bytes = {b: self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.unknown = self.library.unk_id()
         self.longest = max(map(len, self.ids), default=1)
-        self.valid = lru_cache(1 << 20)(self._valid)
+        self.valid = lru_cache(1 << 17)(self._valid)
 
     @staticmethod
     def of(proto: bytes) -> PieceModel:
-        key = hashlib.sha256(proto).digest()
-        if key not in _LOADED:
-            _LOADED[key] = PieceModel(proto)
-        return _LOADED[key]
+        kept, key = worker_cache(), hashlib.sha256(proto).digest()
+        if key not in kept:
+            kept[key] = PieceModel(proto)
+        return kept[key]
 
     def merged(self, text: str) -> list[str]:
         """The model's own rule on a short string: join the best-scored pair of neighbours, leftmost first."""
@@ -253,7 +253,7 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK) -> DataFrame
     weighed = chunks.repartition(tasks, "key", "i").mapInArrow(weigh, "key string, i int, pairs array<int>")
     # One row per document and chunk: a few pairs of small numbers each.
     states = weighed.groupBy("key").agg(F.collect_list(F.struct("i", "pairs")).alias("parts")).mapInArrow(join_states, "key string, i int, entry int, out int")
-    traced = chunks.join(states, ["key", "i"]).mapInArrow(trace, "key string, i int, ids array<int>")
+    traced = chunks.join(states, ["key", "i"]).repartition(tasks, "key", "i").mapInArrow(trace, "key string, i int, ids array<int>")
     ordered = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     return ordered.select("key", F.flatten(F.col("parts.ids")).alias("tokens"))
 
@@ -264,8 +264,13 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", mod
 
     @F.arrow_udf("array<int>")
     def piece_ids(column: pa.Array) -> pa.Array:
-        model = PieceModel.of(proto)
-        return pa.array([model.library.encode(t) for t in text_column(column).to_pylist()], pa.list_(pa.int32()))
+        library = PieceModel.of(proto).library
+        column, flat, ends = text_column(column), [np.zeros(0, np.int32)], [0]
+        for start in range(0, len(column), 64):  # a batch's tokens are held as 4 bytes each, a few texts' as lists
+            for ids in library.encode(column.slice(start, 64).to_pylist(), num_threads=1):
+                flat.append(np.array(ids, np.int32))
+                ends.append(ends[-1] + len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     (key,) = fresh(docs, "key_")
@@ -282,8 +287,10 @@ def decode(tokens: Column, model_path: str = MODEL) -> Column:
 
     @F.arrow_udf("string")
     def piece_text(column: pa.Array) -> pa.Array:
-        model = PieceModel.of(proto)
-        return pa.array([model.library.decode(t) if t else "" for t in column.to_pylist()], pa.string())
+        library = PieceModel.of(proto).library
+        column = column.fill_null([]) if column.null_count else column
+        flat, ends = np.asarray(column.flatten()), column.offsets.to_numpy() - column.offsets[0].as_py()
+        return pa.array([library.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
     return piece_text(tokens)
 
