@@ -145,7 +145,6 @@ def test_jaccard_against_brute_force(spark, monkeypatch, frequent, combine, tile
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "COMBINE", combine)
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     r = random.Random(9)
     texts = []
     passage = prose(50, 40).split()
