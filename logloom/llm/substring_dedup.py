@@ -37,7 +37,7 @@ from .common import U64, bitmap_of, buffers, running, ship, slices, spans_hash,
 
 WIDTH, GRAM = 50, 20
 #: Text bytes of a bucket, about (of all text; only shared stretches arrive).
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 LAST = (1 << 63) - 1
 
 
@@ -94,7 +94,7 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
 
     def entries(batches):
         for batch in batches:
-            for part, column in slices(batch, "text", 2 << 20):
+            for part, column in slices(batch, "text"):
                 data, offsets = buffers(column)
                 place, name, _, _ = samples(data, offsets, width, gram)
                 text = np.searchsorted(offsets, place, "right") - 1
@@ -158,7 +158,7 @@ def marked_suffixes(texts: DataFrame, width: int, gram: int, buckets: int) -> Da
     def stretches(batches):
         for batch in batches:
             lists = batch.schema.get_field_index("lists")
-            for part, column in slices(batch, "text", 2 << 20):
+            for part, column in slices(batch, "text"):
                 data, offsets = buffers(column)
                 place, name, first, count = samples(data, offsets, width, gram)
                 text = np.searchsorted(offsets, place, "right") - 1
