@@ -25,7 +25,7 @@ from .labelled import sample
 LENGTHS = (4, 5, 6)
 TABLE_BITS = 20
 #: Labelled texts of each class at most, and features at most.
-ROWS_PER_CLASS, FEATURES = 2500, 16_384
+ROWS_PER_CLASS, FEATURES = 2500, 4096
 #: A feature's shares in the two classes must differ by so many standard errors.
 SIGNIFICANT = 4.0
 
@@ -43,7 +43,7 @@ def grams(texts: pa.Array):
     data, offsets = buffers(texts)
     start = 0
     while start < len(texts):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES // 4, "right")) - 1)
         lo, hi = offsets[start], offsets[end]
         own, cuts = lowered(data[lo:hi]), offsets[start : end + 1] - lo
         sums = running(own)
@@ -103,8 +103,8 @@ def fit_texts(toxic: list[str], clean: list[str], steps: int = 200) -> ToxicMode
     row, col, base = [], [], 0
     for a in arrays:
         for start, _, r, f in present(a, table):
-            row.append(r + start + base)
-            col.append(f)
+            row.append((r + start + base).astype(np.int32))
+            col.append(f.astype(np.int32))
         base += len(a)
     row, col = np.concatenate(row), np.concatenate(col)
     r = ratio[slots]
