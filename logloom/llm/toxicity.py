@@ -1,8 +1,9 @@
 """Operator 9: toxicity by a linear classifier over character n-grams scaled by log-count ratios.
 
 Features say whether an n-gram (of lowered UTF-8 bytes, hashed) occurs in a text. Naive Bayes
-log-count ratios r are counted over labelled texts; n-grams whose shares differ significantly are kept,
-each present one has the value r, and logistic regression with L2 penalty weighs them.
+log-count ratios r are counted over labelled texts; all n-grams whose shares differ significantly are kept
+(2**TABLE_BITS slots at most), each present one has the value r, and logistic regression with L2 penalty
+weighs them, in blocks of texts that hold 4 bytes for each (text, feature) pair.
 
 Presence, not frequency, makes a text's length matter little: a long text with a few toxic words
 scores like a short one. Texts are scored whole, in slices of bounded size, in an Arrow UDF.
@@ -24,8 +25,8 @@ from .labelled import sample
 
 LENGTHS = (4, 5, 6)
 TABLE_BITS = 20
-#: Labelled texts of each class at most, and features at most.
-ROWS_PER_CLASS, FEATURES = 2500, 4096
+#: Labelled texts of each class at most.
+ROWS_PER_CLASS = 2500
 #: A feature's shares in the two classes must differ by so many standard errors.
 SIGNIFICANT = 4.0
 
@@ -77,6 +78,22 @@ def counted(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def by_text(blocks: list[tuple], values: np.ndarray, texts: int) -> np.ndarray:
+    """The sum of its features' values for each text; blocks: (first text, pairs of each text, feature of each pair)."""
+    out = np.zeros(texts)
+    for first, pairs, feature in blocks:
+        out[first : first + len(pairs)] = np.bincount(np.repeat(np.arange(len(pairs)), pairs), values[feature], len(pairs))
+    return out
+
+
+def by_feature(blocks: list[tuple], values: np.ndarray, features: int) -> np.ndarray:
+    """The sum of its texts' values for each feature."""
+    out = np.zeros(features)
+    for first, pairs, feature in blocks:
+        out += np.bincount(feature, np.repeat(values[first : first + len(pairs)], pairs), features)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=None, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> ToxicModel:
     """Fits on at most rows_per_class labelled texts of each class; held_out(id) marks ids to leave out."""
     texts = sample(docs, labels, label, rows_per_class, held_out, id_col, text_col)
@@ -95,30 +112,26 @@ def fit_texts(toxic: list[str], clean: list[str], steps: int = 200) -> ToxicMode
     pooled = (c1 + c0 + 1) / (n1 + n0 + 2)
     sure = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
     slots = np.flatnonzero((sure >= SIGNIFICANT) & (c1 + c0 >= 4))
-    slots = np.sort(slots[np.argsort(-sure[slots], kind="stable")[:FEATURES]])
     if not len(slots):
         return empty
     table = np.full(1 << TABLE_BITS, -1, np.int64)
     table[slots] = np.arange(len(slots))
-    row, col, base = [], [], 0
+    blocks, base = [], 0
     for a in arrays:
-        for start, _, r, f in present(a, table):
-            row.append((r + start + base).astype(np.int32))
-            col.append(f.astype(np.int32))
+        for start, n, row, feature in present(a, table):
+            blocks.append((start + base, np.bincount(row, minlength=n), feature.astype(np.int32)))
         base += len(a)
-    row, col = np.concatenate(row), np.concatenate(col)
     r = ratio[slots]
     y = np.r_[np.ones(n1), np.zeros(n0)]
-    value = r[col]
     # Nesterov's gradient steps; the step is bounded by the largest row and the mean activity.
-    norm = np.bincount(row, value**2, n1 + n0)
+    norm = by_text(blocks, r**2, n1 + n0)
     w, b = np.zeros(len(slots)), 0.0
     vw, vb = w.copy(), b
     rate, ridge = 4 / (norm.mean() + 1), 1e-4
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * vw[col], n1 + n0) + vb, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(by_text(blocks, r * vw, n1 + n0) + vb, -30, 30)))
         g = (p - y) / len(y)
-        nw, nb = vw - rate * (np.bincount(col, value * g[row], len(slots)) + ridge * vw), vb - rate * g.sum()
+        nw, nb = vw - rate * (r * by_feature(blocks, g, len(slots)) + ridge * vw), vb - rate * g.sum()
         vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
     return ToxicModel(slots, w * r, float(b), n1 / (n1 + n0))

@@ -254,6 +254,18 @@ def test_toxicity():
     assert list(toxicity.score_texts(pa.array(["x"], pa.large_string()), toxicity.fit_texts([], []))) == [0.0]
 
 
+def test_toxicity_keeps_every_significant_feature():
+    r = random.Random(8)
+    passage = "".join(r.choices("bcdfghjklmnpqrstvwxz", k=1700))
+    clean = [prose(i, 60) for i in range(200)]
+    toxic = [f"{prose(1000 + i, 40)} {passage}" for i in range(130)] + [f"{prose(2000 + i, 40)} blighter {prose(3000 + i, 20)}" for i in range(70)]
+    model = toxicity.fit_texts(toxic, clean)
+    rare = next(toxicity.grams(pa.array(["blighter"], pa.large_string())))[3]
+    assert len(model.slots) > 5000 and set(rare.tolist()) <= set(model.slots.tolist())
+    s = toxicity.score_texts(pa.array([f"{prose(5, 40)} {w} {prose(6, 20)}" for w in ("blighter", "neighbour")], pa.large_string()), model)
+    assert s[0] > 0.5 > s[1]
+
+
 def test_toxicity_awkward(awkward, empty):
     model = toxicity.fit_texts(["bad word here"] * 5, ["fine words here"] * 5)
     assert awkward.withColumn("s", toxicity.score(F.col("text"), model)).where("s between 0 and 1").count() == len(awkward_rows())
