@@ -6,7 +6,7 @@ one's documents. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.llm import exact_dedup, jaccard, mixing, pieces, quality
 from logloom.llm.common import bitmap_of, staged, with_hit
@@ -27,12 +27,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of documents linked by 75 % of their 5-word shingles the one with the least id stays; all unlinked ones stay."""
-    linked = jaccard.link_documents(docs).where("id != component_id")
-    lost = staged(linked.select(F.col("id").alias("lost_id")).distinct(), "pipeline-near")
-    near = with_hit(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("key"), "doc_id"), bitmap_of(lost.select(F.xxhash64("lost_id").alias("key")), "key"), "key", "hit")
+    """Operator 8: of rows linked by 75 % of their 5-word shingles one with the least id stays; all unlinked ones stay.
+
+    Rows are told apart by id and set of shingles, so an id that repeats with other texts, or is null, loses only its
+    linked rows. A null id loses against any other; of several rows with the least id one stays.
+    """
+    rows = jaccard.linked_sets(docs).where("least is not null")
+    cells = rows.groupBy(F.col("id").alias("lost_id"), "f1", "f2").agg(F.count("*").alias("c"), F.first(F.col("least") & F.col("id").eqNullSafe(F.col("component_id"))).alias("spare"))
+    lost = staged(cells.where("c > 1 or not spare").drop("c"), "pipeline-near")
+    bitmap = bitmap_of(lost.select(F.xxhash64("lost_id").alias("key")), "key")
+    near = with_hit(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("key")), bitmap, "key", "hit")
     clear = near.where("not hit").select("row.*")
-    return clear.unionByName(near.where("hit").join(lost, F.col("doc_id") == F.col("lost_id"), "left_anti").select("row.*"))
+    doubtful = near.where("hit").select("row", F.col("row.doc_id").alias("own"), jaccard.set_fingerprint(F.col("row.text")).alias("set"))
+    same = F.col("own").eqNullSafe(F.col("lost_id")) & (F.col("set.f1") == F.col("f1")) & (F.col("set.f2") == F.col("f2"))
+    left = doubtful.join(lost, same, "left").where("spare is null or spare")
+    # Of repeats of the least id and its set one stays.
+    turn = F.row_number().over(Window.partitionBy("own", "f1", "f2").orderBy(F.to_json("row")))
+    first = left.where("spare").withColumn("turn", turn).where("turn = 1")
+    return clear.unionByName(left.where("spare is null").select("row.*")).unionByName(first.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

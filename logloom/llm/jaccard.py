@@ -30,9 +30,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, bitmap_of, buffers, lowered, mixed, running, ship, slices, spans_hash, staged, with_hit, words
+from .common import U64, bitmap_of, buffers, lowered, mixed, running, ship, slices, spans_hash, staged, text_column, with_hit, words
 from .components import components
 
 #: Extra share of a set in the sampled prefix: more entries, fewer classes left.
@@ -393,8 +393,27 @@ def block_links(profiles: DataFrame, blocks: DataFrame, percent: int) -> DataFra
     return tiles.groupBy("component", "a", "b").applyInArrow(links, "u bigint, v bigint")
 
 
+def set_fingerprint(text: Column, k: int = 5) -> Column:
+    """(f1, f2) of a text column's sets, as an Arrow UDF."""
+
+    @F.arrow_udf("struct<f1: bigint, f2: bigint>")
+    def fingerprint(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text_column(column)], ["text"])
+        parts = [fingerprints(*shingle_sets(part, k)[:2]) for _, part in slices(batch, "text")]
+        f1, f2 = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ((), ())))
+        return pa.StructArray.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["f1", "f2"])
+
+    return fingerprint(text)
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs: the id (named id), n_shingles, component_id (the least id reachable by links)."""
+    return linked_sets(docs, id_col, text_col, k, percent).select("id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of docs: id, n, the set's f1 and f2, component_id, and least: null where no other row is linked,
+    else whether the set is the one of its component that holds the component's least id (one set, if several do)."""
     sketches = staged(sketch(docs, id_col, text_col, k), "jaccard-sketch")
     classes = sketches.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = staged(classes, "jaccard-classes")
@@ -409,12 +428,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     profiles = staged(token_profiles(docs, alive, id_col, text_col, k, max(16, math.ceil(tokens / BUCKET_ENTRIES))), "jaccard-profiles")
     blocks = components(key_edges(profiles, percent, max(16, math.ceil(tokens / BUCKET_ENTRIES))), "jaccard-blocks")
     linked = components(block_links(profiles, blocks, percent), "jaccard-links")
-    named = linked.join(classes.select(F.col("f1").alias("node"), "id"), "node")
-    least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    moved = linked.join(least_id, "component").select(F.col("node").alias("f1"), F.col("component_id").alias("linked_id"))
-    final = staged(classes.where("copies > 1").select("f1", "f2", "n", "id").unionByName(classes.where("copies = 1").join(moved, "f1", "left_semi").select("f1", "f2", "n", "id")).join(moved, "f1", "left").select("f1", "f2", "n", F.when(F.col("linked_id").isNull(), F.col("id")).otherwise(F.col("linked_id")).alias("component_id")), "jaccard-classes")
+    named = linked.join(classes.select(F.col("f1").alias("node"), "f2", "id"), "node")
+    least_set = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "f2")).alias("m"))
+    moved = linked.join(least_set, "component").select(F.col("node").alias("f1"), F.col("m.id").alias("linked_id"), F.col("m.node").alias("m1"), F.col("m.f2").alias("m2"))
+    shown = [F.when(F.col("linked_id").isNull(), F.col("id")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce((F.col("f1") == F.col("m1")) & (F.col("f2") == F.col("m2")), F.lit(True)).alias("least")]
+    final = staged(classes.where("copies > 1").select("f1", "f2", "n", "id").unionByName(classes.where("copies = 1").join(moved, "f1", "left_semi").select("f1", "f2", "n", "id")).join(moved, "f1", "left").select("f1", "f2", "n", *shown), "jaccard-classes")
     out = sketches.join(final, ["f1", "f2", "n"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "n", "f1", "f2", F.coalesce("component_id", "id").alias("component_id"), "least")
 
 
 ship(__name__)

@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 from logloom.llm import mixing, pieces, quality
-from test_operators import brute_components, shingles
+from test_operators import brute_components, prose, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,21 @@ def test_stages(spark):
     assert done.columns == [*columns, "tokens"]
     assert all(r.tokens == library.encode(r.text) for r in done.collect())
     assert done.count() == sum(want.values()) == corpus_pipeline.run(spark, SF).count()
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    def pair(seed):
+        text = prose(seed, 120)
+        return text, text.replace(text.split()[60], "changed", 1)
+
+    (a, a2), (b, b2), (c, c2), (d, d2), (e, e2) = (pair(i) for i in range(5))
+    other, single, copy = prose(10, 60), prose(11, 60), prose(12, 60)
+    groups = [[(3, a), (5, a2)], [(3, b), (6, b2)], [(7, c), (7, c2)], [(None, d), (None, d2)], [(9, e), (None, e2)], [(8, copy), (8, copy.upper())]]
+    clean = [(5, other), (None, single), (5, " "), (None, ""), (6, "one")]
+    rows = [r for g in groups for r in g] + clean
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    got = [(r.doc_id, r.text) for r in near.collect()]
+    assert near.columns == docs.columns and len(got) == len(groups) + len(clean) and set(clean) <= set(got)
+    assert [sum(r in got for r in g) for g in groups] == [1] * len(groups)
+    assert {(3, a), (3, b), (9, e)} <= set(got)
