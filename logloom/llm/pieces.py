@@ -2,8 +2,8 @@
 
 Documents up to GIANT characters are encoded by the library. Longer ones are cut into chunks at any
 character. A boundary's state is the token that covers or ends at the cut. A chunk yields a transfer
-matrix from entry to exit states over the max-plus semiring; matrices combine associatively, which gives
-each boundary's state, and every chunk then traces its own tokens back from it.
+matrix from entry to exit states over the max-plus semiring; matrices combine associatively (combined()),
+but the boundaries' states are found by one task a document, which walks its matrices forward and back, and every chunk then traces its own tokens back from it.
 
 The public model is a byte-pair model: its tokens come from merges in order of score and are not the
 path with the greatest sum of scores, so piece scores can't be the weights. What is additive is validity:
