@@ -31,12 +31,14 @@ def ship(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, an own one."""
+    """The folder in spark.checkpoint.dir; where that is unset and there is one machine, as in tests, an own one."""
     jsc = spark.sparkContext._jsc
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and jsc.sc().getCheckpointDir().isDefined():
         found = jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='staged')}"
         spark.sparkContext.setCheckpointDir(found)
         found = jsc.sc().getCheckpointDir().get()
@@ -97,6 +99,21 @@ def with_hit(df: DataFrame, bitmap: DataFrame, column: str, flag: str) -> DataFr
     return joined.withColumn(flag, hit).drop(b, m, bit)
 
 
+def bitmap_bytes(bits: DataFrame) -> bytes:
+    """The bitmap of a bigint column `bit` (1 to 2**FILTER_BITS) on the driver: 8 MB, whatever the input."""
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
+    out = bytearray(1 << FILTER_BITS - 3)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(out)
+
+
+def in_bitmap(bitmap: bytes, bits: np.ndarray) -> np.ndarray:
+    """Whether each bit (from 0) of bitmap_bytes() is set."""
+    bits = bits.astype(np.int64)
+    return (np.frombuffer(bitmap, np.uint8)[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # ------------------------------------------------------------------------- Arrow text batches
 
 

@@ -1,27 +1,26 @@
-"""Operator 3: removal of passages that an earlier document has, by blockwise suffix sorting over a cover sample.
+"""Operator 3: removal of passages that an earlier document has, by blockwise suffix sorting with a difference cover.
 
 A byte goes if it lies in a WIDTH-byte string that also starts in a document with a smaller id. Strings
 are judged on the input texts; matches stay within documents.
 
-The cover sample: of the grams of GRAM bytes in a window of WIDTH bytes the one with the least hash is sampled.
-Equal windows sample the same offset, which is what a difference cover is for: any two equal strings have
-a sampled position in common. A cover by content keeps about 6 % of the positions, the arithmetic one modulo
-31 keeps 19 % (README has the figures), so the sample is by content.
-
-1. Sample names (hashes of the grams) meet in hash buckets; those of one text only are dropped. What
-   is left are short stretches of text around shared samples.
-2. Suffix buckets: each stretch goes to the bucket of its sample's name. A bucket is a task of
-   bounded size that sorts all its suffixes by their first WIDTH bytes (as 64-bit names) and the document's
-   id, and marks each one that does not come from the least id of its name.
-3. Marked suffixes are united per document into removed runs.
+1. Suffixes are dealt to buckets by content: by the gram of GRAM bytes with the least hash within a suffix's first WIDTH bytes.
+   Suffixes with equal prefixes fall into the same bucket, neighbours mostly into the same one too, so they travel as
+   stretches of text. A first scan drops suffixes whose gram no other text has: they equal no other.
+2. A bucket is sorted by itself, in memory of bounded size (sorted_suffixes): the positions of a difference cover modulo
+   PERIOD are ranked once, by doubling their depth; suffixes are sorted to a short depth of 16 bytes, and longer ties are
+   resolved by the ranks at the distance where both suffixes have a cover position. No hash decides: all WIDTH bytes are compared.
+3. Every run of suffixes that does not come from the least id of its string is one row of marks, and a
+   document's marks are united into removed runs. Rows grow with the repeated text and no faster.
 
 Equal texts are handled as one: their later copies lose all bytes (if there are WIDTH), and only the
-earliest is sampled and sorted. A scan's slice ships equal stretches once, from its least id, so a
-passage that a third of all documents share is one entry a slice. Texts are shuffled only where they hold a
-shared sample (second scan) or a marked suffix (third scan).
+earliest is sampled and sorted. A scan's slice ships equal stretches once, from its least id; of a gram that two texts of a
+slice have, one entry is shipped. Grams that more than HOT slices have are hot: their suffixes are dealt one by one, by a hash of
+their first WIDTH bytes, so the many different surroundings of a common passage don't meet in one task. Texts are
+shuffled only where they hold a shared gram (second scan) or a marked suffix (third scan).
 
 Defined cases: null text counts as empty; a null id comes after all others; rows that repeat an id do not
-remove each other; texts under WIDTH bytes lose nothing; an empty table gives an empty result. Ids are bigint.
+remove each other; texts under WIDTH bytes lose nothing; an empty table gives an empty result. Ids are bigint;
+columns of any other name are left unread.
 """
 
 from __future__ import annotations
@@ -31,13 +30,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bitmap_of, buffers, running, ship, slices, spans_hash, staged, with_hit
+from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, in_bitmap, running, ship, slices, spans_hash, staged, with_hit
 
 WIDTH, GRAM = 50, 20
-#: Text bytes of a bucket, about (of all text; only shared stretches arrive).
-BUCKET_BYTES = 8_000_000
+#: Text bytes of a task's buckets, about (of all text; only shared stretches arrive), and of one bucket.
+BUCKET_BYTES, SORT_BYTES = 8_000_000, 1 << 21
+#: A difference cover: for any two residues some distance leads both into it.
+PERIOD, COVER = 7, (0, 1, 3)
+#: A gram in more slices than this is hot.
+HOT = 256
 LAST = (1 << 63) - 1
 
 
@@ -86,74 +90,176 @@ def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
     return ((name * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % buckets
 
 
-NAMES = "bucket bigint, refs binary, names binary, places binary, known binary"
+NAMES = "bucket bigint, kind int, refs binary, names binary, places binary"
+NAME_COLUMNS = ["bucket", "kind", "refs", "names", "places"]
+
+
+def _cut(starts: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """Each column's runs as binary values."""
+    runs = [(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [pa.array([c[a:b].tobytes() for a, b in runs], pa.binary()) for c in columns]
 
 
 def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (ref, places) from docs (ref, text): places, packed uint32, of each text's samples that another text has."""
+    """Rows (ref, places) from docs (ref, text): places, packed uint32, of each text's samples that another text has;
+    and rows (null, names): packed names of hot grams."""
 
     def entries(batches):
         for batch in batches:
             for part, column in slices(batch, "text"):
                 data, offsets = buffers(column)
                 place, name, _, _ = samples(data, offsets, width, gram)
+                if not len(place):
+                    continue
                 text = np.searchsorted(offsets, place, "right") - 1
                 ref = np.asarray(part.column(0)).astype(np.int64)[text]
                 place = (place - offsets[text]).astype(np.uint32)
                 order = np.lexsort((place, ref, name))
                 name, ref, place = name[order], ref[order], place[order]
-                once = np.concatenate([[True], (name[1:] != name[:-1]) | (ref[1:] != ref[:-1]) | (place[1:] != place[:-1])]) if len(name) else np.zeros(0, bool)
+                once = np.concatenate([[True], (name[1:] != name[:-1]) | (ref[1:] != ref[:-1]) | (place[1:] != place[:-1])])
                 name, ref, place = name[once], ref[once], place[once]  # copies of a text in this slice
                 at, size = _runs(name)
-                # Names that two texts of this slice have are known to be shared: only the first entry goes on as such.
-                known = np.repeat(np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at), size) if len(at) else np.zeros(0, bool)
-                bucket = _bucket(name, buckets)
+                known = np.repeat(np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at), size)
+                if known.any():  # two texts of this slice have it: the places are shared, whoever else has them
+                    order = np.lexsort((place[known], ref[known]))
+                    r, p = ref[known][order], place[known][order]
+                    a, n = _runs(r)
+                    none = pa.nulls(len(a), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(r[a] % buckets), pa.array(np.ones(len(a), np.int32)), *_cut(np.arange(len(a)), np.ones(len(a), np.int64), r[a]), none, *_cut(a, n, p)], NAME_COLUMNS)
+                first = np.zeros(len(name), bool)
+                first[at] = True
+                stay = np.flatnonzero(~known | first)  # the others learn of a known one from its first entry
+                bucket = _bucket(name[stay], buckets)
                 order = np.argsort(bucket, kind="stable")
-                bucket, name, ref, place, known = bucket[order], name[order], ref[order], place[order], known[order]
-                at, size = _runs(bucket)
-                cut = [(a, a + s) for a, s in zip(at.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (ref, name, place)), pa.array([np.packbits(known[a:b]).tobytes() for a, b in cut], pa.binary())],
-                    ["bucket", "refs", "names", "places", "known"],
-                )
+                stay, bucket = stay[order], bucket[order]
+                a, n = _runs(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a], pa.int64()), pa.array(np.zeros(len(a), np.int32)), *_cut(a, n, ref[stay], name[stay], np.where(known[stay], np.uint32(0xFFFFFFFF), place[stay]))], NAME_COLUMNS)
 
     def shared(table: pa.Table) -> pa.Table:
-        ref, name, place, known = ([] for _ in range(4))
-        for r, n, p, k in zip(*(table[c].to_pylist() for c in ("refs", "names", "places", "known")), strict=True):
-            ref.append(np.frombuffer(r, np.int64))
-            name.append(np.frombuffer(n, U64))
-            place.append(np.frombuffer(p, np.uint32))
-            known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=len(ref[-1])).astype(bool))
-        ref, name, place, known = (np.concatenate(x) for x in (ref, name, place, known))
-        order = np.argsort(name, kind="stable")
-        ref, name, place, known = ref[order], name[order], place[order], known[order]
-        at, size = _runs(name)
-        both = np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at)
-        keep = np.repeat(both, size) | known
-        ref, place = ref[keep], place[keep]
-        order = np.lexsort((place, ref))
-        ref, place = ref[order], place[order]
-        at, size = _runs(ref)
-        return pa.table([pa.array(ref[at], pa.int64()), pa.array([place[a : a + s].tobytes() for a, s in zip(at.tolist(), size.tolist(), strict=True)], pa.binary())], ["ref", "places"])
+        direct = table.filter(pa.compute.equal(table["kind"], 1))
+        out = [pa.table([pa.array([int.from_bytes(r, "little", signed=True) for r in direct["refs"].to_pylist()], pa.int64()), direct["places"].combine_chunks()], ["ref", "places"])]
+        packed = table.filter(pa.compute.equal(table["kind"], 0))
+        if len(packed):
+            ref, name, place = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("refs", np.int64), ("names", U64), ("places", np.uint32)))
+            order = np.argsort(name, kind="stable")
+            ref, name, place = ref[order], name[order], place[order]
+            at, size = _runs(name)
+            known = place == 0xFFFFFFFF
+            both = (np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at)) | np.maximum.reduceat(known, at)
+            hot = name[at[size > HOT]]
+            if len(hot):
+                out.append(pa.table([pa.nulls(1, pa.int64()), pa.array([hot.tobytes()], pa.binary())], ["ref", "places"]))
+            keep = np.repeat(both, size) & ~known
+            ref, place = ref[keep], place[keep]
+            order = np.lexsort((place, ref))
+            ref, place = ref[order], place[order]
+            at, size = _runs(ref)
+            out.append(pa.table([pa.array(ref[at], pa.int64()), *_cut(at, size, place)], ["ref", "places"]))
+        return pa.concat_tables(out)
 
     return docs.mapInArrow(entries, NAMES).groupBy("bucket").applyInArrow(shared, "ref bigint, places binary")
 
 
-STRETCHES = "bucket bigint, kind int, ids binary, refs binary, starts binary, windows binary, texts binary"
-MARKED = "id bigint, ref bigint, marks binary"
+def hot_names(found: DataFrame) -> bytes:
+    """A bitmap (8 MB, whatever the input) of the names in the rows without ref. A false hit only deals suffixes one by one."""
+
+    def names(batches):
+        for batch in batches:
+            name = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
+            yield pa.RecordBatch.from_arrays([pa.array((name >> U64(64 - FILTER_BITS)).astype(np.int64) + 1)], ["bit"])
+
+    return bitmap_bytes(found.where("ref is null").select("places").mapInArrow(names, "bit bigint"))
+
+
+# ------------------------------------------------------------------------- suffix sorting of a bucket
+
+
+def _shifts() -> np.ndarray:
+    """For two residues the least distance at which both are in the cover."""
+    table = np.zeros((PERIOD, PERIOD), np.int64)
+    for a in range(PERIOD):
+        for b in range(PERIOD):
+            table[a, b] = next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER)
+    return table
 
 
-def _marks(ids: np.ndarray, refs: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
-    """Rows (id, ref, marks): runs of marked windows, packed as uint32 pairs (start, count)."""
-    order = np.lexsort((start, refs, ids))
-    ids, refs = ids[order], refs[order]
-    pairs = np.stack([start[order], count[order]], 1).astype(np.uint32)
-    at, size = _runs(ids, refs)
-    return pa.table([pa.array(ids[at], pa.int64()), pa.array(refs[at], pa.int64()), pa.array([pairs[a : a + s].tobytes() for a, s in zip(at.tolist(), size.tolist(), strict=True)], pa.binary())], ["id", "ref", "marks"])
+def _eights(data: np.ndarray, n: int) -> np.ndarray:
+    """The 8 bytes from each of the first n positions as a number that sorts like them."""
+    out = np.empty(n, U64)
+    for o in range(min(8, n)):
+        count = (n - o + 7) // 8
+        out[o::8] = np.frombuffer(data, ">u8", count, o)
+    return out
 
 
-def marked_suffixes(texts: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (id, ref, marks) from (id, ref, text, lists): windows that a text with a smaller id has."""
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal keys alike; the first key counts most."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), np.int32)
+    new[:1] = 1
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    ranks = np.empty(len(order), np.int32)
+    ranks[order] = np.cumsum(new, dtype=np.int32)
+    return ranks
+
+
+def cover_ranks(eights: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at cover positions by their first `depth` (at least 8) bytes; 0 elsewhere."""
+    place = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+    reach = 8 + (depth - 8) % PERIOD
+    ranks = np.zeros(len(eights), np.int32)
+    ranks[place] = _dense(eights[place]) if reach == 8 else _dense(eights[place], eights[place + reach - 8])
+    while reach < depth:
+        step = min(reach // PERIOD * PERIOD, depth - reach)
+        ranks[place] = _dense((ranks[place].astype(U64) << U64(32)) | ranks[place + step].astype(U64))
+        reach += step
+    return ranks
+
+
+def sorted_suffixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts suffixes `at` of data by 16 bytes, then by cover ranks, up to `width` bytes: (order of the short sort, class of each in
+    that order). Suffixes with equal first `width` bytes have one class. data must have `width` bytes from each; width is 23 at least."""
+    n = len(data)
+    eights = _eights(np.concatenate([data, np.zeros(width + 16, np.uint8)]), n + width)
+    # A tie within 16 bytes is settled by width - 7 bytes from distance d < PERIOD, then by the 8 bytes up to width.
+    ranks, shifts = cover_ranks(eights, n, width - 7), _shifts()
+    order = np.lexsort((eights[at + 8], eights[at]))
+    at = at[order]
+    first, second = eights[at], eights[at + 8]
+    new = np.ones(len(at), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    group, classes = np.cumsum(new), np.arange(len(at))
+    live = np.arange(len(at))
+    while True:
+        begin, size = _runs(group)
+        many = np.repeat(size > 1, size)
+        live, group = live[many], group[many]
+        if not len(live):
+            return order, classes
+        begin, size = _runs(group)
+        pivot = np.repeat(live[begin + size // 2], size)  # of each group of ties; the others fall below, beside or above it
+        p, q = at[live], at[pivot]
+        d = shifts[p % PERIOD, q % PERIOD]
+        side = np.sign(ranks[p + d] - ranks[q + d])
+        end_p, end_q = eights[p + width - 8], eights[q + width - 8]
+        side = np.where(side != 0, side, (end_p > end_q).astype(np.int32) - (end_p < end_q))
+        same = side == 0
+        classes[live[same]] = pivot[same]
+        live, group = live[~same], group[~same] * 2 + (side[~same] > 0)
+        order_ = np.argsort(group, kind="stable")
+        live, group = live[order_], group[order_]
+        group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
+
+
+STRETCHES = "bucket bigint, kind int, ids binary, refs binary, starts binary, windows binary, cells binary, texts binary"
+STRETCH_NAMES = ["bucket", "kind", "ids", "refs", "starts", "windows", "cells", "texts"]
+MARKED = "id bigint, ref bigint, start int, windows int"
+
+
+def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int) -> DataFrame:
+    """Rows (id, ref, start, windows) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has.
+    hot: a broadcast of hot_names()."""
 
     def stretches(batches):
         for batch in batches:
@@ -164,88 +270,87 @@ def marked_suffixes(texts: DataFrame, width: int, gram: int, buckets: int) -> Da
                 text = np.searchsorted(offsets, place, "right") - 1
                 wanted = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + o for x, o in zip(part.column(lists).to_pylist(), offsets, strict=False)]
                 keep = np.isin(place, np.concatenate(wanted))
-                place, name, first, count, text = place[keep], name[keep], first[keep], count[keep], text[keep]
+                name, first, count, text = name[keep], first[keep], count[keep], text[keep]
+                sums = running(data)
+                alone = in_bitmap(hot.value, name >> U64(64 - FILTER_BITS))
+                if alone.any():  # hot grams: suffixes one by one
+                    c = count[alone]
+                    at = np.repeat(first[alone], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    name = np.concatenate([name[~alone], spans_hash(sums, at, at + width)])
+                    text = np.concatenate([text[~alone], np.repeat(text[alone], c)])
+                    first, count = np.concatenate([first[~alone], at]), np.concatenate([count[~alone], np.ones(len(at), np.int64)])
                 ids, refs = (np.asarray(part.column(i)).astype(np.int64)[text] for i in (0, 1))
                 start = first - offsets[text]
-                sums = running(data)
-                whole = spans_hash(sums, first, first + count + width - 1) ^ (name + count.astype(U64))
-                order = np.lexsort((ids, whole))
-                at, size = _runs(whole[order])
-                least = np.repeat(ids[order][at], size)
-                later = np.zeros(len(order), bool)
-                later[order] = ids[order] > least
-                if later.any():  # the slice has the same stretch with a smaller id
-                    m = _marks(ids[later], refs[later], start[later], count[later])
-                    spread = pa.array((np.asarray(m["ref"]) % buckets).astype(np.int64))
-                    none = pa.nulls(len(m), pa.binary())
-                    pack = lambda x: pa.array([v.to_bytes(8, "little", signed=True) for v in m[x].to_pylist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([spread, pa.array(np.ones(len(m), np.int32)), pack("id"), pack("ref"), m["marks"].combine_chunks(), none, none], STRETCH_NAMES)
-                stay = np.flatnonzero(~later)
-                bucket = _bucket(name[stay], buckets)
-                stay = stay[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket, kind="stable")
-                at, size = _runs(bucket)
+                bucket, cell = _bucket(name, buckets), (name * U64(0xD6E8FEB86659FD93) >> U64(56)).astype(np.uint8)
+                # Equal stretches of this slice: the one with the least id goes on, later ids are marked here.
+                whole = spans_hash(sums, first, first + count + width - 1)
+                order = np.lexsort((ids, count, whole))
+                at, size = _runs(whole[order], count[order])
+                head = np.repeat(order[at], size)
                 raw = data.tobytes()
-                cols: list[list] = [[] for _ in range(5)]
-                for a, s in zip(at.tolist(), size.tolist(), strict=True):
-                    own = stay[a : a + s]
-                    for c, x in zip(cols, (ids, refs, start.astype(np.uint32), count.astype(np.uint16)), strict=False):
-                        c.append(x[own].tobytes())
-                    cols[4].append(b"".join([raw[f : f + w + width - 1] for f, w in zip(first[own].tolist(), count[own].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(np.zeros(len(at), np.int32)), *(pa.array(c, pa.binary()) for c in cols)], STRETCH_NAMES)
-
-    def sort_bucket(table: pa.Table) -> pa.Table:
-        ids, refs, starts, counts, texts, done = [], [], [], [], [], []
-        for kind, i, r, s, w, t in zip(*(table[c].to_pylist() for c in ("kind", "ids", "refs", "starts", "windows", "texts")), strict=True):
-            if kind:
-                done.append((int.from_bytes(i, "little", signed=True), int.from_bytes(r, "little", signed=True), s))
-                continue
-            ids.append(np.frombuffer(i, np.int64))
-            refs.append(np.frombuffer(r, np.int64))
-            starts.append(np.frombuffer(s, np.uint32).astype(np.int64))
-            counts.append(np.frombuffer(w, np.uint16).astype(np.int64))
-            texts.append(t)
-        out = [pa.table([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.binary())], ["id", "ref", "marks"])]
-        if ids:
-            ids, refs, starts, counts = (np.concatenate(x) for x in (ids, refs, starts, counts))
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            names = []
-            ends = np.cumsum(counts + width - 1)
+                n = count + width - 1
+                twin = np.zeros(len(order), bool)
+                many = np.repeat(size > 1, size)
+                twin[many] = [raw[a : a + k] == raw[b : b + k] for a, b, k in zip(first[order][many].tolist(), first[head][many].tolist(), n[head][many].tolist(), strict=True)]
+                later = np.zeros(len(order), bool)
+                later[order] = twin & (ids[order] > ids[head])
+                same = np.zeros(len(order), bool)
+                same[order] = twin & (refs[order] == refs[head]) & (start[order] == start[head]) & (order != head)
+                for kind, some in ((1, later), (0, ~later & ~same)):
+                    own = np.flatnonzero(some)
+                    own = own[np.lexsort((cell[own], bucket[own]))]
+                    if not len(own):
+                        continue
+                    at, size = _runs(bucket[own])
+                    cols = _cut(at, size, ids[own], refs[own], start[own].astype(np.uint32), count[own].astype(np.uint16), cell[own])
+                    body = pa.nulls(len(at), pa.binary()) if kind else pa.array([b"".join([raw[f : f + k] for f, k in zip(first[own[a : a + s]].tolist(), n[own[a : a + s]].tolist(), strict=True)]) for a, s in zip(at.tolist(), size.tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[own][at], pa.int64()), pa.array(np.full(len(at), kind, np.int32)), *cols, body], STRETCH_NAMES)
+
+    def sort_buckets(table: pa.Table) -> pa.Table:
+        kinds = (("ids", np.int64), ("refs", np.int64), ("starts", np.uint32), ("windows", np.uint16), ("cells", np.uint8))
+        marks = []
+        direct = table.filter(pa.compute.equal(table["kind"], 1))
+        if len(direct):
+            marks.append([np.frombuffer(b"".join(direct[c].to_pylist()), t) for c, t in kinds[:4]])
+        table = table.filter(pa.compute.equal(table["kind"], 0))
+        if len(table):
+            ids, refs, starts, counts, cells = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in kinds)
+            counts = counts.astype(np.int64)
+            data = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
+            begin = np.cumsum(counts + width - 1) - (counts + width - 1)
+            per_cell = np.cumsum(np.bincount(cells, counts + width - 1, 256))
             lo = 0
-            while lo < len(counts):  # names of all suffixes, about a million text bytes at once
-                base = ends[lo] - counts[lo] - width + 1
-                hi = max(lo + 1, int(np.searchsorted(ends, base + (1 << 20))))
-                piece = data[base : ends[hi - 1]]
-                c = counts[lo:hi]
-                at = np.repeat(ends[lo:hi] - c - width + 1 - base, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                names.append(spans_hash(running(piece), at, at + width))
+            while lo < 256:  # one bucket at a time
+                hi = max(lo + 1, int(np.searchsorted(per_cell, (per_cell[lo - 1] if lo else 0) + SORT_BYTES, "right")))
+                own = np.flatnonzero((cells >= lo) & (cells < hi))
                 lo = hi
-            names = np.concatenate(names)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((ids[owner], names))
-            at, size = _runs(names[order])
-            least = np.repeat(ids[owner[order[at]]], size)
-            later = np.zeros(len(names), bool)
-            later[order] = ids[owner[order]] > least
-            window = np.arange(len(names)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hit = np.flatnonzero(later)
-            if len(hit):
-                new = np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])])
-                at = np.flatnonzero(new)
-                size = np.diff(np.append(at, len(hit)))
-                o = owner[hit[at]]
-                out.append(_marks(ids[o], refs[o], starts[o] + window[hit[at]], size))
-        return pa.concat_tables(out)
-
-    return texts.mapInArrow(stretches, STRETCHES).groupBy("bucket").applyInArrow(sort_bucket, MARKED)
-
-
-STRETCH_NAMES = ["bucket", "kind", "ids", "refs", "starts", "windows", "texts"]
-
-
-def removed_runs(marks: list[bytes], width: int) -> list[tuple[int, int]]:
-    """Maximal removed byte runs [start, end) of a text from its marked windows."""
-    pairs = np.frombuffer(b"".join(marks), np.uint32).reshape(-1, 2).astype(np.int64)
+                if not len(own):
+                    continue
+                c = counts[own]
+                size = c + width - 1
+                base = np.cumsum(size) - size
+                bytes_ = data[np.repeat(begin[own] - base, size) + np.arange(size.sum())]
+                inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                order, classes = sorted_suffixes(bytes_, np.repeat(base, c) + inner, width)
+                owner = np.repeat(own, c)
+                id_ = ids[owner[order]]
+                least = np.full(len(order), LAST)
+                np.minimum.at(least, classes, id_)
+                hit = np.sort(order[id_ > least[classes]])
+                if len(hit):
+                    new = np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])])
+                    at = np.flatnonzero(new)
+                    o = owner[hit[at]]
+                    marks.append([ids[o], refs[o], starts[o] + inner[hit[at]], np.diff(np.append(at, len(hit)))])
+        columns = [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["id", "ref", "start", "windows"])
+
+    return texts.mapInArrow(stretches, STRETCHES).groupBy("bucket").applyInArrow(sort_buckets, MARKED)
+
+
+def removed_runs(marks: list[dict], width: int) -> list[tuple[int, int]]:
+    """Maximal removed byte runs [start, end) of a text from its marked suffixes."""
+    pairs = np.array([(m["start"], m["windows"]) for m in marks], np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     ends = np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + width)
     new = np.concatenate([[True], pairs[1:, 0] > ends[:-1]])
@@ -258,14 +363,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     source = docs.select(own.alias("own"), F.xxhash64(text).alias("ref"), text.alias("text"))
-    sizes = staged(source.groupBy("ref").agg(F.min("own").alias("own"), F.max(F.octet_length("text").cast("bigint")).alias("n")), "passages-texts")
+    sizes = staged(source.groupBy("ref", F.octet_length("text").cast("bigint").alias("n")).agg(F.min("own").alias("own")), "passages-texts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, math.ceil(total / BUCKET_BYTES))
     found = shared_samples(source.select("ref", "text").where(F.octet_length("text") >= width), width, gram, buckets)
-    found = found.groupBy("ref").agg(F.collect_list("places").alias("lists")).join(sizes, "ref").select("own", "ref", "lists")
+    found = staged(found, "passages-grams")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_names(found))
+    found = found.where("ref is not null").groupBy("ref").agg(F.collect_list("places").alias("lists")).join(sizes, "ref").select("own", "ref", "lists")
     found = staged(found, "passages-samples")
     texts = _with_texts(source, found).select(F.col("own").alias("id"), "ref", "text", "lists")
-    marks = marked_suffixes(texts, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list("marks").alias("marks"))
+    marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     return staged(marks.select(F.col("id").alias("own"), "ref", "marks"), "passages-marks")
 
 
@@ -301,8 +408,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = "array<struct<start:bigint,end:bigint>>"
     done = _with_texts(source, marks).select("own", "ref", "text", "marks").mapInArrow(cut, f"own bigint, ref bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {spans}")
     done = done.dropDuplicates(["own", "ref"])
-    copies = staged(slim.groupBy("ref").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select("ref", "least"), "passages-copies")
-    rows = slim.join(copies, "ref", "left").join(done, ["own", "ref"], "left")
+    copies = staged(slim.groupBy("ref", "sha").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select("ref", "sha", "least"), "passages-copies")
+    rows = slim.join(copies, ["ref", "sha"], "left").join(done, ["own", "ref"], "left")
     copy = (F.col("own") > F.col("least")) & (F.col("n_bytes") >= width)
     pick = lambda c, if_copy, none: F.when(copy, if_copy).otherwise(F.coalesce(F.col(c), none))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -195,12 +196,44 @@ def brute_passages(rows: list[tuple], width: int = 50) -> list[tuple]:
     return out
 
 
-def test_passages_against_brute_force(spark, empty):
+@pytest.mark.parametrize("width", [23, 31, 50, 64])
+def test_suffixes_are_sorted_by_cover_ranks(width):
+    r = random.Random(width)
+    unit = bytes(r.choices(b"ab", k=90))
+    data = b"".join(r.choice([unit, unit[:40], b"a" * 70, bytes(r.choices(b"abc", k=60))]) for _ in range(60))
+    at = np.array(r.sample(range(len(data) - width), 1500))
+    order, classes = substring_dedup.sorted_suffixes(np.frombuffer(data, np.uint8), at, width)
+    texts = [data[i : i + width] for i in at[order].tolist()]
+    assert [t[:16] for t in texts] == sorted(t[:16] for t in texts)
+    groups = collections.defaultdict(set)
+    for c, t in zip(classes.tolist(), texts, strict=True):
+        groups[t].add(c)
+    assert all(len(c) == 1 for c in groups.values()) and len({c for g in groups.values() for c in g}) == len(groups) < len(at)
+
+
+def test_cover_ranks_sort_by_depth():
+    data = bytes(random.Random(1).choices(b"ab", k=3000))
+    n = len(data) - 60
+    for depth in (8, 11, 43, 57):
+        ranks = substring_dedup.cover_ranks(substring_dedup._eights(np.frombuffer(data, np.uint8), n), n - 60, depth)
+        place = [p for p in range(n - 130) if p % substring_dedup.PERIOD in substring_dedup.COVER]
+        texts = sorted({data[p : p + depth] for p in place})
+        byrank = sorted(place, key=lambda p: ranks[p])
+        assert [data[p : p + depth] for p in byrank] == sorted(data[p : p + depth] for p in place) and len({int(ranks[p]) for p in place}) == len(texts)
+
+
+@pytest.mark.parametrize("hot", [256, 0])
+def test_passages_against_brute_force(spark, empty, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     passage = prose(7, 30)
-    rows = [r for r in awkward_rows() if len(r[1] or "") < 2000]
+    rows = [r[:2] for r in awkward_rows() if len(r[1] or "") < 2000]
     rows += [(200 + i, f"{prose(300 + i, 15)} {passage[: 60 + 9 * i]} {prose(400 + i, 9)}{'ab' * 40}") for i in range(8)]
     rows += [(300, "ab" * 200), (301, "b" + "ab" * 60), (302, passage[:49]), (303, passage[:50])]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)
+    # A third of the documents share a passage; two very long texts share parts; copies in other order.
+    rows += [(400 + i, f"{prose(600 + i, 12)} {passage} {prose(700 + i, 12)}" if i % 3 == 0 else prose(600 + i, 40)) for i in range(60)]
+    long = prose(800, 25_000)
+    rows += [(500, long), (499, prose(801, 9_000) + long[70_000:150_000] + "é€𝔘" * 40), (501, long[100:90_000]), (502, long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(7) for c in [*CLASH, "start", "windows", "places", "sha"]}).repartition(3)
     got = sorted(((r.id is None, r.id or 0), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substring_dedup.strip_repeats(docs).collect())
     assert got == sorted(((r[0] is None, r[0] or 0), b) for r, b in zip(rows, brute_passages(rows), strict=True))
     assert substring_dedup.strip_repeats(empty).count() == 0
