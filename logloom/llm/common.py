@@ -59,6 +59,13 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like the wanted ones that clash with no column of df (compared without case)."""
     taken = {c.lower() for c in df.columns}
@@ -188,6 +195,28 @@ def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def eights(data: np.ndarray, n: int) -> np.ndarray:
+    """The 8 bytes from each of the first n positions as a number that sorts like them; data must go on for 7 bytes."""
+    out = np.empty(n, U64)
+    for o in range(min(8, n)):
+        out[o::8] = np.frombuffer(data, ">u8", (n - o + 7) // 8, o)
+    return out
+
+
+def words_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes [start, end) of each word: the sum of its mixed blocks of 8 bytes with their places."""
+    size = end - start
+    blocks = (size + 7) >> 3
+    owner = np.repeat(np.arange(len(start)), blocks)
+    begin = np.cumsum(blocks) - blocks
+    nth = np.arange(len(owner)) - begin[owner]
+    value = eights(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))[start[owner] + 8 * nth] if len(owner) else np.zeros(0, U64)
+    spare = np.maximum(8 - (size[owner] - 8 * nth), 0).astype(U64) << U64(3)
+    value = (value >> spare) << spare  # bytes behind the word
+    value = mixed(mixed(value) + (nth + 1).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mixed(np.add.reduceat(value, begin) + size.astype(U64)) if len(owner) else value
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and the index of each word's text."""
     white = np.zeros(256, bool)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import staged, unstaged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = print_of(now)
     for _ in range(rounds):
-        now = staged(_star(_star(now, True), False), label)
+        last, now = now, staged(_star(_star(now, True), False), label)
+        unstaged(last)
         mark = print_of(now)
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,9 +11,12 @@ the rest is verified:
    two common tokens are frequent, both lie in the prefixes extended by one, and the pair of tokens is the
    key. A class with more than COMBINE frequent prefix tokens is "long": it takes no combinations, and
    every class keeps its frequent single tokens as keys that only meet long classes.
-3. Classes that share a key form blocks (connected components over keys). A block is verified in
-   tiles of at most TILE classes a side with matrix products; a tile yields a spanning forest of its
-   links, never its pairs. Links' components are the result.
+3. Verification. Classes that share a key are candidates. In each of ROUNDS rounds a class is verified against one
+   other, the head that most of its keys name, by a join: in a group of copies nearly all link to its few heads, in work
+   that grows with the group. A key all of whose classes are linked by then is closed: none of its pairs is needed.
+   The classes of keys still open form blocks (connected components over those keys), which are verified in
+   tiles of bounded bytes with matrix products; a tile yields a spanning forest of its links, never its
+   pairs. Links' components are the result.
 
 Tokens travel packed by hash bucket, the number of buckets grows with the corpus, and a token that a
 third of all documents share is one entry a slice of a scan. Only counts come to the driver.
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, bitmap_of, buffers, lowered, mixed, running, ship, slices, spans_hash, staged, text_column, with_hit, words
+from .common import U64, bitmap_of, buffers, lowered, mixed, ship, slices, staged, text_column, unstaged, with_hit, words, words_hash
 from .components import components
 
 #: Extra share of a set in the sampled prefix: more entries, fewer classes left.
@@ -41,10 +44,12 @@ EXTRA = 0.1
 FREQUENT = 48
 #: Frequent prefix tokens of a class up to which their pairs are keys.
 COMBINE = 64
-#: Classes on a side of a verification tile.
-TILE = 768
+#: Rounds of verification against one head each.
+ROUNDS = 2
+#: Classes and bytes of tokens on a side of a verification tile.
+TILE, TILE_BYTES = 512, 4 << 20
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +58,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     data = lowered(data)
     start, end, row = words(data, offsets)
     counts = np.bincount(row, minlength=len(texts)).astype(np.int64)
-    hashed = spans_hash(running(data), start, end)
+    hashed = words_hash(data, start, end)
     mult = mixed(np.arange(1, k + 1, dtype=U64))
     first = np.concatenate([[0], np.cumsum(counts)])
     inside = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :]) if len(row) >= k else np.zeros(0, np.int64)
@@ -272,8 +277,8 @@ def class_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> tuple
     return rare, single, pairs, False
 
 
-def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Edges (u, v) between classes that share a key, as a spanning forest of each bucket of keys."""
+def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Packs of (component, class, key) entries of profiles (ref, n, tokens, df, component)."""
 
     def entries(batches):
         for batch in batches:
@@ -282,36 +287,96 @@ def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
 
             def flush():
                 key = np.concatenate(keys)
-                ref = np.repeat(np.array([r for r, _ in refs], np.int64), [c for _, c in refs])
-                return _packs(_bucketed(key, buckets), ref, key)
-
-            for ref, n, t, d in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                sizes = [c for *_, c in refs]
+                own, ref = (np.repeat(np.array([r[i] for r in refs], np.int64), sizes) for i in (0, 1))
+                order = np.argsort(_bucketed(key & ~U64(3), buckets), kind="stable")
+                key, own, ref = key[order], own[order], ref[order]
+                bucket = _bucketed(key & ~U64(3), buckets)
+                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                runs = list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (own, ref, key))], ["bucket", "components", "refs", "tokens"])
+
+            for ref, n, t, d, component in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 rare, single, pairs, long = class_keys(n, np.frombuffer(t, U64), np.frombuffer(d, np.uint32), percent)
                 # Three key spaces, told apart by the low bits: rare and pair keys; frequent keys of long and of other classes.
                 space = ~U64(3)
-                own = np.concatenate([rare & space, (pairs & space) | U64(1), (single & space) | U64(3 if long else 2)])
+                own = np.unique(np.concatenate([rare & space, (pairs & space) | U64(1), (single & space) | U64(3 if long else 2)]))
                 if len(own):
-                    refs.append((ref, len(own)))
+                    refs.append((component, ref, len(own)))
                     keys.append(own)
                     held += len(own)
-                if held > 1 << 18:
+                if held > 1 << 17:
                     yield flush()
                     refs, keys, held = [], [], 0
             if keys:
                 yield flush()
 
+    columns = ["ref", "n", "tokens", "df", "component"]
+    return profiles.select(*columns).mapInArrow(entries, "bucket bigint, components binary, refs binary, tokens binary")
+
+
+def _open_keys(table: pa.Table, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, head) entries of a bucket's keys that have classes of two components: the head is the key's first class in
+    an order by hash, of a frequent key its first long class; entries with the head's component are left out."""
+    own, ref, key = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("components", np.int64), ("refs", np.int64), ("tokens", U64)))
+    kind = key & U64(3)
+    group = np.where(kind == 3, key & ~U64(1), key)  # frequent single keys meet whether long or not
+    order = np.lexsort((mixed(ref.view(U64) ^ U64(salt)), kind != 3, group))  # long classes first
+    own, ref, group, kind = own[order], ref[order], group[order], kind[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    head = np.repeat(first, np.diff(np.append(first, len(group))))
+    meets = (kind[head] != 2) & (own[head] != own)  # a frequent key without a long class joins nothing
+    return ref[meets], ref[head][meets]
+
+
+def heads(profiles: DataFrame, percent: int, buckets: int, salt: int) -> DataFrame:
+    """Rows (ref, head): for each class with an open key the head that most of its open keys have."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        u, v = _open_keys(table, salt)
+        pairs, count = np.unique(np.stack([u, v]), axis=1, return_counts=True) if len(u) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(count, pa.int64())], ["ref", "head", "c"])
+
+    found = _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(counted, "ref bigint, head bigint, c bigint")
+    return found.groupBy("ref", "head").agg(F.sum("c").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "head"))["head"].alias("head"))
+
+
+def head_links(profiles: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the pairs of named (ref, head), each verified on its two sets."""
+
+    @F.arrow_udf("boolean")
+    def linked(n: pa.Array, tokens: pa.Array, m: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for a, t, b, o in zip(n.to_pylist(), tokens.to_pylist(), m.to_pylist(), others.to_pylist(), strict=True):
+            both = np.sort(np.concatenate([np.frombuffer(t, U64), np.frombuffer(o, U64)]))
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(100 * common >= percent * (a + b - common))
+        return pa.array(out, pa.bool_())
+
+    own = profiles.select("ref", "n", "tokens")
+    other = own.select(F.col("ref").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    pairs = named.join(own, "ref").join(other, "head")
+    return pairs.where(linked("n", "tokens", "m", "others")).select(F.col("ref").alias("u"), F.col("head").alias("v"))
+
+
+def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges (u, v) between classes that share an open key, as a spanning forest of each bucket of keys.
+
+    A class of the head's own component needs no verification with it, but with the key's others: it is joined by the forest's
+    edges of its component, so all classes of an open key are in one block.
+    """
+
     def forest(table: pa.Table) -> pa.Table:
-        ref, key = _unpacked(table, U64)
+        own, ref, key = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("components", np.int64), ("refs", np.int64), ("tokens", U64)))
         kind = key & U64(3)
-        base = key & ~U64(3)
-        space = np.where(kind == 3, U64(2), kind)  # frequent single keys meet whether long or not
-        group = base | space
+        group = np.where(kind == 3, key & ~U64(1), key)
         order = np.lexsort((ref, kind != 3, group))  # long classes first
-        ref, group, kind = ref[order], group[order], kind[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        own, ref, group, kind = own[order], ref[order], group[order], kind[order]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(group)))
         head = np.repeat(first, size)
-        meets = (kind[head] != 2) & (ref[head] != ref)  # a frequent key without a long class joins nothing
+        open_ = np.repeat(np.logical_or.reduceat(own != own[head], first), size) if len(first) else np.zeros(0, bool)
+        meets = open_ & (kind[head] != 2) & (ref[head] != ref)  # a frequent key without a long class joins nothing
         u, v = ref[meets], ref[head][meets]
         parent: dict[int, int] = {}
 
@@ -331,7 +396,7 @@ def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 made[1].append(b)
         return pa.table([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64())], ["u", "v"])
 
-    return profiles.mapInArrow(entries, PACKED).groupBy("bucket").applyInArrow(forest, "u bigint, v bigint")
+    return _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(forest, "u bigint, v bigint")
 
 
 def tile_links(refs: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,9 +442,12 @@ def tile_links(refs: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], per
 def block_links(profiles: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) within blocks (node, component): a spanning forest of every tile.
 
-    A block's classes are dealt by hash to ceil(size / TILE) parts; a tile holds two of them (or one).
+    A block's classes are dealt by hash to parts of about TILE classes and TILE_BYTES of tokens; a tile holds two of them (or one).
     """
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int"))
+    profiles = profiles.select("ref", "n", "tokens")
+    weights = profiles.select("ref", F.octet_length("tokens").cast("bigint").alias("bytes"))
+    sizes = blocks.join(weights, blocks["node"] == weights["ref"]).groupBy("component").agg(F.greatest(F.count("*") / TILE, F.sum("bytes") / TILE_BYTES).alias("c"))
+    sizes = sizes.select("component", F.ceil("c").cast("int").alias("parts"))
     placed = profiles.join(blocks.join(sizes, "component"), profiles["ref"] == F.col("node"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -426,8 +494,18 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = staged(alive, "jaccard-alive")
     tokens = alive.agg(F.sum("n")).first()[0] or 0
     profiles = staged(token_profiles(docs, alive, id_col, text_col, k, max(16, math.ceil(tokens / BUCKET_ENTRIES))), "jaccard-profiles")
-    blocks = components(key_edges(profiles, percent, max(16, math.ceil(tokens / BUCKET_ENTRIES))), "jaccard-blocks")
-    linked = components(block_links(profiles, blocks, percent), "jaccard-links")
+    buckets = max(16, math.ceil(tokens / BUCKET_ENTRIES))
+    links, linked = None, None
+    for turn in range(ROUNDS + 1):
+        own = profiles.withColumn("component", F.col("ref"))
+        if linked is not None:
+            own = profiles.join(linked, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
+        if turn < ROUNDS:
+            found = staged(head_links(profiles, heads(own, percent, buckets, 0x9E3779B97F4A7C15 + turn), percent), "jaccard-found")
+        else:
+            found = staged(block_links(profiles, components(key_edges(own, percent, buckets), "jaccard-blocks"), percent), "jaccard-found")
+        links = found if links is None else links.unionByName(found)
+        linked = components(links, "jaccard-links")
     named = linked.join(classes.select(F.col("f1").alias("node"), "f2", "id"), "node")
     least_set = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "f2")).alias("m"))
     moved = linked.join(least_set, "component").select(F.col("node").alias("f1"), F.col("m.id").alias("linked_id"), F.col("m.node").alias("m1"), F.col("m.f2").alias("m2"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, in_bitmap, running, ship, slices, spans_hash, staged, with_hit
+from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, eights, in_bitmap, running, ship, slices, spans_hash, staged, with_hit
 
 WIDTH, GRAM = 50, 20
 #: Text bytes of a task's buckets, about (of all text; only shared stretches arrive), and of one bucket.
@@ -183,15 +183,6 @@ def _shifts() -> np.ndarray:
     return table
 
 
-def _eights(data: np.ndarray, n: int) -> np.ndarray:
-    """The 8 bytes from each of the first n positions as a number that sorts like them."""
-    out = np.empty(n, U64)
-    for o in range(min(8, n)):
-        count = (n - o + 7) // 8
-        out[o::8] = np.frombuffer(data, ">u8", count, o)
-    return out
-
-
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal keys alike; the first key counts most."""
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
@@ -204,12 +195,12 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def cover_ranks(eights: np.ndarray, n: int, depth: int) -> np.ndarray:
+def cover_ranks(eight: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Ranks of the suffixes at cover positions by their first `depth` (at least 8) bytes; 0 elsewhere."""
     place = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     reach = 8 + (depth - 8) % PERIOD
-    ranks = np.zeros(len(eights), np.int32)
-    ranks[place] = _dense(eights[place]) if reach == 8 else _dense(eights[place], eights[place + reach - 8])
+    ranks = np.zeros(len(eight), np.int32)
+    ranks[place] = _dense(eight[place]) if reach == 8 else _dense(eight[place], eight[place + reach - 8])
     while reach < depth:
         step = min(reach // PERIOD * PERIOD, depth - reach)
         ranks[place] = _dense((ranks[place].astype(U64) << U64(32)) | ranks[place + step].astype(U64))
@@ -221,12 +212,12 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
     """Sorts suffixes `at` of data by 16 bytes, then by cover ranks, up to `width` bytes: (order of the short sort, class of each in
     that order). Suffixes with equal first `width` bytes have one class. data must have `width` bytes from each; width is 23 at least."""
     n = len(data)
-    eights = _eights(np.concatenate([data, np.zeros(width + 16, np.uint8)]), n + width)
+    eight = eights(np.concatenate([data, np.zeros(width + 16, np.uint8)]), n + width)
     # A tie within 16 bytes is settled by width - 7 bytes from distance d < PERIOD, then by the 8 bytes up to width.
-    ranks, shifts = cover_ranks(eights, n, width - 7), _shifts()
-    order = np.lexsort((eights[at + 8], eights[at]))
+    ranks, shifts = cover_ranks(eight, n, width - 7), _shifts()
+    order = np.lexsort((eight[at + 8], eight[at]))
     at = at[order]
-    first, second = eights[at], eights[at + 8]
+    first, second = eight[at], eight[at + 8]
     new = np.ones(len(at), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     group, classes = np.cumsum(new), np.arange(len(at))
@@ -242,7 +233,7 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
         p, q = at[live], at[pivot]
         d = shifts[p % PERIOD, q % PERIOD]
         side = np.sign(ranks[p + d] - ranks[q + d])
-        end_p, end_q = eights[p + width - 8], eights[q + width - 8]
+        end_p, end_q = eight[p + width - 8], eight[q + width - 8]
         side = np.where(side != 0, side, (end_p > end_q).astype(np.int32) - (end_p < end_q))
         same = side == 0
         classes[live[same]] = pivot[same]

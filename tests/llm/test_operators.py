@@ -141,8 +141,9 @@ def test_components_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("frequent,combine,tile", [(48, 64, 768), (1, 3, 4), (1, 500, 3)])
-def test_jaccard_against_brute_force(spark, monkeypatch, frequent, combine, tile):
+@pytest.mark.parametrize("frequent,combine,tile,rounds", [(48, 64, 512, 2), (1, 3, 4, 0), (1, 500, 3, 1)])
+def test_jaccard_against_brute_force(spark, monkeypatch, frequent, combine, tile, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "COMBINE", combine)
     monkeypatch.setattr(jaccard, "TILE", tile)
@@ -163,6 +164,14 @@ def test_jaccard_against_brute_force(spark, monkeypatch, frequent, combine, tile
     assert got == {i * 3: (len(shingles(t)), want[i] * 3) for i, t in enumerate(texts)}
 
 
+def test_jaccard_words_that_break_polynomial_hashes():
+    morse = ["a" if bin(i).count("1") % 2 else "b" for i in range(2048)]
+    for n in (8, 9, 1024, 2048):
+        a, b = "".join(morse[:n]), "".join("ab"[c == "a"] for c in morse[:n])
+        offsets, tokens, _ = jaccard.shingle_sets(pa.array([a, b, a.upper(), f"x {a}", f"x {b}", a[:-1]], pa.large_string()), 5)
+        assert tokens[0] == tokens[2] and len(set(tokens.tolist())) == 5
+
+
 def test_jaccard_awkward(awkward, empty):
     rows = awkward_rows()
     want = brute_components([shingles(t) for _, t, *_ in rows])
@@ -215,7 +224,7 @@ def test_cover_ranks_sort_by_depth():
     data = bytes(random.Random(1).choices(b"ab", k=3000))
     n = len(data) - 60
     for depth in (8, 11, 43, 57):
-        ranks = substring_dedup.cover_ranks(substring_dedup._eights(np.frombuffer(data, np.uint8), n), n - 60, depth)
+        ranks = substring_dedup.cover_ranks(substring_dedup.eights(np.frombuffer(data, np.uint8), n), n - 60, depth)
         place = [p for p in range(n - 130) if p % substring_dedup.PERIOD in substring_dedup.COVER]
         texts = sorted({data[p : p + depth] for p in place})
         byrank = sorted(place, key=lambda p: ranks[p])
