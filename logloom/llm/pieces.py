@@ -1,15 +1,19 @@
 """Operator 6: SentencePiece encoding and decoding; giant documents by a max-plus parallel scan.
 
-Documents up to GIANT characters are encoded by the library. Longer ones are cut into chunks at any
-character. A boundary's state is the token that covers or ends at the cut. A chunk yields a transfer
-matrix from entry to exit states over the max-plus semiring; matrices combine associatively (combined()),
-but the boundaries' states are found by one task a document, which walks its matrices forward and back, and every chunk then traces its own tokens back from it.
+Documents up to GIANT characters are encoded word by word: where no piece has a space after another character, merges
+never cross a space, so a batch's distinct words are encoded once by the library and their ids gathered.
+
+Longer documents are cut into chunks at any character. A boundary's state is the token that covers or ends at the
+cut. A chunk yields a transfer matrix from entry to exit states over the max-plus semiring. Matrices are combined
+associatively, FAN neighbours at a time, level by level up to one matrix a document (combined()); on the way down each
+product's end states settle the states between its factors, and every chunk then traces its own tokens back. No task
+holds more than FAN matrices or one chunk of a document.
 
 The public model is a byte-pair model: its tokens come from merges in order of score and are not the
 path with the greatest sum of scores, so piece scores can't be the weights. What is additive is validity:
 a sequence of tokens is the encoding of its text if each two neighbours are the encoding of their own
-concatenation. Weights are thus 0 for such a pair and minus infinity for any other, and the one path of weight
-0 is the encoding. Tests hold it against the library, whole text against whole text.
+concatenation. Weights are thus 0 for such a pair and minus infinity for any other (sums of scores play no part), and the
+one path of weight 0 is the encoding. Tests hold it against the library, whole text against whole text.
 
 Defined cases: null and empty texts have no tokens; characters that no piece has become their UTF-8 bytes'
 pieces; U+2581 decodes as a space, as in the library; an empty table gives an empty result.
@@ -18,17 +22,22 @@ pieces; U+2581 decodes as a space, as in the library; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, ship, staged, text_column, worker_cache
+from .common import SLICE_BYTES, fresh, ship, slices, staged, text_column, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a document is cut, and of a chunk.
 GIANT, CHUNK = 65_536, 8_192
+#: Neighbouring matrices that are combined at once.
+FAN = 32
+#: Distinct words whose ids a worker keeps; longer words than that are not kept.
+KEPT_WORDS, KEPT_CHARS = 200_000, 64
 SPACE = "▁"
 
 
@@ -46,6 +55,19 @@ class PieceModel:
         self.scores = {names[i]: self.library.get_score(i) for i in plain}
         self.bytes = {b: self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.unknown = self.library.unk_id()
+        #: Merges never cross a space.
+        self.by_word = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
+        self.words: dict[str, np.ndarray] = {}
+        # Bytes of each id for decoding; None where the library has a rule of its own.
+        raw: list[bytes | None] = [None] * n
+        for name, i in self.ids.items():
+            raw[i] = name.replace(SPACE, " ").encode()
+        for b, i in self.bytes.items():
+            raw[i] = bytes([b])
+        self.special = np.array([r is None for r in raw])
+        self.spelled = np.frombuffer(b"".join(r or b"" for r in raw), np.uint8)
+        self.lengths = np.array([len(r or b"") for r in raw], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
         self.longest = max(map(len, self.ids), default=1)
         self.valid = lru_cache(1 << 17)(self._valid)
 
@@ -77,6 +99,80 @@ class PieceModel:
         return [self.bytes[b] if self.bytes[b] != self.unknown else self.unknown for b in token.encode("utf-8", "surrogatepass")]
 
 
+def encoded(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids of all texts, end of each text's) of a large_string array without nulls."""
+    own = model.library.encode
+    lists = pc.split_pattern(texts, " ")
+    cuts = np.asarray(lists.offsets).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    index = np.asarray(flat.indices).astype(np.int64)
+    names = flat.dictionary.to_pylist()
+    # Texts with spaces beside spaces or at an end, or with the mark itself, go to the library whole.
+    counts = np.diff(cuts)
+    empty = np.array([not w for w in names], bool)
+    whole = np.asarray(pc.match_substring(texts, SPACE)).astype(bool)
+    if not model.by_word:
+        whole[:] = True
+    row = np.repeat(np.arange(len(texts)), counts)
+    whole[row[empty[index]]] = True
+    kept = model.words
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    used = np.zeros(len(names), bool)
+    used[index[~whole[row]]] = True
+    short = [w for w, u in zip(names, used.tolist(), strict=True) if u and w not in kept]
+    made = dict(zip(short, (np.array(x, np.int32) for x in own(short, num_threads=1)), strict=True)) if short else {}
+    none = np.zeros(0, np.int32)
+    pool = [(kept.get(w) if w in kept else made[w]) if u else none for w, u in zip(names, used.tolist(), strict=True)]
+    kept.update((w, x) for w, x in made.items() if len(w) <= KEPT_CHARS)
+    at = np.flatnonzero(whole)
+    for i in at.tolist():
+        text = texts[i].as_py()
+        pool.append(np.array(own(text), np.int32) if text else none)
+    counts = np.where(whole, 1, counts)
+    mark = np.repeat(whole, counts)
+    entry = np.empty(len(mark), np.int64)
+    entry[~mark] = index[~whole[row]]
+    entry[mark] = len(names) + np.arange(len(at))
+    sizes = np.array([len(x) for x in pool], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    size = sizes[entry]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = np.concatenate([none, *pool])[np.repeat(begins[entry] - ends + size, size) + np.arange(total)]
+    return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+
+
+def decoded(model: PieceModel, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Texts of ids[cuts[i]:cuts[i + 1]]."""
+    size = model.lengths[ids]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    data = model.spelled[np.repeat(model.begins[ids] - ends + size, size) + np.arange(total)]
+    place = np.concatenate([[0], ends])[cuts]
+    begin, end = place[:-1], place[1:]
+    # The library drops the space before a text's first piece.
+    first = ids[np.minimum(cuts[:-1], max(len(ids) - 1, 0))] if len(ids) else np.zeros(len(begin), np.int64)
+    filled = end > begin
+    lead = np.zeros(len(begin), bool)
+    lead[filled] = (data[begin[filled]] == 32) & (model.lengths[first[filled]] > 0)
+    begin = begin + lead
+    heads = data[begin[end > begin]]
+    sound = not model.special[ids].any() and not ((heads >= 0x80) & (heads < 0xC0)).any()
+    raw = data.tobytes()
+    if sound:
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            sound = False
+    if not sound:  # control ids, or bytes that spell no characters: the library's rules
+        return pa.array([model.library.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.large_string())
+    keep = np.ones(len(data), bool)
+    keep[begin[lead] - 1] = False
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[keep])])
+
+
 def normalized(text: str) -> str:
     """The model's identity normalisation: a leading space, and spaces as U+2581."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -168,12 +264,12 @@ def combined(left: set[tuple[int, int]], right: set[tuple[int, int]]) -> set[tup
     return {(a, c) for a, b in left for c in after.get(b, ())}
 
 
-def boundary_states(matrices: list[set[tuple[int, int]]]) -> list[int]:
-    """The state at every boundary: reachable from the start, and from it the end."""
-    ahead = [{0}]
+def boundary_states(matrices: list[set[tuple[int, int]]], entry: int = 0, out: int | None = None) -> list[int]:
+    """The state at every boundary, both ends' included: reachable from the entry, and from it the exit (None: the only one)."""
+    ahead = [{entry}]
     for m in matrices:
         ahead.append({b for a, b in m if a in ahead[-1]})
-    states, back = [0] * len(ahead), set(ahead[-1])
+    states, back = [0] * len(ahead), set(ahead[-1]) if out is None else {out}
     for i in range(len(matrices), -1, -1):
         both = ahead[i] & back
         if len(both) != 1:
@@ -191,14 +287,20 @@ def cut_chunks(model: PieceModel, text: str, size: int) -> list[tuple[str, int,
     return [(text[max(0, a - pad) : b + pad], a - max(0, a - pad), b - max(0, a - pad)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encode_by_scan(model: PieceModel, text: str, size: int = CHUNK) -> list[int]:
+def encode_by_scan(model: PieceModel, text: str, size: int = CHUNK, fan: int = FAN) -> list[int]:
     """One text by the scan, in one process."""
     full = normalized(text)
     if not full:
         return []
     parts = cut_chunks(model, full, size)
     chunks = [Chunk(model, t, lo, hi, i == 0, i == len(parts) - 1) for i, (t, lo, hi) in enumerate(parts)]
-    states = boundary_states([set(c.matrix()) for c in chunks])
+    levels = [[set(c.matrix()) for c in chunks]]
+    while len(levels[-1]) > 1:
+        levels.append([reduce(combined, levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+    states = boundary_states(levels[-1])
+    for level in levels[-2::-1]:
+        parts = [boundary_states(level[i * fan : (i + 1) * fan], a, b) for i, (a, b) in enumerate(zip(states, states[1:], strict=False))]
+        states = [x for part in parts for x in part[:-1]] + [states[-1]]
     return [i for c, a, b in zip(chunks, states, states[1:], strict=False) for token in c.trace(a, b) for i in model.token_ids(token)]
 
 
@@ -210,8 +312,12 @@ def read_model(path: str = MODEL) -> bytes:
 CHUNKS = "key string, i int, n int, text string, lo int, hi int"
 
 
-def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK) -> DataFrame:
-    """Rows (key, tokens) from rows (key, text): chunks are cut, weighed and traced back in parallel."""
+def as_set(pairs: list[int]) -> set[tuple[int, int]]:
+    return set(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """Rows (key, tokens) from rows (key, text): chunks are cut, weighed, combined and traced back in parallel."""
 
     def cut(batches):
         model = PieceModel.of(proto)
@@ -229,17 +335,20 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK) -> DataFrame
             pairs = [Chunk(model, t, lo, hi, i == 0, i == n - 1).matrix() for i, n, t, lo, hi in zip(*(rows[c] for c in ("i", "n", "text", "lo", "hi")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[x for p in m for x in p] for m in pairs], pa.list_(pa.int32()))], ["key", "i", "pairs"])
 
-    def join_states(batches):
+    def product(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["i"].to_pylist(), table["pairs"].to_pylist(), strict=True))
+        found = reduce(combined, (as_set(p) for _, p in rows))
+        return pa.table([table["key"].slice(0, 1).combine_chunks(), pa.array([rows[0][0] // fan], pa.int32()), pa.array([[x for p in sorted(found) for x in p]], pa.list_(pa.int32()))], ["key", "i", "pairs"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["i"].to_pylist(), table["pairs"].to_pylist(), strict=True))
+        states = boundary_states([as_set(p) for _, p in rows], table["entry"][0].as_py(), table["out"][0].as_py())
+        return pa.table([table["key"].combine_chunks(), *(pa.array(x, pa.int32()) for x in ([i for i, _ in rows], states[:-1], states[1:]))], ["key", "i", "entry", "out"])
+
+    def ends(batches):
         for batch in batches:
-            keys, at, a, b = [], [], [], []
-            for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.sort(key=lambda p: p["i"])
-                states = boundary_states([set(zip(p["pairs"][::2], p["pairs"][1::2], strict=True)) for p in parts])
-                keys += [key] * len(parts)
-                at += range(len(parts))
-                a += states[:-1]
-                b += states[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(x, pa.int32()) for x in (at, a, b))], ["key", "i", "entry", "out"])
+            states = [boundary_states([as_set(p)]) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(states), np.int32)), *(pa.array([s[k] for s in states], pa.int32()) for k in (0, 1))], ["key", "i", "entry", "out"])
 
     def trace(batches):
         model = PieceModel.of(proto)
@@ -250,9 +359,17 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK) -> DataFrame
 
     chunks = staged(giants.mapInArrow(cut, CHUNKS), "pieces-chunks")
     tasks = max(1, giants.sparkSession.sparkContext.defaultParallelism * 4)
-    weighed = chunks.repartition(tasks, "key", "i").mapInArrow(weigh, "key string, i int, pairs array<int>")
-    # One row per document and chunk: a few pairs of small numbers each.
-    states = weighed.groupBy("key").agg(F.collect_list(F.struct("i", "pairs")).alias("parts")).mapInArrow(join_states, "key string, i int, entry int, out int")
+    matrices, settled = "key string, i int, pairs array<int>", "key string, i int, entry int, out int"
+    levels = [staged(chunks.repartition(tasks, "key", "i").mapInArrow(weigh, matrices), "pieces-matrices")]
+    most = (chunks.agg(F.max("i")).first()[0] or 0) + 1
+    group = F.floor(F.col("i") / fan).cast("int")
+    while most > 1:  # up: products of neighbours
+        levels.append(staged(levels[-1].groupBy("key", group.alias("g")).applyInArrow(product, matrices), "pieces-matrices"))
+        most = -(-most // fan)
+    states = levels[-1].select("key", "pairs").mapInArrow(ends, settled)
+    for level in levels[-2::-1]:  # down: the states between a product's factors
+        placed = level.withColumn("g", group).join(states.withColumnRenamed("i", "g"), ["key", "g"])
+        states = placed.groupBy("key", "g").applyInArrow(settle, settled)
     traced = chunks.join(states, ["key", "i"]).repartition(tasks, "key", "i").mapInArrow(trace, "key string, i int, ids array<int>")
     ordered = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     return ordered.select("key", F.flatten(F.col("parts.ids")).alias("tokens"))
@@ -264,13 +381,12 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", mod
 
     @F.arrow_udf("array<int>")
     def piece_ids(column: pa.Array) -> pa.Array:
-        library = PieceModel.of(proto).library
-        column, flat, ends = text_column(column), [np.zeros(0, np.int32)], [0]
-        for start in range(0, len(column), 64):  # a batch's tokens are held as 4 bytes each, a few texts' as lists
-            for ids in library.encode(column.slice(start, 64).to_pylist(), num_threads=1):
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+        model, column, flat, cuts = PieceModel.of(proto), text_column(column), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
+            ids, ends = encoded(model, part)
+            flat.append(ids)
+            cuts.append(ends + cuts[-1][-1])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(flat)))
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     (key,) = fresh(docs, "key_")
@@ -287,10 +403,15 @@ def decode(tokens: Column, model_path: str = MODEL) -> Column:
 
     @F.arrow_udf("string")
     def piece_text(column: pa.Array) -> pa.Array:
-        library = PieceModel.of(proto).library
+        model = PieceModel.of(proto)
         column = column.fill_null([]) if column.null_count else column
-        flat, ends = np.asarray(column.flatten()), column.offsets.to_numpy() - column.offsets[0].as_py()
-        return pa.array([library.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        flat, ends = np.asarray(column.flatten()), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+        out, at = [pa.array([], pa.large_string())], 0
+        while at < len(column):  # about SLICE_BYTES of tokens at once
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES // 4, "right")) - 1)
+            out.append(decoded(model, flat[ends[at] : ends[to]], ends[at : to + 1] - ends[at]))
+            at = to
+        return pa.concat_arrays(out).cast(pa.string())
 
     return piece_text(tokens)
 

@@ -358,6 +358,43 @@ def test_matrices_combine_associatively():
     assert pieces.combined(pieces.combined(m[0], m[1]), m[2]) == pieces.combined(m[0], pieces.combined(m[1], m[2]))
 
 
+def test_scan_is_associative_at_any_fan(monkeypatch):
+    model, calls = pieces.PieceModel.of(pieces.read_model()), []
+    product = pieces.combined
+    monkeypatch.setattr(pieces, "combined", lambda a, b: calls.append(1) or product(a, b))
+    text = prose(4, 300)
+    assert all(pieces.encode_by_scan(model, text, 40, fan) == model.library.encode(text) for fan in (2, 3, 32)) and len(calls) > 50
+
+
+def test_giants_go_through_products(spark, monkeypatch):
+    """Where the product is wrong, giants cannot be encoded: the main path combines matrices."""
+    model, text = pieces.PieceModel.of(pieces.read_model()), prose(5, 4000)
+    frame = spark.createDataFrame([("a", text), ("b", text[5:30_000])], "key string, text string")
+    got = {r.key: r.tokens for r in pieces.scan_giants(frame, pieces.read_model(), 256, 4).collect()}
+    assert got == {"a": model.library.encode(text), "b": model.library.encode(text[5:30_000])}
+    monkeypatch.setattr(pieces, "combined", lambda left, right: set())
+    with pytest.raises(Exception, match="states"):
+        pieces.scan_giants(frame, pieces.read_model(), 256, 4).collect()
+
+
+def test_words_and_tables_equal_the_library(documents):
+    model = pieces.PieceModel.of(pieces.read_model())
+    r = random.Random(2)
+    texts = ["".join(r.choice("aabeinorst  \n\té€𝔘▁xX12_-.\0\u3000") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    texts += [x.text or "" for x in documents.select("text").collect()] + ["", " ", "a ", " a", "a  b", "▁", "<s> </s> <unk> <0x41>", "x" * 5000]
+    ids, ends = pieces.encoded(model, pa.array(texts, pa.large_string()))
+    cuts = np.concatenate([[0], ends])
+    want = model.library.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == want
+    assert pieces.decoded(model, ids, cuts).to_pylist() == model.library.decode(want)
+    odd = [[1, 2], [0, 5], [200, 130, 3], [], [131, 200], [259], [29871, 29871, 259]]  # control ids, broken bytes, spaces
+    cuts = np.cumsum([0, *map(len, odd)])
+    assert pieces.decoded(model, np.array(sum(odd, []), np.int64), cuts).to_pylist() == [model.library.decode(o) for o in odd]
+    one = [[29871, 29871, 259], [259], [], [5000, 29871]]
+    cuts = np.cumsum([0, *map(len, one)])
+    assert pieces.decoded(model, np.array(sum(one, []), np.int64), cuts).to_pylist() == [model.library.decode(o) for o in one]
+
+
 def test_pieces_awkward(awkward, empty):
     model = pieces.PieceModel.of(pieces.read_model())
     out = pieces.encode(awkward, giant=600, chunk=250).withColumn("back", pieces.decode(F.col("tokens"))).select("text", "tokens", "back").collect()
