@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache, reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,41 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 65_536, 8_192
 #: Neighbouring matrices that are combined at once.
 FAN = 32
-#: Distinct words whose ids a worker keeps; longer words than that are not kept.
-KEPT_WORDS, KEPT_CHARS = 200_000, 64
+#: Distinct words whose ids a worker keeps from one slice to the next.
+KEPT_WORDS = 200_000
 SPACE = "▁"
 
 
+class Words:
+    """Ids of the words met so far: a slot for each in one array of ids. They only save time: what is dropped is encoded again."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.pool, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def make_room(self, coming: int) -> None:
+        if len(self.sizes) + coming > KEPT_WORDS:
+            self.__init__()
+
+    def added(self, library, texts: list[str]) -> np.ndarray:
+        """New slots with the ids of texts."""
+        lists = library.encode(texts, num_threads=1) if texts else []
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first = len(self.sizes)
+        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+        return np.arange(first, first + len(lists))
+
+    def slots(self, library, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        new = [words[i] for i in missing.tolist()]
+        out[missing] = self.added(library, new)
+        self.known.update(zip(new, out[missing].tolist(), strict=True))
+        return out
+
+
 class PieceModel:
     """A SentencePiece model's library processor, its pieces and the pairwise validity of tokens."""
 
@@ -57,7 +88,7 @@ class PieceModel:
         self.unknown = self.library.unk_id()
         #: Merges never cross a space.
         self.by_word = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
-        self.words: dict[str, np.ndarray] = {}
+        self.words = Words()
         # Bytes of each id for decoding; None where the library has a rule of its own.
         raw: list[bytes | None] = [None] * n
         for name, i in self.ids.items():
@@ -101,45 +132,32 @@ class PieceModel:
 
 def encoded(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(token ids of all texts, end of each text's) of a large_string array without nulls."""
-    own = model.library.encode
     lists = pc.split_pattern(texts, " ")
     cuts = np.asarray(lists.offsets).astype(np.int64)
     flat = lists.flatten().dictionary_encode()
     index = np.asarray(flat.indices).astype(np.int64)
-    names = flat.dictionary.to_pylist()
     # Texts with spaces beside spaces or at an end, or with the mark itself, go to the library whole.
     counts = np.diff(cuts)
-    empty = np.array([not w for w in names], bool)
-    whole = np.asarray(pc.match_substring(texts, SPACE)).astype(bool)
-    if not model.by_word:
-        whole[:] = True
+    empty = np.asarray(pc.equal(pc.binary_length(flat.dictionary), 0))
     row = np.repeat(np.arange(len(texts)), counts)
+    whole = np.asarray(pc.match_substring(texts, SPACE)) | (not model.by_word)
     whole[row[empty[index]]] = True
-    kept = model.words
-    if len(kept) > KEPT_WORDS:
-        kept.clear()
-    used = np.zeros(len(names), bool)
-    used[index[~whole[row]]] = True
-    short = [w for w, u in zip(names, used.tolist(), strict=True) if u and w not in kept]
-    made = dict(zip(short, (np.array(x, np.int32) for x in own(short, num_threads=1)), strict=True)) if short else {}
-    none = np.zeros(0, np.int32)
-    pool = [(kept.get(w) if w in kept else made[w]) if u else none for w, u in zip(names, used.tolist(), strict=True)]
-    kept.update((w, x) for w, x in made.items() if len(w) <= KEPT_CHARS)
     at = np.flatnonzero(whole)
-    for i in at.tolist():
-        text = texts[i].as_py()
-        pool.append(np.array(own(text), np.int32) if text else none)
+    used = np.zeros(len(empty), bool)
+    used[index[~whole[row]]] = True
+    model.words.make_room(np.count_nonzero(used) + len(at))
+    slots = np.zeros(len(empty), np.int64)
+    slots[used] = model.words.slots(model.library, flat.dictionary.filter(pa.array(used)).to_pylist())
     counts = np.where(whole, 1, counts)
     mark = np.repeat(whole, counts)
     entry = np.empty(len(mark), np.int64)
-    entry[~mark] = index[~whole[row]]
-    entry[mark] = len(names) + np.arange(len(at))
-    sizes = np.array([len(x) for x in pool], np.int64)
-    begins = np.cumsum(sizes) - sizes
+    entry[~mark] = slots[index[~whole[row]]]
+    entry[mark] = model.words.added(model.library, texts.take(pa.array(at)).to_pylist())
+    begins, sizes, pool = model.words.begins, model.words.sizes, model.words.pool
     size = sizes[entry]
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    ids = np.concatenate([none, *pool])[np.repeat(begins[entry] - ends + size, size) + np.arange(total)]
+    ids = pool[np.repeat(begins[entry] - ends + size, size) + np.arange(total)]
     return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
 
 
