@@ -27,7 +27,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SLICE_BYTES, fresh, ship, slices, staged, text_column, worker_cache
@@ -38,7 +37,7 @@ GIANT, CHUNK = 65_536, 8_192
 #: Neighbouring matrices that are combined at once.
 FAN = 32
 #: Distinct words whose ids a worker keeps from one slice to the next.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 SPACE = "▁"
 
 
@@ -46,12 +45,8 @@ class Words:
     """Ids of the words met so far: a slot for each in one array of ids. They only save time: what is dropped is encoded again."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-        self.pool, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def make_room(self, coming: int) -> None:
-        if len(self.sizes) + coming > KEPT_WORDS:
-            self.__init__()
+        self.known = {"": 0}  # slot 0: no word
+        self.pool, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def added(self, library, texts: list[str]) -> np.ndarray:
         """New slots with the ids of texts."""
@@ -64,11 +59,15 @@ class Words:
         return np.arange(first, first + len(lists))
 
     def slots(self, library, words: list[str]) -> np.ndarray:
-        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(self.sizes) > KEPT_WORDS:
+            self.__init__()
+        known = self.known
+        out = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(out < 0)
-        new = [words[i] for i in missing.tolist()]
-        out[missing] = self.added(library, new)
-        self.known.update(zip(new, out[missing].tolist(), strict=True))
+        asked = [words[i] for i in missing.tolist()]
+        new = list(dict.fromkeys(asked))
+        known.update(zip(new, self.added(library, new).tolist(), strict=True))
+        out[missing] = np.fromiter(map(known.get, asked), np.int64, len(asked))
         return out
 
 
@@ -132,27 +131,18 @@ class PieceModel:
 
 def encoded(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(token ids of all texts, end of each text's) of a large_string array without nulls."""
-    lists = pc.split_pattern(texts, " ")
-    cuts = np.asarray(lists.offsets).astype(np.int64)
-    flat = lists.flatten().dictionary_encode()
-    index = np.asarray(flat.indices).astype(np.int64)
+    rows = texts.to_pylist()
+    counts = np.array([t.count(" ") + 1 for t in rows], np.int64)
+    slots = model.words.slots(model.library, " ".join(rows).split(" ") if rows else [])
+    row = np.repeat(np.arange(len(rows)), counts)
     # Texts with spaces beside spaces or at an end, or with the mark itself, go to the library whole.
-    counts = np.diff(cuts)
-    empty = np.asarray(pc.equal(pc.binary_length(flat.dictionary), 0))
-    row = np.repeat(np.arange(len(texts)), counts)
-    whole = np.asarray(pc.match_substring(texts, SPACE)) | (not model.by_word)
-    whole[row[empty[index]]] = True
-    at = np.flatnonzero(whole)
-    used = np.zeros(len(empty), bool)
-    used[index[~whole[row]]] = True
-    model.words.make_room(np.count_nonzero(used) + len(at))
-    slots = np.zeros(len(empty), np.int64)
-    slots[used] = model.words.slots(model.library, flat.dictionary.filter(pa.array(used)).to_pylist())
+    whole = np.array([not model.by_word or SPACE in t for t in rows], bool)
+    whole[row[slots == 0]] = True
     counts = np.where(whole, 1, counts)
     mark = np.repeat(whole, counts)
     entry = np.empty(len(mark), np.int64)
-    entry[~mark] = slots[index[~whole[row]]]
-    entry[mark] = model.words.added(model.library, texts.take(pa.array(at)).to_pylist())
+    entry[~mark] = slots[~whole[row]]
+    entry[mark] = model.words.added(model.library, [t for t, w in zip(rows, whole.tolist(), strict=True) if w])
     begins, sizes, pool = model.words.begins, model.words.sizes, model.words.pool
     size = sizes[entry]
     ends = np.cumsum(size)
