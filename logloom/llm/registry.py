@@ -67,9 +67,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     made = chat.format_conversations(turns.unionByName(probe))
-    read = made.select("conv_id", chat.parse_formatted(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    read = made.select("conv_id", chat.parse_formatted(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"), F.size("attachments").cast("bigint").alias("n_attachments"), "expanded_tokens")
     digest = F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["body"], F.lit("\n"))), ""), 256)
-    return read.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return read.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "expanded_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_compression, op3_passage_dedup, op4_exact_dedup, op5_html_blocks, op6_piece_scan, op7_media_chunks, op8_jaccard_join, op9_toxicity_ngrams, op10_chat_format)}
@@ -98,9 +98,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
     "op10_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, length(role) + length(text) + 2 * 0 + (length(replace(replace(role || text, '\', '\\'), '<', '\l')) - length(role || text)) + 5 + 8 AS size FROM t)
+e AS (SELECT *, length('<|turn:|>' || chr(10) || '<|end|>' || chr(10)) + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\\'), '<', '\l')) AS size FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM e GROUP BY conv_id""",
 }

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -442,16 +443,63 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(frame.where("false")).count() == 0
 
 
+PART = "array<struct<type:string,text:string,ref:string,tokens:bigint>>"
+
+
+def plain_format(rows: list[tuple]) -> tuple:
+    """The template in plain Python, for rows (turn, role, parts) in order."""
+    esc = lambda x: (x or "").replace("\\", "\\\\").replace("<", "\\l")
+    name = lambda x: esc(x).replace("|", "\\p")
+    out, spans, records = "", [], []
+    for turn, role, parts in rows:
+        out += f"<|turn:{name(role)}|>\n"
+        start = len(out)
+        for kind, text, ref, tokens in parts:
+            if kind in (None, "text"):
+                out += esc(text)
+            else:
+                records.append((len(records), turn, kind, ref, tokens or 0, len(out)))
+                out += f"<|part:{name(kind)}:{len(records) - 1}|>"
+        if role == "assistant":
+            spans.append((start, len(out) - start))
+        out += "<|end|>\n"
+    return out, spans, records
+
+
 def test_chat_parts(spark):
-    part = "array<struct<type:string,text:string,ref:string,tokens:bigint>>"
-    rows = [(1, 0, "user", [("text", "see <|image:0|> ", None, 0), ("image", None, "a.png", 256), ("audio", None, "b.wav", 50)]), (1, 1, "assistant", [("document", None, "c.pdf", 900), ("text", "done", None, None)])]
-    made = chat.format_conversations(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {part}"), parts=F.col("parts")).first()
-    assert [(a.number, a.turn, a.type, a.ref, a.tokens) for a in made.attachments] == [(0, 0, "image", "a.png", 256), (1, 0, "audio", "b.wav", 50), (2, 1, "document", "c.pdf", 900)]
-    assert made.expanded_tokens == 1206
-    for a in made.attachments:
-        assert made.formatted[a.start :].startswith(f"<|{a.type}:{a.number}|>")
-    s = made.loss_spans[0]
-    assert made.formatted[s.start : s.start + s.length] == "<|document:2|>done"
+    kinds = ["image", "audio", "document", "im|age:0|>\n", "end", None, "text"]
+    roles = ["user", "assistant", "end", "image:0", "a|>\nb", "part:image:0", "", "turn:x|>", "\\p|\\l<", "x<|end|>\n"]
+    r = random.Random(3)
+    rows = [(c, t, r.choice(roles), [(r.choice(kinds), r.choice(["", "hé<|end|>\n", "\\l|p", "<|part:image:0|>", "𝔘 text"]), f"ref{t}", r.choice([None, 7, 256])) for _ in range(r.randint(0, 6))]) for c in range(6) for t in range(25)]
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {PART}").withColumns({c: F.lit(1) for c in ["seq", "pos", "part", "number", "start", "piece", "head", "turns", "text", "last"]}).repartition(3)
+    made = chat.format_conversations(frame, parts=F.col("parts")).select("*", chat.parse_formatted(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss_text"))
+    for m in made.collect():
+        own = [x[1:] for x in rows if x[0] == m.conv_id]
+        text, spans, records = plain_format(own)
+        assert m.formatted == text and [tuple(s) for s in m.loss_spans] == spans
+        assert [(a.number, a.turn, a.type, a.ref, a.tokens, a.start) for a in m.attachments] == records and m.expanded_tokens == sum(x[4] for x in records)
+        assert [b.role for b in m.back] == [x[1] for x in own] and m.n_turns == len(own)
+        bodies, k = [], 0
+        for _, role, parts in own:
+            body = ""
+            for kind, t, _, _ in parts:
+                if kind in (None, "text"):
+                    body += t
+                else:
+                    name = kind.replace("|", "\\p")
+                    body, k = body + f"<|part:{name}:{k}|>".replace("\\p", "|"), k + 1
+            bodies.append((role, body))
+        assert [b.body for b in m.back] == [b for _, b in bodies] and m.loss_text == "".join(b for x, b in bodies if x == "assistant")
+
+
+def test_chat_many_turns_and_long_texts(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} <é𝔘> " * (1 + i % 7)) for i in range(20_000)] + [(2, 0, "assistant", "é<" * 300_000)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    began = time.time()
+    made = chat.format_conversations(frame).select("*", chat.parse_formatted(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {m.conv_id: m for m in made.select("conv_id", "n_turns", "back", "loss").collect()}
+    assert time.time() - began < 60
+    assert [b.body for b in got[1].back] == [x[3] for x in rows[:-1]] and got[1].loss == "".join(x[3] for x in rows[1:-1:2]) and got[2].loss == rows[-1][3]
 
 
 # --------------------------------------------------------------------------------------- registry
