@@ -1,14 +1,15 @@
 """Operator 5: main text of HTML pages by two-pass block rules.
 
 A scanner cuts a page into blocks: runs of text between block-level tags, with their link
-characters and their place in the page. What the markup itself declares as no article (menus,
-page headers and footers, sidebars, notices, adverts, forms, comments, scripts, hidden parts) is left
-out, by element, ARIA role, or a word of the class or id.
+characters and their place in the page, in time linear in the page. Markup is evidence: what it declares as no article (menus,
+page headers and footers, sidebars, notices, adverts, forms, comments, scripts, hidden parts; by element, ARIA role, or a
+word of the class or id) is decided so, and inside <article> or <main> a block needs less evidence of its own.
 
-Pass 1 decides a block by link density, length and the share of stop words; inside <article> or
-<main> a block needs less evidence. Short blocks without evidence stay open. Pass 2 gives open
-blocks the label of the nearest decided neighbours: of both if they agree, else of the nearer
-one, else none; a heading takes the label of what follows it. Where nothing is decided, open blocks inside an article are kept.
+Pass 1 decides the other blocks by link density, length and the share of stop words: many links say no, a long
+block with the stop words of running text says yes, a very long one without links too. All others, mostly short, stay open.
+Pass 2 gives open blocks the label of the nearest decided neighbours: of both if they agree, else of the nearer
+one (at equal distance: no, but inside an article yes); a heading takes the label of what follows it. Blocks that markup decides don't vote, and inside an
+article only its own blocks do. Where no neighbour is decided, open blocks without links are kept.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end with their parent,
 unclosed comments and scripts at the end of the page; a lone "<" is text; two <br> part blocks, one
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -92,7 +94,9 @@ def names_other(tag: str, attrs: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, inside an article
+    # Open elements: tag, left out, inside an article, how many of them (with itself) are block elements, and are menus or page headers.
+    stack: list[tuple[str, bool, bool, int, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where each tag is open
     text: list[str] = []
     linked = links = breaks = 0
 
@@ -101,7 +105,7 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            _, out, article = stack[-1] if stack else ("", False, False)
+            _, out, article, *_ = stack[-1] if stack else ("", False, False)
             found.append(Block(joined, min(linked, len(joined)), out, article, any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1] in "123456" for s in stack[-2:])))
         linked = breaks = 0
 
@@ -114,6 +118,10 @@ def blocks(page: str) -> list[Block]:
                 linked += len(" ".join(piece.split()))
         text.append(piece)
 
+    def shut(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop()[0]].pop()
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -136,55 +144,56 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             links = 0 if closing else 1
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if place >= 0:
-                if tag not in BLOCK_TAGS and any(s[0] in BLOCK_TAGS for s in stack[place:]):
+            if places[tag]:
+                place = places[tag][-1]
+                if tag not in BLOCK_TAGS and stack[-1][3] > (stack[place - 1][3] if place else 0):
                     continue  # an inline end tag ends no block element
                 if stack[place][1] and tag not in BLOCK_TAGS:
                     end_block()
-                del stack[place:]
+                shut(place)
             continue
         if tag in VOID_TAGS or attrs.endswith("/"):
             continue
-        if tag in ("p", "li", "tr", "dt", "dd", "option") and stack and any(s[0] == tag for s in stack[-3:]):
-            place = max(i for i, s in enumerate(stack) if s[0] == tag)
-            if not any(s[0] in ("ul", "ol", "table", "div", "section", "article", "dl") for s in stack[place:]):
-                del stack[place:]
+        if tag in ("p", "li", "tr", "dt", "dd", "option") and places[tag] and places[tag][-1] >= len(stack) - 3:
+            if not any(s[0] in ("ul", "ol", "table", "div", "section", "article", "dl") for s in stack[places[tag][-1] :]):
+                shut(places[tag][-1])
         if tag in ("article", "main"):  # a menu or page header that was never closed does not hold the article
-            while stack and stack[-1][1] and any(s[0] in ("nav", "header", "head") for s in stack):
-                stack.pop()
-        _, out, article = stack[-1] if stack else ("", False, False)
+            while stack and stack[-1][1] and stack[-1][4]:
+                shut(len(stack) - 1)
+        _, out, article, nested, menus = stack[-1] if stack else ("", False, False, 0, 0)
         other = names_other(tag, attrs) or tag == "header" and not article
         if other and tag not in BLOCK_TAGS:
             end_block()
         if other and article and tag in ("header",):
             other = False
-        stack.append((tag, out or other, article or (tag in ("article", "main") and not (out or other))))
+        places[tag].append(len(stack))
+        stack.append((tag, out or other, article or (tag in ("article", "main") and not (out or other)), nested + (tag in BLOCK_TAGS), menus + (tag in ("nav", "header", "head"))))
     if at < len(page):
         take(page[at:])
     end_block()
     return found
 
 
+#: Pass 1, inside an article and elsewhere: link density from which a block is none of it; (length, share of stop words) from
+#: which a block is; length from which one without links is.
+INSIDE = (0.6, ((80, 0.2), (250, 0.12)), 600)
+ELSEWHERE = (0.33, ((200, 0.3), (400, 0.15)), 600)
+
+
 def decided(block: Block) -> bool | None:
     """Pass 1: True for text of the article, False for other text, None if the block tells too little."""
+    if block.out:
+        return False
     n = len(block.text)
     density = block.linked / n
+    dense, wordy, long = INSIDE if block.article else ELSEWHERE
+    if density > dense and n < 400 or density > 0.8 or not block.article and 0 < block.linked and n < 70:
+        return False
     tokens = [t.strip(".,;:!?()[]\"'*#$%&|").lower() for t in block.text.split()]
     stops = sum(t in STOP_WORDS for t in tokens) / len(tokens)
-    if block.article:
-        if density > 0.6 and n < 400:
-            return False
-        return True if n >= 60 or stops >= 0.2 else None
-    if density > 0.33:
-        return False
-    if n < 70:
-        return False if block.linked else None
-    if stops >= 0.3:
-        return True if n > 200 else None
-    if stops >= 0.15:
-        return True if n > 400 else None
-    return n > 600 and density < 0.05
+    if any(n >= length and stops >= share for length, share in wordy):
+        return density <= dense
+    return True if n > long and density < 0.05 else None
 
 
 def nearest(found: list[Block], speaks) -> list[tuple[int | None, int | None]]:
@@ -199,27 +208,34 @@ def nearest(found: list[Block], speaks) -> list[tuple[int | None, int | None]]:
     return [(a, b) for a, b in out]
 
 
-def extract(page: str | None) -> str:
-    """The main text: kept blocks in page order, joined by newlines."""
-    if not page:
-        return ""
-    found = blocks(page)
-    inside = any(b.article and not b.out for b in found)
-    for b in found:
-        b.label = False if b.out or inside and not b.article else decided(b)
-    everywhere, within = nearest(found, lambda b: True), nearest(found, lambda b: b.article and not b.out)
+def settle(found: list[Block]) -> None:
+    """Pass 2: open blocks inherit."""
+    everywhere, within = nearest(found, lambda b: not b.out), nearest(found, lambda b: b.article and not b.out)
     labels = [b.label for b in found]
     for i, b in enumerate(found):
         if b.label is not None:
             continue
-        left, right = (within if b.article else everywhere)[i]  # in an article only its own text speaks
+        left, right = (within if b.article else everywhere)[i]
         if b.heading and right is not None:  # a heading belongs to what follows
             b.label = labels[right]
         elif left is not None and right is not None:
             nearer = left if i - left < right - i else right
-            b.label = labels[left] and labels[right] if i - left == right - i else labels[nearer]
+            tied = labels[left] or labels[right] if b.article else labels[left] and labels[right]
+            b.label = tied if i - left == right - i else labels[nearer]
+        elif left is not None or right is not None:
+            b.label = labels[right if left is None else left]
         else:
-            b.label = labels[left] if left is not None else labels[right] if right is not None else b.article
+            b.label = not b.linked
+
+
+def extract(page: str | None) -> str:
+    """The main text: kept blocks in page order, joined by newlines."""
+    if not page:
+        return ""
+    found = blocks(page)
+    for b in found:
+        b.label = decided(b)
+    settle(found)
     return "\n".join(b.text for b in found if b.label)
 
 

@@ -333,8 +333,89 @@ def test_html():
     assert html_text.extract("<article><p>Tiny.</article>") == "Tiny." and html_text.extract("<nav>x<article><p>" + LONG) == LONG.strip()
 
 
+def by_hand(page: str) -> list[tuple[str, bool]]:
+    """Blocks of a page whose block elements are p, h1, li and div, none nested, and whether each is decided True by its own words."""
+    out = []
+    for body in re.findall(r"<(?:p|h1|li|div)>(.*?)</(?:p|h1|li|div)>", page, re.S):
+        text = " ".join(re.sub("<[^>]*>", "", body).split())
+        linked = sum(len(x) for x in re.findall(r"<a>(.*?)</a>", body))
+        tokens = text.lower().split()
+        stops = sum(w in html_text.STOP_WORDS for w in tokens) / len(tokens)
+        out.append((text, False if linked > 0.33 * len(text) else True if len(text) >= 200 and stops >= 0.3 else None))
+    return out
+
+
+def test_html_rules_against_brute_force():
+    """Pages without any markup of their parts: each pass decides blocks, and without either the outcome is another."""
+    r = random.Random(12)
+    changed = [0, 0]
+    for _ in range(200):
+        parts = []
+        for _ in range(r.randint(1, 12)):
+            kind = r.choice(["long", "short", "links", "words"])
+            parts.append({"long": f"<p>{LONG * 3}{r.randrange(99)}</p>", "short": f"<p>Short {r.randrange(999)}.</p>", "links": f"<li><a>{'Menu entry ' * r.randint(1, 4)}</a></li>", "words": f"<div>{prose(r.randrange(999), 12)}</div>"}[kind])
+        page = "".join(parts)
+        rows = by_hand(page)
+        labels = []
+        for i, (_, label) in enumerate(rows):
+            if label is None:
+                before = [j for j in range(i) if rows[j][1] is not None][-1:]
+                after = [j for j in range(i + 1, len(rows)) if rows[j][1] is not None][:1]
+                near = sorted((abs(i - j), rows[j][1]) for j in before + after)
+                label = near[0][1] if near else True  # at equal distance False comes first
+            labels.append(label)
+        assert html_text.extract(page) == "\n".join(t for (t, _), k in zip(rows, labels, strict=True) if k)
+        changed[0] += False in [x for _, x in rows] and True in [x for _, x in rows]
+        changed[1] += any(x is None and k is False for (_, x), k in zip(rows, labels, strict=True)) and any(x is None and k for (_, x), k in zip(rows, labels, strict=True))
+    assert min(changed) > 20
+
+
+def test_html_plain_short_paragraphs():
+    page = "<div class=menu><a href=x>Home</a></div><div>Two short words.</div><div>And some more.</div><div id=footer>Imprint</div>"
+    assert html_text.extract(page) == "Two short words.\nAnd some more."
+    links = "<article><p>" + LONG * 2 + "</p><ul><li><a href=x>" + "Read this too " * 4 + "</a></li></ul><p>Short.</p><p>" + LONG + "</p></article>"
+    assert html_text.extract(links).split("\n") == [" ".join((LONG * 2).split()), "Short.", LONG.strip()]
+
+
+def test_html_is_linear_in_tags():
+    began = time.time()
+    for odd in ("<b>" * 100_000 + "x" + "</i>" * 100_000, "<p>" * 100_000, "<div>" * 100_000 + "y" + "</span>" * 100_000, "<nav>" * 50_000 + "<article>z", "<li><b>" * 50_000, "</b>" * 100_000, "<" * 100_000):
+        assert isinstance(html_text.extract(odd), str)
+    assert time.time() - began < 30
+
+
+def test_html_on_pages(spark):
+    """Real pages: the text holds the article's own blocks as a plain parser finds them, and nothing of the parts around it."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.inside, self.outside = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html_text.VOID_TAGS:
+                self.path.append((tag, dict(attrs)))
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in self.path]:
+                while self.path.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.path]
+            if data.strip() and not {"script", "style", "title", "head"} & set(tags):
+                marked = any(html_text.names_other(t, " ".join(f'{k}="{v}"' for k, v in a.items())) for t, a in self.path)
+                (self.inside if {"article", "main"} & set(tags) and not marked else self.outside).append("".join(data.split()))
+
+    for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain, got = Article(), "".join(html_text.extract(page.html).split())
+        plain.feed(page.html or "")
+        assert got == "".join(plain.inside)
+
+
 def test_html_awkward(spark):
-    frame = spark.createDataFrame([(1, None), (2, ""), (3, PAGE), (3, PAGE)], "page_id bigint, html string")
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, PAGE), (3, PAGE)], "page_id bigint, html string").withColumns({c: F.lit(1) for c in CLASH})
     assert [r.t[:1] for r in frame.select(html_text.main_text(F.col("html")).alias("t")).collect()] == ["", "", "A", "A"]
     assert frame.where("false").select(html_text.main_text(F.col("html")).alias("t")).count() == 0
 
