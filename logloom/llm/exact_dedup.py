@@ -1,10 +1,10 @@
 """Operator 4: exact dedup by progressive refinement, in DataFrame operations only.
 
-Three passes narrow the candidates: equal length, then equal length and prefix hash, then
-equal full hash (SHA-256), which is taken only of rows whose (length, prefix hash) occurs
-more than once. A column store hands over a value whole, so the first pass sees the text but
-shuffles only 20 bytes of it a row. The surviving groups reach the second pass as a bitmap of
-fixed size (common.bitmap_of): no text is ever shuffled. False hits of the bitmap only cost a hash.
+Three passes narrow the candidates. Lengths first: only rows whose length another row has go on. Their prefixes are
+hashed, and only rows whose (length, prefix hash) another row has go on. Of these the full hash (SHA-256)
+is taken, and equal ones are equal texts. A column store hands over a value whole, so each pass sees the text, but it
+shuffles a few numbers a row. What survives a pass reaches the next one as a bitmap of
+fixed size (common.bitmap_of): no text is ever shuffled. False hits of a bitmap only cost a hash.
 
 Hot groups: counts are summed per (key, salt of the id) before they meet, and the joins back
 to the rows use the same salted keys, so no task gets a whole group.
@@ -32,28 +32,37 @@ def _id(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
+def repeated_lengths(docs: DataFrame, id_col: str, text_col: str, salts: int = SALTS) -> DataFrame:
+    """Column n: each length that more than one row has."""
+    slim = docs.select(F.octet_length(_text(text_col)).cast("bigint").alias("n"), F.pmod(F.xxhash64(_id(id_col)), F.lit(salts)).alias("s"))
+    return slim.groupBy("n", "s").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("c")).where("c > 1").select("n")
+
+
 def surviving_groups(docs: DataFrame, id_col: str, text_col: str, salts: int = SALTS, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Columns key: hash of each (length, prefix hash) that more than one row has."""
-    text = _text(text_col)
-    slim = docs.select(F.octet_length(text).alias("n"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("p"), F.pmod(F.xxhash64(_id(id_col)), F.lit(salts)).alias("s"))
-    cells = slim.groupBy("n", "p", "s").agg(F.count("*").alias("c"))
-    by_prefix = cells.groupBy("n", "p").agg(F.sum("c").alias("c"))
-    by_prefix = staged(by_prefix, "exact-prefixes")
-    by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("rows")).where("rows > 1").select("n")
-    return by_prefix.where("c > 1").join(by_length, "n", "left_semi").select(F.xxhash64("n", "p").alias("key"))
+    """Columns key: hash of each (length, prefix hash) that more than one row has; prefixes are hashed only of lengths that repeat."""
+    lengths = bitmap_of(repeated_lengths(docs, id_col, text_col, salts), "n")
+    text = F.col("text")
+    rows = docs.select(_text(text_col).alias("text"), F.octet_length(_text(text_col)).cast("bigint").alias("n"), F.pmod(F.xxhash64(_id(id_col)), F.lit(salts)).alias("s"))
+    slim = with_hit(rows, lengths, "n", "hit").where("hit").select("n", F.xxhash64(F.substring(text, 1, prefix_chars)).alias("p"), "s")
+    by_prefix = slim.groupBy("n", "p", "s").agg(F.count("*").alias("c")).groupBy("n", "p").agg(F.sum("c").alias("c"))
+    return by_prefix.where("c > 1").select(F.xxhash64("n", "p").alias("key"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, salts: int = SALTS, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, salts: int = SALTS, prefix_chars: int = PREFIX_CHARS, full: str | None = None, digest: str | None = None) -> DataFrame:
     """One row per row of docs: the carried columns (default: the id), keep_id, group_size, kept.
 
-    keep_id is the largest id of the rows with equal text; kept marks that one row.
+    keep_id is the largest id of the rows with equal text; kept marks that one row. full: name of a column for the full
+    hash of rows that reached the last pass (null: its text is the only one); digest: for the full hash of every row,
+    which the last scan then takes of the others too.
     """
     carry = [id_col] if carry is None else list(dict.fromkeys([id_col, *carry]))
     survivors = bitmap_of(surviving_groups(docs, id_col, text_col, salts, prefix_chars), "key")
     text = _text(text_col)
-    packed = docs.select(F.struct(*[_id(c) for c in carry]).alias("row"), _id(id_col).alias("own"), text.alias("text"), F.octet_length(text).alias("n"), F.xxhash64(F.octet_length(text), F.xxhash64(F.substring(text, 1, prefix_chars))).alias("key"), F.pmod(F.xxhash64(_id(id_col)), F.lit(salts)).alias("salt"))
+    size = F.octet_length(text).cast("bigint")
+    packed = docs.select(F.struct(*[_id(c) for c in carry]).alias("row"), _id(id_col).alias("own"), text.alias("text"), size.alias("n"), F.xxhash64(size, F.xxhash64(F.substring(text, 1, prefix_chars))).alias("key"), F.pmod(F.xxhash64(_id(id_col)), F.lit(salts)).alias("salt"))
     hit = with_hit(packed, survivors, "key", "hit")
-    rows = staged(hit.select("row", "own", "n", "salt", F.when(F.col("hit"), F.sha2("text", 256)).alias("full")), "exact-rows")
+    hash_ = F.sha2("text", 256)
+    rows = staged(hit.select("row", "own", "n", "salt", F.when(F.col("hit"), hash_).alias("full"), *([F.when(~F.col("hit"), hash_).alias("other")] if digest else [])), "exact-rows")
 
     cells = rows.where("full is not null").groupBy("n", "full", "salt").agg(F.max("own").alias("cell_max"), F.count("*").alias("cell_n"))
     groups = cells.groupBy("n", "full").agg(F.max("cell_max").alias("keep"), F.sum("cell_n").alias("size")).where("size > 1")
@@ -64,7 +73,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turn = F.row_number().over(Window.partitionBy("n", "full", "salt", "own").orderBy(F.lit(0)))
     out = out.withColumn("turn", turn)
     kept = single | (F.col("own").eqNullSafe(F.col("keep")) & (F.col("turn") == 1))
-    return out.select("row.*", F.when(single, F.col("own")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), kept.alias("kept"))
+    hashes = ([F.col("full").alias(full)] if full else []) + ([F.coalesce("full", "other").alias(digest)] if digest else [])
+    return out.select("row.*", *hashes, F.when(single, F.col("own")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), kept.alias("kept"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -74,13 +84,14 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the few rows that it marks.
     """
     others = [c for c in docs.columns if c != text_col]
-    marked = docs.select(F.struct(*[_id(c) for c in docs.columns]).alias("whole"), _id(id_col).alias("own"), _text(text_col).alias("text"), F.sha2(_text(text_col), 256).alias("digest"))
-    groups = exact_groups(marked, "own", "text", ["digest"], salts)
+    marked = docs.select(F.struct(*[_id(c) for c in docs.columns]).alias("whole"), _id(id_col).alias("own"), _text(text_col).alias("text"))
+    groups = exact_groups(marked.select("own", "text"), "own", "text", salts=salts, full="digest")
     lost = staged(groups.where("not kept").groupBy(F.col("own").alias("lost_id"), F.col("digest").alias("lost_digest")).agg(F.count("*").alias("lost")), "exact-lost")
-    bitmap = bitmap_of(lost.withColumn("key", F.xxhash64("lost_id", "lost_digest")), "key")
-    rows = with_hit(marked.withColumn("key", F.xxhash64("own", "digest")), bitmap, "key", "hit")
+    bitmap = bitmap_of(lost.select(F.xxhash64("lost_id").alias("key")), "key")
+    rows = with_hit(marked.withColumn("key", F.xxhash64("own")), bitmap, "key", "hit")
     clear = rows.where("not hit").select("whole.*")
+    rows = rows.where("hit").withColumn("digest", F.sha2("text", 256))
     # Of repeats of one id and text all but the lost count stay.
     order = F.row_number().over(Window.partitionBy("own", "digest").orderBy(F.to_json(F.struct(*[F.col(f"whole.`{c}`") for c in others]))))
-    doubtful = rows.where("hit").withColumn("turn", order).join(lost, F.col("own").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left")
+    doubtful = rows.withColumn("turn", order).join(lost, F.col("own").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left")
     return clear.unionByName(doubtful.where("lost is null or turn > lost").select("whole.*"))

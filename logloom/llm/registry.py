@@ -23,8 +23,7 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return exact_dedup.exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
