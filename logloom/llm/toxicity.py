@@ -1,6 +1,6 @@
 """Operator 9: toxicity by a linear classifier over character n-grams scaled by log-count ratios.
 
-Features say whether an n-gram (of lowered UTF-8 bytes, hashed) occurs in a text. Naive Bayes
+Features say whether an n-gram (of lowered code points, hashed) occurs in a text. Naive Bayes
 log-count ratios r are counted over labelled texts; all n-grams whose shares differ significantly are kept
 (2**TABLE_BITS slots at most), each present one has the value r, and logistic regression with L2 penalty
 weighs them, in blocks of texts that hold 4 bytes for each (text, feature) pair.
@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SLICE_BYTES, U64, buffers, lowered, running, ship, spans_hash, text_column
+from .common import SLICE_BYTES, U64, running, ship, slices, spans_hash, text_column
 from .labelled import sample
 
 LENGTHS = (4, 5, 6)
@@ -41,12 +42,12 @@ class ToxicModel:
 
 def grams(texts: pa.Array):
     """For slices of the texts: (index of the first text, texts, text index of each gram, its hash slot)."""
-    data, offsets = buffers(texts)
     start = 0
-    while start < len(texts):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES // 4, "right")) - 1)
-        lo, hi = offsets[start], offsets[end]
-        own, cuts = lowered(data[lo:hi]), offsets[start : end + 1] - lo
+    for _, part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES // 4):
+        low = pc.utf8_lower(part)
+        own = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le"), np.uint32)
+        cuts = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(low)))]).astype(np.int64)
+        end = start + len(part)
         sums = running(own)
         rows, slots = [], []
         for n in LENGTHS:
