@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import FILTER_BITS, SLICE_BYTES, U64, mixed, ship, slices, staged
+from .common import FILTER_BITS, SLICE_BYTES, U64, bitmap_bytes, mixed, ship, slices, staged
 
 UNIT = 192
 #: Bytes of a chunk: at least, in the mean after that (a power of two), at most.
@@ -129,12 +129,7 @@ def shared_digests(lists: DataFrame) -> bytes:
     """A bitmap of 2**FILTER_BITS bits (8 MB, whatever the input) of the digests that occur more than once."""
     counts = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("c")).where("c > 1")
     head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
-    bit = F.shiftright(head, 32 - FILTER_BITS) + 1
-    rows = counts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
-    out = bytearray(1 << FILTER_BITS - 3)
-    for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
-    return bytes(out)
+    return bitmap_bytes(counts.select((F.shiftright(head, 32 - FILTER_BITS) + 1).alias("bit")))
 
 
 def may_be_shared(bitmap: bytes, digest: bytes) -> bool:
@@ -143,9 +138,9 @@ def may_be_shared(bitmap: bytes, digest: bytes) -> bool:
 
 
 def store_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    """A compression dictionary from a bounded sample; any bytes give a right store, good ones a small one."""
-    texts = docs.where(F.octet_length(F.col(f"`{text_col}`")).between(1, 1 << 16)).select(F.col(f"`{text_col}`")).limit(DICTIONARY_ROWS).collect()
-    return b"".join(r[0].encode()[:2000] for r in texts)[:DICTIONARY_BYTES]
+    """A compression dictionary from a bounded sample, the same in every run; any bytes give a right store, good ones a small one."""
+    texts = _texts(docs, text_col).where(F.octet_length("text").between(1, 1 << 16)).select(F.substring("text", 1, 2000).alias("text"), F.xxhash64("text").alias("h"))
+    return b"".join(r[0].encode()[:2000] for r in texts.orderBy("h", "text").limit(DICTIONARY_ROWS).collect())[:DICTIONARY_BYTES]
 
 
 def _packer(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
