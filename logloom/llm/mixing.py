@@ -11,18 +11,20 @@ The prefix sum has two levels, so that no task gets a whole source: rows are num
 bands, at most 256 * cells and 256 rows a source, are summed before them.
 
 The table of sources (one row each) is ranked and levelled in one task: it is the mix's own
-specification, far smaller than the documents.
+specification, far smaller than the documents. At 1e6 sources (hosts, say) that is some 1e8 bytes in one task;
+mixes with more sources than that should be levelled by groups of sources first.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source
 of size 0 has target 0 and takes nothing; repeated rows are sampled one by one; an empty table
-gives an empty result. Reruns agree: order and offset depend only on ids, sources and the seed.
+gives an empty result. Reruns agree: order and offset depend only on ids, sources, sizes and the seed, and between rows that repeat
+an id on what is carried. Carried columns may have any name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import fresh, staged
+from .common import staged
 
 #: Hash ranges in each band of sizes. At 3e10 documents, a third of them in one source, a cell has about 1e6 rows.
 CELLS = 256
@@ -69,9 +71,9 @@ def levelled(sources: DataFrame, share: float, cap: float) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, carry: list[str] | None = None, seed: str = "mix", cells: int = CELLS) -> DataFrame:
     """Per row of docs: the carried columns (default: the id), size, source_size, target, copies, taken."""
     carry = [id_col] if carry is None else list(dict.fromkeys([id_col, *carry]))
-    taken = docs.select(*[F.col(f"`{c}`") for c in carry])
-    size, source, band, cell, mark = fresh(taken, "size_", "source_", "band_", "cell_", "mark_")
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], word_count(F.col(f"`{text_col}`")).alias(size), F.col(f"`{source_col}`").alias(source), unit_hash(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias(mark), F.col(f"`{id_col}`").alias("id_"))
+    size, source, band, cell, mark, tie = "size_", "source_", "band_", "cell_", "mark_", "tie_"
+    own = F.struct(*[F.col(f"`{c}`") for c in carry])  # carried columns may have any name
+    rows = docs.select(own.alias("carried_"), F.xxhash64(own).alias(tie), word_count(F.col(f"`{text_col}`")).alias(size), F.col(f"`{source_col}`").alias(source), unit_hash(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias(mark), F.col(f"`{id_col}`").alias("id_"))
     rows = rows.withColumns({band: size_band(F.col(size)), cell: F.floor(F.col(mark) * F.lit(cells) / F.lit(1 << 32)).cast("int")})
     rows = staged(rows, "mix-rows") if len(carry) == 1 else rows
 
@@ -89,14 +91,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offsets = offsets.join(sources, F.col(source).eqNullSafe(F.col("s_")))
     offsets = offsets.select(F.col(source).alias("s_k"), F.col(band).alias("b_k"), F.col(cell).alias("c_k"), (F.col("bands_before") + F.col("cells_before")).alias("before"), "source_size", "target", "rate")
 
-    place = F.row_number().over(Window.partitionBy(source, band, cell).orderBy(mark, F.col("id_")))
+    place = F.row_number().over(Window.partitionBy(source, band, cell).orderBy(mark, F.col("id_"), tie))
     rows = rows.withColumn("place_", place).join(offsets, F.col(source).eqNullSafe(F.col("s_k")) & (F.col(band) == F.col("b_k")) & (F.col(cell) == F.col("c_k")))
     start = (unit_hash(F.lit(seed), F.lit("offset"), F.coalesce(F.col(source), F.lit("null"))) % (1 << 20) + 0.5) / (1 << 20)
     upto = lambda k: F.floor(k * F.col("rate") + start)
     rank_of = F.col("before") + F.col("place_")
     copies = F.least((upto(rank_of) - upto(rank_of - 1)).cast("bigint"), F.ceil(F.lit(cap)).cast("bigint"))
     rows = rows.withColumn("copies", copies)
-    return rows.select(*[F.col(f"`{c}`") for c in carry], F.col(size).alias("size"), F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col(size)).alias("taken"))
+    return rows.select("carried_.*", F.col(size).alias("size"), F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col(size)).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
