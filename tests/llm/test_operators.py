@@ -105,6 +105,11 @@ def test_mix_awkward(awkward, empty):
     out = mixing.mix(awkward).collect()
     assert sorted(r.size for r in out) == sorted(len(words(t)) for _, t, *_ in awkward_rows())
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+    clashing = awkward.withColumns({c: F.lit(3) for c in ("rate", "before", "copies_", "place_", "id_", "size_", "tie_", "carried_", "row__", "target")})
+    carried = mixing.mix(clashing.drop("copies", "size"), carry=["rate", "before", "id_", "place_", "tie_", "carried_"])
+    assert carried.columns[:7] == ["doc_id", "rate", "before", "id_", "place_", "tie_", "carried_"] and sorted(r.taken for r in carried.collect()) == sorted(r.taken for r in out)
+    texts = lambda f: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in mixing.mixed_rows(f).collect())
+    assert texts(clashing) == texts(clashing.repartition(7, "text"))
     whole = mixing.mixed_rows(awkward)
     assert whole.columns == awkward.columns
     assert sum(r.copies for r in out) == whole.count()
@@ -118,7 +123,10 @@ def test_exact_awkward(awkward, empty):
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
         groups[t or ""].append(i)
-    out = exact_dedup.exact_groups(awkward.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), carry=["sha"]).collect()
+    out = exact_dedup.exact_groups(awkward, digest="sha", full="full_").collect()
+    assert all((r.full_ is not None) == (r.group_size > 1) for r in out if r.full_ is None or r.group_size > 1)
+    lengths = collections.Counter(len((t or "").encode()) for _, t, *_ in rows)
+    assert {r.n for r in exact_dedup.repeated_lengths(awkward, "doc_id", "text").collect()} == {n for n, c in lengths.items() if c > 1}
     assert len(out) == len(rows)
     kept = collections.Counter()
     largest = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
@@ -276,12 +284,46 @@ def test_quality(spark, documents):
     assert list(quality.score_texts(["x"], quality.fit_texts(["a"], []))) == [1.0]
 
 
+def test_quality_against_brute_force():
+    """The features and the score, computed text by text from zstandard's own results."""
+    import zstandard
+
+    r = random.Random(4)
+    good, bad = [prose(i, r.randint(5, 90)) for i in range(80)], [" ".join(r.choices(["xx", "buy", "!!!", "now"], k=r.randint(5, 90))) for _ in range(80)]
+    model = quality.fit_texts(good, bad)
+    texts = ["", " ", "\t\n", "word", prose(7, 70), prose(7, 70), "x" * 100_000, prose(8, 20_000), "buy now !!! " * 30, "aé€𝔘 " * 50]
+    rows = []
+    for t in texts:
+        data = t.encode()
+        own = {"level": quality.LEVEL, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
+        g, b, p = (len(zstandard.ZstdCompressor(**own, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})).compress(data)) for d in (model.good, model.bad, None))
+        n = len(data)
+        x = [(b - g) / (n + 16), (b - g) / (p + 16), g / (n + 16), p / (n + 16), np.log1p(n) / 10] if n else [0.0] * 5
+        x += [v * v for v in x] + [x[0] * v for v in x[2:]]
+        z = sum(w * (v - c) / s for w, v, c, s in zip(model.weights, x, model.centre, model.scale, strict=False)) + model.weights[-1]
+        rows.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    got = quality.score_texts(texts, model)
+    assert np.allclose(got, rows) and got[4] == got[5] and got[4] > 0.5 > got[8]
+
+
 def test_quality_awkward(awkward, empty):
-    model = quality.QualityModel()
-    assert awkward.withColumn("s", quality.score(F.col("text"), model)).where("s = 0.5").count() == len(awkward_rows())
+    model = quality.fit_texts([prose(i, 80) for i in range(60)], ["xx buy !!! now " * (i % 9 + 3) for i in range(60)])
+    rows = awkward.withColumn("s", quality.score(F.col("text"), model)).select("text", "s").collect()
+    assert len(rows) == len(awkward_rows()) and all(0 <= r.s <= 1 for r in rows)
+    same = collections.defaultdict(set)
+    for r in rows:
+        same[r.text or ""].add(r.s)
+    assert all(len(s) == 1 for s in same.values()) and len({s for v in same.values() for s in v}) > 5
     assert empty.withColumn("s", quality.score(F.col("text"), model)).count() == 0
 
 
+def test_label_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    texts = labelled.sample(docs, labels, "quality", 15, class_bytes=7500)
+    assert {y: len(v) for y, v in texts.items()} == {0: 7, 1: 7}
+
+
 def test_toxicity():
     r = random.Random(4)
     clean = [prose(i, 60) for i in range(120)]
@@ -297,6 +339,26 @@ def test_toxicity():
     assert list(toxicity.score_texts(pa.array(["x"], pa.large_string()), toxicity.fit_texts([], []))) == [0.0]
 
 
+def test_toxicity_against_brute_force():
+    """Scores from the n-grams of code points counted text by text."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abÄäßéñ 𝔘z", k=r.randint(0, 80))) for _ in range(120)]
+    toxic = [t + " schwachköpfig ÑOÑO" for t in texts[:40]]
+    model = toxicity.fit_texts(toxic, texts[40:100])
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+
+    def slot(gram):
+        data = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
+        return int(toxicity.spans_hash(toxicity.running(data), np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - toxicity.TABLE_BITS))
+
+    tried = ["", "SCHWACHKÖPFIG", "x schwachköpfig", *texts[100:], toxic[0], "é" * 5000]
+    for t, s in zip(tried, toxicity.score_texts(pa.array(tried, pa.large_string()), model), strict=True):
+        low = t.lower()
+        slots = {slot(low[i : i + n]) for n in toxicity.LENGTHS for i in range(len(low) - n + 1)}
+        assert abs(s - 1 / (1 + np.exp(-model.intercept - sum(weight.get(k, 0.0) for k in slots)))) < 1e-9
+    assert toxicity.score_texts(pa.array(["SCHWACHKÖPFIG"], pa.large_string()), model)[0] == toxicity.score_texts(pa.array(["schwachköpfig"], pa.large_string()), model)[0]
+
+
 def test_toxicity_keeps_every_significant_feature():
     r = random.Random(8)
     passage = "".join(r.choices("bcdfghjklmnpqrstvwxz", k=1700))
