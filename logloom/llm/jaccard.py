@@ -45,7 +45,7 @@ FREQUENT = 48
 #: Frequent prefix tokens of a class up to which their pairs are keys.
 COMBINE = 64
 #: Rounds of verification against one head each.
-ROUNDS = 2
+ROUNDS = 1
 #: Classes and bytes of tokens on a side of a verification tile.
 TILE, TILE_BYTES = 512, 4 << 20
 #: Entries of a bucket, about.
@@ -442,16 +442,25 @@ def tile_links(refs: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], per
 def block_links(profiles: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) within blocks (node, component): a spanning forest of every tile.
 
-    A block's classes are dealt by hash to parts of about TILE classes and TILE_BYTES of tokens; a tile holds two of them (or one).
+    Classes already linked with each other (profiles.component) need no verification among themselves. So a component that fills
+    half a part has parts of its own, all other classes of a block share the rest of its parts, and a tile holds two parts that are
+    not of one component (or a block's only part). A part has about TILE classes and TILE_BYTES of tokens, dealt by hash.
     """
-    profiles = profiles.select("ref", "n", "tokens")
-    weights = profiles.select("ref", F.octet_length("tokens").cast("bigint").alias("bytes"))
-    sizes = blocks.join(weights, blocks["node"] == weights["ref"]).groupBy("component").agg(F.greatest(F.count("*") / TILE, F.sum("bytes") / TILE_BYTES).alias("c"))
-    sizes = sizes.select("component", F.ceil("c").cast("int").alias("parts"))
-    placed = profiles.join(blocks.join(sizes, "component"), profiles["ref"] == F.col("node"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.where("parts <= 1 or other != part").select("component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "ref", "n", "tokens")
+    rows = profiles.select("ref", "n", "tokens", F.col("component").alias("linked"))
+    placed = blocks.join(rows.select("ref", "linked", F.octet_length("tokens").cast("bigint").alias("bytes")), blocks["node"] == F.col("ref")).drop("node")
+    groups = staged(placed.groupBy("component", "linked").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")), "jaccard-groups")
+    own = F.when(F.greatest(F.col("c") / TILE, F.col("bytes") / TILE_BYTES) >= 0.5, F.col("linked"))  # null: shares the rest
+    groups = groups.withColumn("own", own)
+    sized = groups.groupBy("component", "own").agg(F.ceil(F.greatest(F.sum("c") / TILE, F.sum("bytes") / TILE_BYTES)).cast("int").alias("parts"))
+    parts = sized.groupBy("component").agg(F.collect_list(F.struct("own", "parts")).alias("all"))
+    parts = parts.withColumn("all", F.flatten(F.transform("all", lambda g: F.transform(F.sequence(F.lit(0), g["parts"] - 1), lambda i: F.struct(g["own"].alias("own"), i.alias("part"), g["parts"].alias("parts"))))))
+    named = placed.select("component", "linked", "ref").join(groups.select("component", "linked", "own"), ["component", "linked"]).join(parts, "component").drop("linked")
+    mine = lambda x: x["own"].eqNullSafe(F.col("own"))
+    named = named.withColumn("mine", F.filter("all", mine)[0])
+    named = named.withColumn("mine", F.struct("own", F.pmod(F.xxhash64("ref"), F.col("mine.parts")).cast("int").alias("part"), F.col("mine.parts").alias("parts")))
+    others = F.filter("all", lambda x: F.when(F.size("all") == 1, True).when(mine(x), F.col("own").isNull() & (x["part"] != F.col("mine.part"))).otherwise(True))
+    tiles = named.withColumn("other", F.explode(others)).join(rows.drop("linked"), "ref")
+    tiles = tiles.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "ref", "n", "tokens")
 
     def links(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(t, U64) for t in table["tokens"].to_pylist()]
@@ -503,7 +512,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if turn < ROUNDS:
             found = staged(head_links(profiles, heads(own, percent, buckets, 0x9E3779B97F4A7C15 + turn), percent), "jaccard-found")
         else:
-            found = staged(block_links(profiles, components(key_edges(own, percent, buckets), "jaccard-blocks"), percent), "jaccard-found")
+            found = staged(block_links(own, components(key_edges(own, percent, buckets), "jaccard-blocks"), percent), "jaccard-found")
         links = found if links is None else links.unionByName(found)
         linked = components(links, "jaccard-links")
     named = linked.join(classes.select(F.col("f1").alias("node"), "f2", "id"), "node")
