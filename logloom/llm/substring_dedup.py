@@ -15,7 +15,7 @@ are judged on the input texts; matches stay within documents.
 Equal texts are handled as one: their later copies lose all bytes (if there are WIDTH), and only the
 earliest is sampled and sorted. A scan's slice ships equal stretches once, from its least id; of a gram that two texts of a
 slice have, one entry is shipped. Grams that more than HOT slices have are hot: their suffixes are dealt one by one, by a hash of
-their first WIDTH bytes, so the many different surroundings of a common passage don't meet in one task. Texts are
+their first WIDTH bytes, and a task ships each string once, so the many different surroundings of a common passage don't meet in one task. Texts are
 shuffled only where they hold a shared gram (second scan) or a marked suffix (third scan).
 
 Defined cases: null text counts as empty; a null id comes after all others; rows that repeat an id do not
@@ -40,8 +40,8 @@ WIDTH, GRAM = 50, 20
 BUCKET_BYTES, SORT_BYTES = 8_000_000, 1 << 21
 #: A difference cover: for any two residues some distance leads both into it.
 PERIOD, COVER = 7, (0, 1, 3)
-#: A gram in more slices than this is hot.
-HOT = 256
+#: A gram in more slices than this is hot. Strings of hot grams that a task remembers, to ship each once.
+HOT, SEEN = 1024, 200_000
 LAST = (1 << 63) - 1
 
 
@@ -253,6 +253,7 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
     hot: a broadcast of hot_names()."""
 
     def stretches(batches):
+        seen: dict[bytes, int] = {}  # strings of hot grams shipped by this task, with their least ids
         for batch in batches:
             lists = batch.schema.get_field_index("lists")
             for part, column in slices(batch, "text"):
@@ -270,6 +271,7 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
                     name = np.concatenate([name[~alone], spans_hash(sums, at, at + width)])
                     text = np.concatenate([text[~alone], np.repeat(text[alone], c)])
                     first, count = np.concatenate([first[~alone], at]), np.concatenate([count[~alone], np.ones(len(at), np.int64)])
+                alone = np.arange(len(first)) >= len(first) - (c.sum() if alone.any() else 0)
                 ids, refs = (np.asarray(part.column(i)).astype(np.int64)[text] for i in (0, 1))
                 start = first - offsets[text]
                 bucket, cell = _bucket(name, buckets), (name * U64(0xD6E8FEB86659FD93) >> U64(56)).astype(np.uint8)
@@ -287,6 +289,15 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
                 later[order] = twin & (ids[order] > ids[head])
                 same = np.zeros(len(order), bool)
                 same[order] = twin & (refs[order] == refs[head]) & (start[order] == start[head]) & (order != head)
+                for i in np.flatnonzero(alone & ~later & ~same).tolist():
+                    string, id_ = raw[first[i] : first[i] + width], int(ids[i])
+                    least = seen.get(string)
+                    if least is None or id_ < least:
+                        seen[string] = id_
+                    elif id_ > least:
+                        later[i] = True
+                if len(seen) > SEEN:
+                    seen.clear()
                 for kind, some in ((1, later), (0, ~later & ~same)):
                     own = np.flatnonzero(some)
                     own = own[np.lexsort((cell[own], bucket[own]))]
