@@ -20,12 +20,14 @@ def first_filled(*cs: Column) -> Column:
 
 
 def parse_unsigned(value: Column, base: str = "auto") -> Column:
-    """Unsigned integer text. auto: 0x means hexadecimal, else decimal, else hexadecimal; decimal; hexadecimal. Else null."""
+    """Unsigned integer text up to 64 bits, as decimal(20,0). auto: 0x means hexadecimal, else decimal, else hexadecimal; decimal; hexadecimal. Else null."""
     text = F.trim(value)
     prefixed = text.rlike("^0[xX]")
     digits = F.when(prefixed, F.substring(text, 3, 64)).otherwise(text)
-    hexed = F.when(digits.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10).cast("bigint"))
-    plain = F.when(digits.rlike("^[0-9]{1,18}$"), digits.try_cast("bigint"))
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    hexed = F.when(bare.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(bare, 16, 10).cast("decimal(20,0)"))
+    number = F.when(bare.rlike("^[0-9]{1,20}$"), bare.cast("decimal(20,0)"))
+    plain = F.when(number <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), number)
     if base == "decimal":
         return plain
     return hexed if base == "hexadecimal" else F.when(prefixed, hexed).otherwise(F.coalesce(plain, hexed))
@@ -37,8 +39,8 @@ def decode_enum(value: Column, table: dict[str, int], base: str = "auto", prefix
     text = F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text) if prefix else text
     names = literal_map({k.upper(): v for k, v in table.items()})
     named = F.try_element_at(names, F.upper(text)).cast("bigint")
-    plain = F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint"))
-    return F.coalesce(named, plain, parse_unsigned(text, base))
+    plain = parse_unsigned(F.when(text.rlike("^[0-9]+$"), text), "decimal")
+    return F.coalesce(named.cast("decimal(20,0)"), plain, parse_unsigned(text, base)).try_cast("bigint")
 
 
 def enum_name(number: Column, table: dict[str, int]) -> Column:
@@ -82,7 +84,7 @@ def describe_encryption(number: Column, raw: Column) -> Column:
 
 def decode_uac(value: Column) -> Column:
     """Names of account-control flags in a hexadecimal text; "-", blank and unreadable texts give ""."""
-    number = parse_unsigned(value, "hexadecimal")
+    number = parse_unsigned(value, "hexadecimal").try_cast("bigint")
     return F.coalesce(F.when(number.isNotNull(), flag_names(number, L.UAC_FLAGS)), F.lit(""))
 
 

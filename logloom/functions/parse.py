@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..schema import last_wins
 from .decode import blank
 
 EMPTY_MAP = "map<string,string>"
@@ -22,8 +23,7 @@ def message_subject(message: Column) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Map of entries (key, value); of keys equal without case the last stays."""
-    after = lambda i: F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0)))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(after(i), lambda o: F.upper(o["key"]) == F.upper(e["key"]))))
+    return F.map_from_entries(last_wins(entries))
 
 
 def colon_pairs(lines: Column) -> Column:

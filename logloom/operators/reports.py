@@ -18,8 +18,8 @@ UNKNOWN = "(unknown)"
 
 def _place() -> Column:
     """Time and record id as one number: unlike a struct it is a fixed-width aggregation buffer, so counting hashes and never sorts."""
-    micros = F.coalesce(F.unix_micros(F.col("time_created").cast("timestamp")), F.lit(0)).cast("decimal(18,0)")
-    return (micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.coalesce("record_id", F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+    micros = F.coalesce(F.unix_micros(F.col("time_created").cast("timestamp")), F.lit(10**18 - 1)).cast("decimal(18,0)")  # null: after all others
+    return (micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.coalesce("record_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def _folded(rows: DataFrame, *groups: str) -> DataFrame:
@@ -91,14 +91,20 @@ def logon_type_text(value: Column) -> Column:
     return F.coalesce(D.decode_enum(value, L.LOGON_TYPE, "decimal").cast("string"), F.lit(""))
 
 
-def failed_logon_columns(data: Column) -> dict[str, Column]:
+def failed_logon_numbers(data: Column) -> dict[str, Column]:
+    """What several columns are made of, decoded once."""
     user, domain = _target(data)
-    status = D.decode_enum(raw(data, "Status"), L.STATUS_CODE, "hexadecimal")
-    sub_status = D.decode_enum(raw(data, "SubStatus"), L.SUB_STATUS_CODE, "hexadecimal")
-    reason = D.decode_enum(raw(data, "FailureReason"), L.FAILURE_REASON, "decimal")
+    numbers = {k: D.decode_enum(raw(data, k), table, base) for k, table, base in (("Status", L.STATUS_CODE, "hexadecimal"), ("SubStatus", L.SUB_STATUS_CODE, "hexadecimal"), ("FailureReason", L.FAILURE_REASON, "decimal"))}
+    return {"user_": user, "domain_": domain, "status_": numbers["Status"], "sub_status_": numbers["SubStatus"], "reason_": numbers["FailureReason"], "logon_type_": D.decode_enum(raw(data, "LogonType"), L.LOGON_TYPE, "decimal")}
+
+
+def failed_logon_columns(data: Column, made: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The report's columns; made: the columns of failed_logon_numbers where they exist."""
+    made = failed_logon_numbers(data) if made is None else made
+    user, domain, status, sub_status, reason = (made[k] for k in ("user_", "domain_", "status_", "sub_status_", "reason_"))
     text = lambda c: F.coalesce(c, F.lit(""))
     return {
-        "target_user": user, "target_domain": domain, "logon_type": logon_type_text(raw(data, "LogonType")), "ip_address": D.placeholder(raw(data, "IpAddress")),
+        "target_user": user, "target_domain": domain, "logon_type": text(made["logon_type_"].cast("string")), "ip_address": D.placeholder(raw(data, "IpAddress")),
         "workstation": D.placeholder(raw(data, "WorkstationName")), "computer": F.col("computer_name"), "status": text(D.hex8(status)), "status_name": text(D.enum_name(status, L.STATUS_CODE)),
         "sub_status": text(D.hex8(sub_status)), "sub_status_name": text(D.enum_name(sub_status, L.SUB_STATUS_CODE)), "failure_reason": text(D.enum_name(reason, L.FAILURE_REASON)),
     }
@@ -124,10 +130,11 @@ def lockout_columns(data: Column) -> dict[str, Column]:
 class SecurityReport:
     event_ids: tuple[int, ...]
     columns: object
+    numbers: object = None
 
 
 REPORTS = {
-    "failed_logons": SecurityReport((4625,), failed_logon_columns),
+    "failed_logons": SecurityReport((4625,), failed_logon_columns, failed_logon_numbers),
     "user_logons": SecurityReport((4624, 4625, 4634, 4647), user_logon_columns),
     "lockouts": SecurityReport((4740,), lockout_columns),
 }
@@ -136,8 +143,13 @@ SECURITY_PROVIDER = "Microsoft-Windows-Security-Auditing"
 
 def security_counts(events: DataFrame, report: str) -> DataFrame:
     """Rows (dim, key, count) of a security report."""
-    spec = REPORTS[report]
-    return fan_out(events.where(F.col("id").isin(*spec.event_ids)), spec.columns(F.col("data_ci")))
+    spec, data = REPORTS[report], F.col("data_ci")
+    rows = events.where(F.col("id").isin(*spec.event_ids))
+    if spec.numbers is None:
+        return fan_out(rows, spec.columns(data))
+    made = spec.numbers(data)
+    rows = rows.withColumns(made)
+    return fan_out(rows, spec.columns(data, {k: F.col(k) for k in made}))
 
 
 def security_samples(events: DataFrame, report: str, size: int) -> DataFrame:

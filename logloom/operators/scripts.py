@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.decode import format_script
@@ -43,7 +46,18 @@ def executions(events: DataFrame) -> DataFrame:
 
 
 def save_scripts(scripts: DataFrame, path: str, header: bool = True) -> None:
-    """One text file a script, named <machine>_<id>.ps1 below path; written by executors, of which each file is one row."""
+    """One text file a script, <machine>_<id>.ps1 below path. Executors write the texts; the driver only renames their files."""
     body = F.when(F.lit(header), F.concat(F.lit("# "), "script_id", F.lit("\n"), "script")).otherwise(F.col("script"))
     named = scripts.select(F.concat_ws("_", "machine", "script_id").alias("name"), body.alias("value"))
-    named.write.mode("append").partitionBy("name").text(path)
+    parts = f"{path.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    named.repartition("name").write.partitionBy("name").text(parts)
+    context = scripts.sparkSession.sparkContext
+    path_of = context._jvm.org.apache.hadoop.fs.Path
+    files = path_of(parts).getFileSystem(context._jsc.hadoopConfiguration())
+    found = files.listFiles(path_of(parts), True)
+    while found.hasNext():
+        file = found.next().getPath()
+        folder = file.getParent().getName()
+        if folder.startswith("name="):
+            files.rename(file, path_of(f"{path.rstrip('/')}/{unquote(folder[5:])}.ps1"))
+    files.delete(path_of(parts), True)

@@ -67,16 +67,22 @@ def _uncorrelated(values: dict[str, Column]) -> Column:
 
 
 def filter_counts(events: DataFrame, keys: tuple[str, ...], per_name: int | None, log_name: str | None, event_ids: tuple[int, ...], include_uncorrelated: bool) -> DataFrame:
-    """How many rows each filter drops, in the order in which they apply, from one pass."""
+    """How many rows each filter drops, in the order in which they apply.
+
+    What the cap per name drops is counted; the later stages see rows under a row_number limit, which Spark applies before its shuffle too.
+    """
     order = [F.asc_nulls_last("time_created"), F.asc_nulls_last("record_id")]
-    n = F.row_number().over(Window.partitionBy("named_event").orderBy(*order))
-    over = n > per_name if per_name is not None else F.lit(False)
     other_log = F.upper("log_name") != log_name.upper() if log_name is not None else F.lit(False)
     other_id = ~F.col("id").isin(*event_ids) if event_ids else F.lit(False)
     loose = _uncorrelated({k: F.col(k) for k in keys}) if not include_uncorrelated else F.lit(False)
-    stage = F.when(F.col("_over"), "per_name").when(other_log, "log_name").when(other_id, "event_id").when(loose, "uncorrelated").otherwise("kept")
-    staged = events.withColumn("_over", over).select(stage.alias("stage"))
-    return staged.agg(*[F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in ("per_name", "log_name", "event_id", "uncorrelated", "kept")])
+    stage = F.when(other_log, "log_name").when(other_id, "event_id").when(loose, "uncorrelated").otherwise("kept")
+    kept, dropped = events, events.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_per_name"))
+    if per_name is not None:
+        kept = events.withColumn("_n", F.row_number().over(Window.partitionBy("named_event").orderBy(*order))).where(F.col("_n") <= per_name)
+        dropped = events.groupBy("named_event").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.greatest(F.col("c") - per_name, F.lit(0))), F.lit(0)).cast("bigint").alias("n_per_name"))
+    stages = kept.select(stage.alias("stage")).agg(*[F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in ("log_name", "event_id", "uncorrelated", "kept")])
+    one = F.lit(1)  # two tables of one row each
+    return dropped.withColumn("_k", one).join(stages.withColumn("_k", one), "_k").select("n_per_name", "n_log_name", "n_event_id", "n_uncorrelated", "n_kept")
 
 
 def timeline_groups(rows: DataFrame, cap: int = 250) -> DataFrame:

@@ -196,6 +196,14 @@ def message_pairs(spark, sf_dir):
     return pairs.where("upper(key) <> 'MESSAGE'")
 
 
+@query("""SELECT record_id, key, value FROM (SELECT record_id, unnest([{'key': 'ACCOUNT', 'value': target_user || ':' || k::VARCHAR}, {'key': 'Workstation', 'value': workstation}, {'key': 'Odd key', 'value': ''}]) AS e,
+  unnest([{'key': 'ACCOUNT', 'value': target_user || ':' || k::VARCHAR}, {'key': 'Workstation', 'value': workstation}, {'key': 'Odd key', 'value': ''}], recursive := true) FROM evt)""")
+def message_pairs_events(spark, sf_dir):
+    """Keys repeat in another casing, values hold colons and blanks, lines without a key are none."""
+    text = F.concat(F.lit("Logon\r\nAccount: none\r\n : nothing\r\nWorkstation:  "), "workstation", F.lit(" \r\nno pair\nACCOUNT:"), "target_user", F.lit(":"), F.col("k").cast("string"), F.lit("\nOdd key :"))
+    return events(spark, sf_dir).select("record_id", F.explode(P.message_map(text)).alias("key", "value")).where("key <> 'Message'")
+
+
 @query(" SELECT record_id, n FROM (SELECT record_id, CASE WHEN k % 3 = 0 THEN 'aa-' || k::VARCHAR ELSE NULL END AS n FROM evt) WHERE n IS NOT NULL")
 def nic_identifiers(spark, sf_dir):
     rows = events(spark, sf_dir).select("record_id", F.create_map(F.lit("CallingStationId"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("aa-"), F.col("k").cast("string"))), F.lit("Other"), F.lit("x")).alias("data"))
@@ -236,7 +244,7 @@ _HEX = "CASE WHEN {0} LIKE '0x%' THEN CAST({0} AS BIGINT) ELSE TRY_CAST({0} AS B
 
 @query(f" SELECT record_id, {_HEX.format('status')} AS status_number, {_HEX.format('sub_status')} AS sub_status_number FROM evt")
 def hex_parse(spark, sf_dir):
-    return events(spark, sf_dir).select("record_id", D.parse_unsigned(F.col("status")).alias("status_number"), D.parse_unsigned(F.col("sub_status")).alias("sub_status_number"))
+    return events(spark, sf_dir).select("record_id", D.parse_unsigned(F.col("status")).cast("bigint").alias("status_number"), D.parse_unsigned(F.col("sub_status")).cast("bigint").alias("sub_status_number"))
 
 
 def _names(table_: dict[str, int], number: str) -> str:

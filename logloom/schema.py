@@ -26,11 +26,17 @@ def level_name(level: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(LEVEL_NAMES), level), level.cast("string"), F.lit(""))
 
 
+def last_wins(entries: Column) -> Column:
+    """Entries (key, value) without those whose key comes again later, whatever its case. Sorted once: no entry is compared with all others."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(F.upper(e["key"]).alias("k"), i.alias("i"), e.alias("e"))))
+    last = lambda s: F.filter(s, lambda x, i: (i + 1 == F.size(s)) | (F.get(s, i + 1)["k"] != x["k"]))
+    kept = F.get(F.transform(F.array(placed), last), F.lit(0))  # an array of one binds the sorted entries
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e")))), lambda x: x["e"])
+
+
 def upper_keys(data: Column) -> Column:
     """The map for lookups without case; of keys that differ in case only, the last wins."""
-    entries = F.map_entries(data)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: F.upper(o["key"]) == F.upper(e["key"])))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.upper(e["key"]), e["value"])))
+    return F.map_from_entries(F.transform(last_wins(F.map_entries(data)), lambda e: F.struct(F.upper(e["key"]), e["value"])))
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.parse import attachment, colon_pairs, message_lines
-from ..schema import conform
+from ..schema import conform, last_wins
 
 EVENT_XML = """System struct<Provider: struct<_Name: string, _Guid: string>, EventID: struct<_VALUE: string, _Qualifiers: string>, Version: int, Level: int, Task: int, Opcode: int, Keywords: string,
   TimeCreated: struct<_SystemTime: string>, EventRecordID: bigint, Correlation: struct<_ActivityID: string, _RelatedActivityID: string>, Execution: struct<_ProcessID: int, _ThreadID: int>,
@@ -65,12 +65,9 @@ def xml_entries(xml: Column) -> Column:
 
 def data_map(entries: Column) -> Column:
     """The map of entries: the last of equal keys wins; colon lines inside values are added where their key is new."""
-    after = lambda es, i: F.slice(es, i + 2, F.greatest(F.size(es) - i - 1, F.lit(0)))
-    same = lambda a, b: F.upper(a["key"]) == F.upper(b["key"])
-    named = F.filter(entries, lambda e, i: ~F.exists(after(entries, i), lambda o: same(e, o)))
     lines = F.flatten(F.transform(entries, lambda e: colon_pairs(message_lines(e["value"]))))
-    first = F.filter(lines, lambda e, i: ~F.exists(F.slice(lines, F.lit(1), i), lambda o: same(e, o)) & ~F.exists(named, lambda o: same(e, o)))
-    return F.map_from_entries(F.concat(named, first))
+    # Lines before the entries, last line first: what comes last wins.
+    return F.map_from_entries(last_wins(F.concat(F.reverse(lines), entries)))
 
 
 def event_data_entries(parsed: Column) -> Column:

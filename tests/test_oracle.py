@@ -20,9 +20,11 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return repr(round(v, 9)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # pandas holds integers with nulls as floats
+            return str(int(v)) if v.is_integer() else repr(round(v, 9))
+        return str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(text(v) for v in r) for r in frame.astype(object).itertuples(index=False))
