@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, bitmap_of, buffers, lowered, mixed, ship, slices, staged, text_column, unstaged, with_hit, words, words_hash
+from .common import U64, bitmap_of, buffers, lean, lowered, mixed, ship, slices, staged, text_column, with_hit, words, words_hash
 from .components import components
 
 #: Extra share of a set in the sampled prefix: more entries, fewer classes left.
@@ -49,7 +49,7 @@ ROUNDS = 1
 #: Classes and bytes of tokens on a side of a verification tile.
 TILE, TILE_BYTES = 512, 4 << 20
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(f1), pa.array(f2)], ["id", "n", "f1", "f2"])
 
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(rows, f"id {source.schema['id'].dataType.simpleString()}, n bigint, f1 bigint, f2 bigint")
+    return source.mapInArrow(lean(rows), f"id {source.schema['id'].dataType.simpleString()}, n bigint, f1 bigint, f2 bigint")
 
 
 def prefix_counts(docs: DataFrame, text_col: str, k: int, percent: int, buckets: int) -> DataFrame:
@@ -192,8 +192,8 @@ def prefix_counts(docs: DataFrame, text_col: str, k: int, percent: int, buckets:
         found, number = np.unique(shared, return_counts=True)
         return pa.table([pa.array(found, pa.int64()), pa.array(number, pa.int64())], ["ref", "shared"])
 
-    packed = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(entries, PACKED)
-    return packed.groupBy("bucket").applyInArrow(counts, "ref bigint, shared bigint").groupBy("ref").agg(F.sum("shared").alias("shared"))
+    packed = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(entries), PACKED)
+    return packed.groupBy("bucket").applyInArrow(lean(counts), "ref bigint, shared bigint").groupBy("ref").agg(F.sum("shared").alias("shared"))
 
 
 def token_profiles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, buckets: int) -> DataFrame:
@@ -212,7 +212,7 @@ def token_profiles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())], ["id", "f1", "f2", "tokens"])
 
     kind = source.schema["id"].dataType.simpleString()
-    made = likely.mapInArrow(sets, f"id {kind}, f1 bigint, f2 bigint, tokens binary")
+    made = likely.mapInArrow(lean(sets), f"id {kind}, f1 bigint, f2 bigint, tokens binary")
     on = [made["f1"] == classes["f1"], made["f2"] == classes["f2"], made["id"].eqNullSafe(classes["id"])]
     made = made.join(classes, on, "left_semi").groupBy("f1").agg(F.first("tokens").alias("tokens"))
     made = staged(made.select(F.col("f1").alias("ref"), "tokens"), "jaccard-sets")
@@ -252,11 +252,11 @@ def token_profiles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
                 dfs.append(df[order].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], ["ref", "n", "tokens", "df"])
 
-    parts = made.mapInArrow(entries, PACKED).groupBy("bucket").applyInArrow(shared, "ref bigint, t binary, d binary")
+    parts = made.mapInArrow(lean(entries), PACKED).groupBy("bucket").applyInArrow(lean(shared), "ref bigint, t binary, d binary")
     # "t" and "d" of one class come from as many packs as it has buckets: a part of one set's tokens each.
     lists = parts.groupBy("ref").agg(F.collect_list(F.struct("t", "d")).alias("p"))
     sized = lists.join(classes.select(F.col("f1").alias("ref"), "n").groupBy("ref").agg(F.first("n").alias("n")), "ref")
-    return sized.select("ref", "n", F.col("p.t").alias("t"), F.col("p.d").alias("d")).mapInArrow(ordered, "ref bigint, n bigint, tokens binary, df binary")
+    return sized.select("ref", "n", F.col("p.t").alias("t"), F.col("p.d").alias("d")).mapInArrow(lean(ordered), "ref bigint, n bigint, tokens binary, df binary")
 
 
 def class_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -312,7 +312,7 @@ def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield flush()
 
     columns = ["ref", "n", "tokens", "df", "component"]
-    return profiles.select(*columns).mapInArrow(entries, "bucket bigint, components binary, refs binary, tokens binary")
+    return profiles.select(*columns).mapInArrow(lean(entries), "bucket bigint, components binary, refs binary, tokens binary")
 
 
 def _open_keys(table: pa.Table, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +337,7 @@ def heads(profiles: DataFrame, percent: int, buckets: int, salt: int) -> DataFra
         pairs, count = np.unique(np.stack([u, v]), axis=1, return_counts=True) if len(u) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(count, pa.int64())], ["ref", "head", "c"])
 
-    found = _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(counted, "ref bigint, head bigint, c bigint")
+    found = _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(lean(counted), "ref bigint, head bigint, c bigint")
     return found.groupBy("ref", "head").agg(F.sum("c").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "head"))["head"].alias("head"))
 
 
@@ -396,7 +396,7 @@ def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 made[1].append(b)
         return pa.table([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64())], ["u", "v"])
 
-    return _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(forest, "u bigint, v bigint")
+    return _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(lean(forest), "u bigint, v bigint")
 
 
 def tile_links(refs: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +467,7 @@ def block_links(profiles: DataFrame, blocks: DataFrame, percent: int) -> DataFra
         u, v = tile_links(np.asarray(table["ref"]), np.asarray(table["n"]), lists, percent)
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return tiles.groupBy("component", "a", "b").applyInArrow(links, "u bigint, v bigint")
+    return tiles.groupBy("component", "a", "b").applyInArrow(lean(links), "u bigint, v bigint")
 
 
 def set_fingerprint(text: Column, k: int = 5) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import FILTER_BITS, SLICE_BYTES, U64, bitmap_bytes, mixed, ship, slices, staged
+from .common import FILTER_BITS, SLICE_BYTES, U64, bitmap_bytes, lean, mixed, ship, slices, staged
 
 UNIT = 192
 #: Bytes of a chunk: at least, in the mean after that (a power of two), at most.
@@ -122,7 +122,7 @@ def chunk_lists(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for run in _payloads(batches):
             yield pa.RecordBatch.from_arrays([pa.array([[hashlib.sha256(c).digest() for c in chunks] for _, _, chunks in run], pa.list_(pa.binary()))], ["digests"])
 
-    return _texts(docs, text_col).mapInArrow(rows, "digests array<binary>")
+    return _texts(docs, text_col).mapInArrow(lean(rows), "digests array<binary>")
 
 
 def shared_digests(lists: DataFrame) -> bytes:
@@ -167,7 +167,7 @@ def media_rows(docs: DataFrame, bitmap, dictionary: bytes = b"", text_col: str =
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), CHUNK_KIND]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in MEDIA.split(", ")])
 
-    return _texts(docs, text_col).mapInArrow(rows, MEDIA)
+    return _texts(docs, text_col).mapInArrow(lean(rows), MEDIA)
 
 
 def chunk_store(docs: DataFrame, bitmap, dictionary: bytes = b"", text_col: str = "text") -> DataFrame:
@@ -188,7 +188,7 @@ def chunk_store(docs: DataFrame, bitmap, dictionary: bytes = b"", text_col: str
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "packed"])
 
-    return _texts(docs, text_col).mapInArrow(rows, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+    return _texts(docs, text_col).mapInArrow(lean(rows), "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
 PLAYED = "payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"

@@ -28,8 +28,9 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import SLICE_BYTES, fresh, ship, slices, staged, text_column, worker_cache
+from .common import SLICE_BYTES, fresh, lean, release, ship, slices, staged, text_column, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a document is cut, and of a chunk.
@@ -37,7 +38,7 @@ GIANT, CHUNK = 65_536, 8_192
 #: Neighbouring matrices that are combined at once.
 FAN = 32
 #: Distinct words whose ids a worker keeps from one slice to the next.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 SPACE = "▁"
 
 
@@ -365,20 +366,20 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK, fan: int = F
             found = [[x for token in Chunk(model, t, lo, hi, i == 0, i == n - 1).trace(a, b) for x in model.token_ids(token)] for i, n, t, lo, hi, a, b in zip(*(rows[c] for c in ("i", "n", "text", "lo", "hi", "entry", "out")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), batch.column(batch.schema.get_field_index("i")), pa.array(found, pa.list_(pa.int32()))], ["key", "i", "ids"])
 
-    chunks = staged(giants.mapInArrow(cut, CHUNKS), "pieces-chunks")
+    chunks = staged(giants.mapInArrow(lean(cut), CHUNKS), "pieces-chunks")
     tasks = max(1, giants.sparkSession.sparkContext.defaultParallelism * 4)
     matrices, settled = "key string, i int, pairs array<int>", "key string, i int, entry int, out int"
-    levels = [staged(chunks.repartition(tasks, "key", "i").mapInArrow(weigh, matrices), "pieces-matrices")]
+    levels = [staged(chunks.repartition(tasks, "key", "i").mapInArrow(lean(weigh), matrices), "pieces-matrices")]
     most = (chunks.agg(F.max("i")).first()[0] or 0) + 1
     group = F.floor(F.col("i") / fan).cast("int")
     while most > 1:  # up: products of neighbours
-        levels.append(staged(levels[-1].groupBy("key", group.alias("g")).applyInArrow(product, matrices), "pieces-matrices"))
+        levels.append(staged(levels[-1].groupBy("key", group.alias("g")).applyInArrow(lean(product), matrices), "pieces-matrices"))
         most = -(-most // fan)
-    states = levels[-1].select("key", "pairs").mapInArrow(ends, settled)
+    states = levels[-1].select("key", "pairs").mapInArrow(lean(ends), settled)
     for level in levels[-2::-1]:  # down: the states between a product's factors
         placed = level.withColumn("g", group).join(states.withColumnRenamed("i", "g"), ["key", "g"])
-        states = placed.groupBy("key", "g").applyInArrow(settle, settled)
-    traced = chunks.join(states, ["key", "i"]).repartition(tasks, "key", "i").mapInArrow(trace, "key string, i int, ids array<int>")
+        states = placed.groupBy("key", "g").applyInArrow(lean(settle), settled)
+    traced = chunks.join(states, ["key", "i"]).repartition(tasks, "key", "i").mapInArrow(lean(trace), "key string, i int, ids array<int>")
     ordered = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     return ordered.select("key", F.flatten(F.col("parts.ids")).alias("tokens"))
 
@@ -387,18 +388,20 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", mod
     """docs with an array<int> column of the token ids of a text column."""
     proto = read_model(model_path)
 
-    @F.arrow_udf("array<int>")
-    def piece_ids(column: pa.Array) -> pa.Array:
-        model, column, flat, cuts = PieceModel.of(proto), text_column(column), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for _, part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-            ids, ends = encoded(model, part)
-            flat.append(ids)
-            cuts.append(ends + cuts[-1][-1])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(flat)))
+    docs = docs.drop(out_col)
+
+    def with_ids(batches):
+        model = PieceModel.of(proto)
+        for batch in batches:
+            for rows, part in slices(batch, text_col):
+                ids, ends = encoded(model, part)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*rows.columns, tokens], [*rows.schema.names, out_col])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     (key,) = fresh(docs, "key_")
-    short = docs.where(F.length(text) <= giant).withColumn(out_col, piece_ids(text))
+    kind = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
+    short = docs.where(F.length(text) <= giant).mapInArrow(lean(with_ids), kind)
     long = docs.where(F.length(text) > giant).withColumn(key, F.sha2(text, 256))
     found = staged(scan_giants(long.select(F.col(key).alias("key"), text.alias("text")).dropDuplicates(["key"]), proto, chunk), "pieces-giants")
     long = long.join(found.select(F.col("key").alias(key), F.col("tokens").alias(out_col)), key).drop(key)
@@ -419,6 +422,7 @@ def decode(tokens: Column, model_path: str = MODEL) -> Column:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES // 4, "right")) - 1)
             out.append(decoded(model, flat[ends[at] : ends[to]], ends[at : to + 1] - ends[at]))
             at = to
+        release()
         return pa.concat_arrays(out).cast(pa.string())
 
     return piece_text(tokens)

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, eights, in_bitmap, running, ship, slices, spans_hash, staged, with_hit
+from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, eights, in_bitmap, lean, running, ship, slices, spans_hash, staged, with_hit
 
 WIDTH, GRAM = 50, 20
 #: Text bytes of a task's buckets, about (of all text; only shared stretches arrive), and of one bucket.
@@ -157,7 +157,7 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
             out.append(pa.table([pa.array(ref[at], pa.int64()), *_cut(at, size, place)], ["ref", "places"]))
         return pa.concat_tables(out)
 
-    return docs.mapInArrow(entries, NAMES).groupBy("bucket").applyInArrow(shared, "ref bigint, places binary")
+    return docs.mapInArrow(lean(entries), NAMES).groupBy("bucket").applyInArrow(lean(shared), "ref bigint, places binary")
 
 
 def hot_names(found: DataFrame) -> bytes:
@@ -168,7 +168,7 @@ def hot_names(found: DataFrame) -> bytes:
             name = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
             yield pa.RecordBatch.from_arrays([pa.array((name >> U64(64 - FILTER_BITS)).astype(np.int64) + 1)], ["bit"])
 
-    return bitmap_bytes(found.where("ref is null").select("places").mapInArrow(names, "bit bigint"))
+    return bitmap_bytes(found.where("ref is null").select("places").mapInArrow(lean(names), "bit bigint"))
 
 
 # ------------------------------------------------------------------------- suffix sorting of a bucket
@@ -347,7 +347,7 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
         columns = [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(4)]
         return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["id", "ref", "start", "windows"])
 
-    return texts.mapInArrow(stretches, STRETCHES).groupBy("bucket").applyInArrow(sort_buckets, MARKED)
+    return texts.mapInArrow(lean(stretches), STRETCHES).groupBy("bucket").applyInArrow(lean(sort_buckets), MARKED)
 
 
 def removed_runs(marks: list[dict], width: int) -> list[tuple[int, int]]:
@@ -408,7 +408,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["own", "ref", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     spans = "array<struct<start:bigint,end:bigint>>"
-    done = _with_texts(source, marks).select("own", "ref", "text", "marks").mapInArrow(cut, f"own bigint, ref bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {spans}")
+    done = _with_texts(source, marks).select("own", "ref", "text", "marks").mapInArrow(lean(cut), f"own bigint, ref bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {spans}")
     done = done.dropDuplicates(["own", "ref"])
     copies = staged(slim.groupBy("ref", "sha").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select("ref", "sha", "least"), "passages-copies")
     rows = slim.join(copies, ["ref", "sha"], "left").join(done, ["own", "ref"], "left")
