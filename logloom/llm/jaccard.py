@@ -49,7 +49,7 @@ ROUNDS = 1
 #: Classes and bytes of tokens on a side of a verification tile.
 TILE, TILE_BYTES = 512, 4 << 20
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 500_000
+BUCKET_ENTRIES = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,31 +232,31 @@ def token_profiles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
                 at = to
 
     def shared(table: pa.Table) -> pa.Table:
+        """The bucket's shared tokens, dealt to parts of classes: a row a part, whatever the number of its classes."""
         ref, token = _unpacked(table, U64)
         df = _frequencies(token)
         keep = df > 1
         ref, token, df = ref[keep], token[keep], df[keep].astype(np.uint32)
-        order = np.argsort(ref, kind="stable")
+        part = (mixed(ref.view(U64)) >> U64(33)).astype(np.int64) % buckets
+        order = np.argsort(part, kind="stable")
+        ref, token, df, part = ref[order], token[order], df[order], part[order]
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        runs = list(zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True)) if len(part) else []
+        return pa.table([pa.array(part[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (ref, token, df))], ["part", "refs", "t", "d"])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        """The part's classes, each with its tokens by (df, token)."""
+        ref, token, df = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("refs", np.int64), ("t", U64), ("d", np.uint32)))
+        order = np.lexsort((token, df, ref))
         ref, token, df = ref[order], token[order], df[order]
-        at = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]])) if len(ref) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(ref))
-        return pa.table([pa.array(ref[at], pa.int64()), pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], ["ref", "t", "d"])
+        at = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]]))
+        runs = list(zip(at.tolist(), np.append(at[1:], len(ref)).tolist(), strict=True))
+        return pa.table([pa.array(ref[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (token, df))], ["ref", "tokens", "df"])
 
-    def ordered(batches):
-        for batch in batches:
-            tokens, dfs = [], []
-            for t, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                token, df = np.frombuffer(b"".join(t), U64), np.frombuffer(b"".join(d), np.uint32)
-                order = np.lexsort((token, df))
-                tokens.append(token[order].tobytes())
-                dfs.append(df[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], ["ref", "n", "tokens", "df"])
-
-    parts = made.mapInArrow(lean(entries), PACKED).groupBy("bucket").applyInArrow(lean(shared), "ref bigint, t binary, d binary")
-    # "t" and "d" of one class come from as many packs as it has buckets: a part of one set's tokens each.
-    lists = parts.groupBy("ref").agg(F.collect_list(F.struct("t", "d")).alias("p"))
+    parts = made.mapInArrow(lean(entries), PACKED).groupBy("bucket").applyInArrow(lean(shared), "part bigint, refs binary, t binary, d binary")
+    lists = parts.groupBy("part").applyInArrow(lean(ordered), "ref bigint, tokens binary, df binary")
     sized = lists.join(classes.select(F.col("f1").alias("ref"), "n").groupBy("ref").agg(F.first("n").alias("n")), "ref")
-    return sized.select("ref", "n", F.col("p.t").alias("t"), F.col("p.d").alias("d")).mapInArrow(lean(ordered), "ref bigint, n bigint, tokens binary, df binary")
+    return sized.select("ref", "n", "tokens", "df")
 
 
 def class_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
