@@ -57,7 +57,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: the carried columns (default: the id), n_lines before dropping, n_dropped, kept (the text left)."""
     carry = [id_col] if carry is None else list(dict.fromkeys([id_col, *carry]))
     lines = staged(long_lines(docs, id_col, text_col, least_chars), "lines")
-    keepers = repeated(lines, least_docs).withColumnRenamed("hash", "hash_r")
+    # Written, so that both sides of the join are plain shuffles: Spark then splits the rows of a line that very many share.
+    keepers = staged(repeated(lines, least_docs).withColumnRenamed("hash", "hash_r"), "lines-repeated")
     lost = lines.join(keepers, F.col("hash") == F.col("hash_r")).where(~F.col("own").eqNullSafe(F.col("keeper")))
     # Rows that repeat an id and a text name the same places.
     lost = lost.groupBy(F.col("own").alias("own_l"), F.col("version").alias("version_l")).agg(F.collect_set("place").alias("places"))
