@@ -385,10 +385,9 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK, fan: int = F
 
 
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs with an array<int> column of the token ids of a text column."""
+    """docs and, last, an array<int> column of the token ids of a text column; docs keeps a column of that name: the new one then gets a leading _."""
     proto = read_model(model_path)
-
-    docs = docs.drop(out_col)
+    (out_col,) = fresh(docs, out_col)
 
     def with_ids(batches):
         model = PieceModel.of(proto)
@@ -399,7 +398,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", mod
                 yield pa.RecordBatch.from_arrays([*rows.columns, tokens], [*rows.schema.names, out_col])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    (key,) = fresh(docs, "key_")
+    key, _ = fresh(docs, "key_", out_col)
     kind = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     short = docs.where(F.length(text) <= giant).mapInArrow(lean(with_ids), kind)
     long = docs.where(F.length(text) > giant).withColumn(key, F.sha2(text, 256))
