@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     cells = rows.groupBy(F.col("id").alias("lost_id"), "f1", "f2").agg(F.count("*").alias("c"), F.first(F.col("least") & F.col("id").eqNullSafe(F.col("component_id"))).alias("spare"))
     lost = staged(cells.where("c > 1 or not spare").drop("c"), "pipeline-near")
     bitmap = bitmap_of(lost.select(F.xxhash64("lost_id").alias("key")), "key")
-    near = with_hit(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("key")), bitmap, "key", "hit")
+    near = with_hit(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id").alias("key")), bitmap, "key", "hit")
     clear = near.where("not hit").select("row.*")
     doubtful = near.where("hit").select("row", F.col("row.doc_id").alias("own"), jaccard.set_fingerprint(F.col("row.text")).alias("set"))
     same = F.col("own").eqNullSafe(F.col("lost_id")) & (F.col("set.f1") == F.col("f1")) & (F.col("set.f2") == F.col("f2"))
