@@ -1,9 +1,12 @@
 """Operator 5: main text of HTML pages by two-pass block rules.
 
 A scanner cuts a page into blocks: runs of text between block-level tags, with their link
-characters and their place in the page, in time linear in the page. Markup is evidence: what it declares as no article (menus,
-page headers and footers, sidebars, notices, adverts, forms, comments, scripts, hidden parts; by element, ARIA role, or a
-word of the class or id) is decided so, and inside <article> or <main> a block needs less evidence of its own.
+characters and their place in the page, in time linear in the page. Elements that are no article by their kind (menus, page
+headers and footers, sidebars, dialogs, scripts, hidden parts; by element or ARIA role) are left out, and inside <article> or <main> a
+block needs less evidence of its own. Names are only hints: a class or id whose words all speak of adverts, notices,
+comments and the like (ad, cookie-notice, comment-list; not no-sidebar or share-price), and a form, mark what they hold, unless an article or main begins inside. Marked
+blocks go if the page has article text elsewhere (inside an article: in it), or if the rules don't take them for article
+text themselves; else the name is wrong, and the rules alone decide.
 
 Pass 1 decides the other blocks by link density, length and the share of stop words: many links say no, a long
 block with the stop words of running text says yes, a very long one without links too. All others, mostly short, stay open.
@@ -11,8 +14,8 @@ Pass 2 gives open blocks the label of the nearest decided neighbours: of both if
 one (at equal distance: no, but inside an article yes); a heading takes the label of what follows it. Blocks that markup decides don't vote, and inside an
 article only its own blocks do. Where no neighbour is decided, open blocks without links are kept.
 
-Defined cases: null and empty pages give an empty text; unclosed elements end with their parent,
-unclosed comments and scripts at the end of the page; a lone "<" is text; two <br> part blocks, one
+Defined cases: null and empty pages give an empty text; unclosed elements, links too, end with their parent; only <a> with
+href links; unclosed comments and scripts at the end of the page; a lone "<" is text; two <br> part blocks, one
 is white space; a table row is one block. White space is what str.split() takes for it.
 """
 
@@ -42,7 +45,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page; their content is skipped unread.
 RAW_TAGS = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title|noembed|noframes"
-OUT_TAGS = frozenset("nav footer aside form dialog menu button head".split())
+OUT_TAGS = frozenset("nav footer aside dialog menu button head".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status note".split())
 #: Words of a class or id that name no part of an article.
 OUT_WORDS = frozenset(
@@ -51,7 +54,8 @@ OUT_WORDS = frozenset(
     subscription share sharing social related recommended recommendations teaser comment comments commentlist reply replies respond disqus discussion popup
     modal overlay login signin signup register search widget widgets toolbar pagination pager tagcloud skip copyright disclaimer paywall outbrain taboola""".split()
 )
-OUT_STEMS = ("advert", "sponsor", "comment", "sidebar", "cookie", "breadcrumb", "newsletter", "subscri", "disqus", "navbar", "recommend", "footer")
+#: Words that say nothing beside those.
+SHAPE_WORDS = frozenset("area bar block box button buttons card column container content form group holder info inner item items left link links list message outer panel right row section slot text top bottom unit wrap wrapper".split())
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW_TAGS})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z) | <[!?][^>]*+(?:>|\Z)
@@ -68,45 +72,65 @@ class Block:
     out: bool
     article: bool
     heading: bool = False
+    marked: int = 0
     label: bool | None = None
 
 
-def names_other(tag: str, attrs: str) -> bool:
-    """The start tag declares something other than the article."""
+@dataclass
+class Open:
+    """An open element, with what holds for the text in it."""
+
+    tag: str
+    out: bool  # left out by its kind
+    marked: int  # the outermost element around whose name speaks against it; 0: none
+    article: bool
+    nested: int  # block elements around, with itself
+    menus: int  # open menus and page headers
+    links: bool  # an <a href> that goes on
+
+
+NO_ELEMENT = Open("", False, 0, False, 0, 0, False)
+
+
+def hints(tag: str, attrs: str) -> tuple[bool, bool]:
+    """(left out by its kind, marked by a name) of a start tag."""
     if tag in OUT_TAGS:
-        return True
-    if not attrs or tag in ("html", "body", "main"):
-        return False
+        return True, False
+    marked = tag == "form"
+    if not attrs or tag in ("html", "body", "main", "article"):
+        return False, marked
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, marked
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, marked
         if name in ("class", "id"):
-            parts = [w for w in re.split(r"[^a-z]+", value) if w]
-            if tag == "article":
-                parts = [w for w in parts if w.startswith(("comment", "repl", "ad", "teaser", "related", "promo", "sponsor"))]
-            if any(w in OUT_WORDS or w.startswith(OUT_STEMS) for w in parts):
-                return True
-    return False
+            marked = marked or any(speaks_against(token) for token in value.split())
+    return False, marked
+
+
+def speaks_against(token: str) -> bool:
+    """Some word of a class token names no part of an article, and no word says anything else."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    return any(w in OUT_WORDS for w in words) and all(w in OUT_WORDS or w in SHAPE_WORDS for w in words)
 
 
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
-    # Open elements: tag, left out, inside an article, how many of them (with itself) are block elements, and are menus or page headers.
-    stack: list[tuple[str, bool, bool, int, int]] = []
+    stack: list[Open] = []
     places: dict[str, list[int]] = defaultdict(list)  # where each tag is open
     text: list[str] = []
-    linked = links = breaks = 0
+    linked = links = breaks = marks = 0
 
     def end_block() -> None:
         nonlocal linked, breaks
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            _, out, article, *_ = stack[-1] if stack else ("", False, False)
-            found.append(Block(joined, min(linked, len(joined)), out, article, any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1] in "123456" for s in stack[-2:])))
+            here = stack[-1] if stack else NO_ELEMENT
+            heading = any(len(s.tag) == 2 and s.tag[0] == "h" and s.tag[1] in "123456" for s in stack[-2:])
+            found.append(Block(joined, min(linked, len(joined)), here.out, here.article, heading, here.marked))
         linked = breaks = 0
 
     def take(piece: str) -> None:
@@ -119,8 +143,11 @@ def blocks(page: str) -> list[Block]:
         text.append(piece)
 
     def shut(place: int) -> None:
+        nonlocal links
         while len(stack) > place:
-            places[stack.pop()[0]].pop()
+            gone = stack.pop()
+            places[gone.tag].pop()
+            links -= gone.links
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -141,33 +168,39 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
         if tag in BLOCK_TAGS:
             end_block()
-        if tag == "a":
-            links = 0 if closing else 1
         if closing:
             if places[tag]:
                 place = places[tag][-1]
-                if tag not in BLOCK_TAGS and stack[-1][3] > (stack[place - 1][3] if place else 0):
-                    continue  # an inline end tag ends no block element
-                if stack[place][1] and tag not in BLOCK_TAGS:
+                if tag not in BLOCK_TAGS and stack[-1].nested > (stack[place - 1].nested if place else 0):
+                    links -= stack[place].links  # an inline end tag ends no block element, but its link
+                    stack[place].links = False
+                    continue
+                if (stack[place].out or stack[place].marked) and tag not in BLOCK_TAGS:
                     end_block()
                 shut(place)
             continue
         if tag in VOID_TAGS or attrs.endswith("/"):
             continue
         if tag in ("p", "li", "tr", "dt", "dd", "option") and places[tag] and places[tag][-1] >= len(stack) - 3:
-            if not any(s[0] in ("ul", "ol", "table", "div", "section", "article", "dl") for s in stack[places[tag][-1] :]):
+            if not any(s.tag in ("ul", "ol", "table", "div", "section", "article", "dl") for s in stack[places[tag][-1] :]):
                 shut(places[tag][-1])
+        if tag == "a" and places["a"] and stack[places["a"][-1]].nested == stack[-1].nested:
+            shut(places["a"][-1])  # links don't nest
         if tag in ("article", "main"):  # a menu or page header that was never closed does not hold the article
-            while stack and stack[-1][1] and stack[-1][4]:
+            while stack and stack[-1].out and stack[-1].menus:
                 shut(len(stack) - 1)
-        _, out, article, nested, menus = stack[-1] if stack else ("", False, False, 0, 0)
-        other = names_other(tag, attrs) or tag == "header" and not article
-        if other and tag not in BLOCK_TAGS:
+        here = stack[-1] if stack else NO_ELEMENT
+        out, marked = hints(tag, attrs)
+        out = out or tag == "header" and not here.article
+        if (out or marked) and tag not in BLOCK_TAGS:
             end_block()
-        if other and article and tag in ("header",):
-            other = False
+        article = tag in ("article", "main") and not (out or here.out)
+        linking = tag == "a" and any(name.lower() == "href" for name, *_ in ATTRIBUTE.findall(attrs))
+        links += linking
+        marks += marked
+        mark = 0 if article else here.marked or marks * marked
         places[tag].append(len(stack))
-        stack.append((tag, out or other, article or (tag in ("article", "main") and not (out or other)), nested + (tag in BLOCK_TAGS), menus + (tag in ("nav", "header", "head"))))
+        stack.append(Open(tag, out or here.out, mark, here.article or article, here.nested + (tag in BLOCK_TAGS), here.menus + (tag in ("nav", "header", "head")), linking))
     if at < len(page):
         take(page[at:])
     end_block()
@@ -177,11 +210,11 @@ def blocks(page: str) -> list[Block]:
 #: Pass 1, inside an article and elsewhere: link density from which a block is none of it; (length, share of stop words) from
 #: which a block is; length from which one without links is.
 INSIDE = (0.6, ((80, 0.2), (250, 0.12)), 600)
-ELSEWHERE = (0.33, ((200, 0.3), (400, 0.15)), 600)
+ELSEWHERE = (0.33, ((200, 0.3), (400, 0.15)), 300)
 
 
 def decided(block: Block) -> bool | None:
-    """Pass 1: True for text of the article, False for other text, None if the block tells too little."""
+    """Pass 1: True for text of the article, False for other text, None if the block tells too little. Marks are weighed later."""
     if block.out:
         return False
     n = len(block.text)
@@ -196,6 +229,19 @@ def decided(block: Block) -> bool | None:
     return True if n > long and density < 0.05 else None
 
 
+def weigh_marks(found: list[Block]) -> None:
+    """Marked blocks go; but of a marked element that holds all that the rules take for article text, the name was wrong."""
+    plain = [b for b in found if not b.out and not b.marked]
+    inside, anywhere = any(b.label and b.article for b in plain), any(b.label or b.article for b in plain)
+    wrong = {b.marked for b in found if b.label and not b.out and not (inside if b.article else anywhere)}
+    for b in found:
+        if b.marked and not b.out:
+            if b.marked in wrong:
+                b.marked = 0
+            else:
+                b.label, b.out = False, True
+
+
 def nearest(found: list[Block], speaks) -> list[tuple[int | None, int | None]]:
     """For each block the nearest decided ones before and after it, among those that speak."""
     out: list[list[int | None]] = [[None, None] for _ in found]
@@ -235,6 +281,7 @@ def extract(page: str | None) -> str:
     found = blocks(page)
     for b in found:
         b.label = decided(b)
+    weigh_marks(found)
     settle(found)
     return "\n".join(b.text for b in found if b.label)
 
