@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.profiles import DEFAULT_KEYS
+from .numbering import numbered
 
 EMPTY = "<empty>"
 MAX_GROUPS, MAX_BUCKET_MINUTES = 2000, 1440
+NUMBERED_IN_ONE_TASK = 10_000
 
 
 def correlation_token(values: dict[str, Column]) -> Column:
@@ -38,25 +40,36 @@ class Timeline:
     counters: DataFrame
 
 
-def timeline_rows(events: DataFrame, keys: tuple[str, ...] = DEFAULT_KEYS, max_events: int = 500, per_name: int | None = None, log_name: str | None = None, event_ids: tuple[int, ...] = (), include_uncorrelated: bool = True) -> DataFrame:
-    """Classified events (named_event and the key columns present) through the row filters in their order, then capped in time order.
-
-    Adds correlation_id and sequence (1..n). The cap comes first, so the global numbering sees max_events rows.
-    """
-    order = [F.asc_nulls_last("time_created"), F.asc_nulls_last("record_id"), F.upper("named_event")]
+def correlated(events: DataFrame, keys: tuple[str, ...] = DEFAULT_KEYS, per_name: int | None = None, log_name: str | None = None, event_ids: tuple[int, ...] = (), include_uncorrelated: bool = True) -> DataFrame:
+    """Classified events (named_event and the key columns present) through the row filters in their order, with correlation_id; no cap."""
     out = events
     if per_name is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("named_event").orderBy(*order))).where(F.col("_n") <= per_name).drop("_n")
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("named_event").orderBy(*_order()))).where(F.col("_n") <= per_name).drop("_n")
     if log_name is not None:
         out = out.where(F.upper("log_name") == log_name.upper())
     if event_ids:
         out = out.where(F.col("id").isin(*event_ids))
     values = {k: F.col(k) for k in keys}
     out = out.withColumn("correlation_id", correlation_id(values))
-    if not include_uncorrelated:
-        out = out.where(~_uncorrelated(values))
-    out = out.orderBy(*order).limit(max_events)
-    return out.withColumn("sequence", F.row_number().over(Window.orderBy(*order)))
+    return out if include_uncorrelated else out.where(~_uncorrelated(values))
+
+
+def _order() -> list[Column]:
+    return [F.asc_nulls_last("time_created"), F.asc_nulls_last("record_id"), F.upper("named_event").asc()]
+
+
+def timeline_rows(events: DataFrame, keys: tuple[str, ...] = DEFAULT_KEYS, max_events: int | None = 500, **filters) -> DataFrame:
+    """correlated() rows with sequence 1..n in time order: the earliest max_events of them, or all (None).
+
+    Up to NUMBERED_IN_ONE_TASK rows are numbered as the sorted head that they are; more, or all, by ranges (operators.numbering).
+    """
+    out = correlated(events, keys, **filters)
+    if max_events is not None:
+        out = out.orderBy(*_order()).limit(max_events)
+        if max_events <= NUMBERED_IN_ONE_TASK:
+            return out.withColumn("sequence", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
+    order = [(F.col("time_created"), "asc_nulls_last"), (F.col("record_id"), "asc_nulls_last"), (F.upper("named_event"), "asc")]
+    return numbered(out, order, name="sequence")
 
 
 def _uncorrelated(values: dict[str, Column]) -> Column:
@@ -94,8 +107,10 @@ def timeline_groups(rows: DataFrame, cap: int = 250) -> DataFrame:
         sets("named_event").alias("named_events"), sets("id").alias("event_ids"), sets(machine).alias("machines"),
     )
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    groups = groups.withColumn("duration_minutes", F.round((seconds("last_seen") - seconds("first_seen")) / 60, 3)).withColumn("groups_total", F.count("*").over(Window.partitionBy()))
-    return groups.orderBy(F.desc("event_count"), F.asc_nulls_last("first_seen"), F.asc("correlation_id")).limit(min(cap, MAX_GROUPS))
+    groups = groups.withColumn("duration_minutes", F.round((seconds("last_seen") - seconds("first_seen")) / 60, 3))
+    total = groups.agg(F.count("*").alias("groups_total")).withColumn("_one", F.lit(1))  # one row
+    largest = groups.orderBy(F.desc("event_count"), F.asc_nulls_last("first_seen"), F.asc("correlation_id")).limit(min(cap, MAX_GROUPS))
+    return largest.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
 
 
 def timeline_buckets(rows: DataFrame, minutes: int = 15) -> DataFrame:
@@ -105,7 +120,7 @@ def timeline_buckets(rows: DataFrame, minutes: int = 15) -> DataFrame:
 
 
 def build(events: DataFrame, keys: tuple[str, ...] = DEFAULT_KEYS, max_events: int = 500, max_groups: int = 250, bucket_minutes: int = 15, **filters) -> Timeline:
-    rows = timeline_rows(events, keys, max_events, **filters)
+    rows = timeline_rows(events, keys, max_events, **filters)  # the cap is the request's: groups and buckets are those of its rows
     counted = filter_counts(events, keys, filters.get("per_name"), filters.get("log_name"), filters.get("event_ids", ()), filters.get("include_uncorrelated", True))
     return Timeline(rows, timeline_groups(rows, max_groups), timeline_buckets(rows, bucket_minutes), counted)
 

@@ -9,7 +9,7 @@ from datetime import datetime
 from ..functions import lookups
 from ..operators.filters import FilterSpec
 
-KINDS = ("InvalidArgument", "NotFound", "AccessDenied", "IoError", "Timeout", "Exception")
+KINDS = ("InvalidArgument", "NotFound", "AccessDenied", "IoError", "Timeout", "Cancelled", "Exception")
 _RECOVERABLE = {"Timeout", "IoError", "NotFound"}
 
 

@@ -1,14 +1,12 @@
-"""XPath text of filter specifications, and the XPath subset that can be read back into a Column."""
+"""XPath text of filter specifications; plans.xpath_reader reads it, and other event XPath, back into a Column."""
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
-from ..functions.parse import raw
 from ..operators.filters import FilterSpec, keyword_mask, level_numbers
 
 
@@ -70,107 +68,8 @@ def build_query_list(spec: FilterSpec, path: str | None = None, now: datetime |
     return f'<QueryList><Query Id="0" Path="{where}">{select}{xpath}</Select></Query></QueryList>'
 
 
-_TOKENS = re.compile(r"\s*(timediff\(@SystemTime\)|band\(\s*Keywords\s*,\s*(\d+)\s*\)|!=|<=|>=|=|<|>|[()\[\]*]|and\b|or\b|@?\w+|'[^']*'|\"[^\"]*\")")
-
-
-class _Reader:
-    """Recursive descent over: or-lists, and-lists, parentheses, nested element predicates, comparisons."""
-
-    COLUMNS = {"EventID": "id", "EventRecordID": "record_id", "Level": "level", "Task": "task", "Opcode": "opcode"}
-
-    def __init__(self, text: str, now: datetime | None):
-        text = text.replace("&lt;", "<").replace("&gt;", ">").replace("&apos;", "'").replace("&amp;", "&")
-        self.tokens, at = [], 0
-        while at < len(text.rstrip()):
-            m = _TOKENS.match(text, at)
-            if not m:
-                raise ValueError(f"XPath not understood at {text[at : at + 20]!r}")
-            self.tokens.append(m[1])
-            at = m.end()
-        self.at, self.now = 0, now
-
-    def peek(self) -> str:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ""
-
-    def take(self, wanted: str | None = None) -> str:
-        token = self.peek()
-        if wanted and token != wanted or not token:
-            raise ValueError(f"XPath: {wanted or 'more'} expected, found {token or 'the end'}")
-        self.at += 1
-        return token
-
-    def either(self, scope: str) -> Column:
-        out = self.both(scope)
-        while self.peek() == "or":
-            self.take()
-            out = out | self.both(scope)
-        return out
-
-    def both(self, scope: str) -> Column:
-        out = self.one(scope)
-        while self.peek() == "and":
-            self.take()
-            out = out & self.one(scope)
-        return out
-
-    def one(self, scope: str) -> Column:
-        token = self.take()
-        if token == "(":
-            out = self.either(scope)
-            self.take(")")
-            return out
-        if token.startswith("band("):
-            return F.col("keywords").bitwiseAND(F.lit(int(re.search(r"\d+", token)[0]))) != 0
-        if token == "Data":
-            name = None
-            if self.peek() == "[":
-                self.take()
-                self.take("@Name")
-                self.take("=")
-                name = self.take()[1:-1]
-                self.take("]")
-            if self.peek() not in ("=", "!="):
-                return raw(F.col("data_ci"), name).isNotNull()
-            sign, value = self.take(), self.take().strip("'\"")
-            if name is None:
-                return F.exists(F.map_values("data"), lambda v: v == value)
-            found = raw(F.col("data_ci"), name)
-            return F.coalesce(found == value if sign == "=" else found != value, F.lit(False))
-        if token in ("*", "System", "EventData", "UserData", "Provider", "Security", "TimeCreated", "Event"):
-            if self.peek() != "[":
-                return F.lit(True)
-            self.take()
-            out = self.either(token)
-            self.take("]")
-            return out
-        return self.comparison(token, scope)
-
-    def comparison(self, token: str, scope: str) -> Column:
-        sign, value = self.take(), self.take().strip("'\"")
-        if token.startswith("timediff"):
-            reach = F.unix_millis(F.lit(self.now or datetime.now()).cast("timestamp")) - F.unix_millis(F.col("time_created").cast("timestamp"))
-            return reach <= int(value) if sign in ("<", "<=") else reach >= int(value)
-        if token == "@SystemTime":
-            left, right = F.col("time_created"), F.lit(datetime.fromisoformat(value.rstrip("Z"))).cast("timestamp_ntz")
-        elif token == "@Name":
-            left, right = F.upper("provider_name"), F.lit(value.upper())
-        elif token == "@UserID":
-            left, right = F.col("user_id"), F.lit(value)
-        elif token in self.COLUMNS:
-            left, right = F.col(self.COLUMNS[token]), F.lit(int(value))
-        elif token in ("Channel", "Computer"):
-            left, right = F.col("log_name" if token == "Channel" else "computer_name"), F.lit(value)
-        else:
-            raise ValueError(f"XPath: {token} is not among the supported names")
-        return {"=": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[sign]
-
-
 def xpath_column(text: str | None, now: datetime | None = None) -> Column:
-    """The predicate of an XPath of the supported subset; blank and "*" select all."""
-    if not text or text.strip() in ("", "*"):
-        return F.lit(True)
-    reader = _Reader(text, now)
-    out = reader.either("")
-    if reader.peek():
-        raise ValueError(f"XPath: {reader.peek()!r} left over")
-    return out
+    """The predicate of an event XPath, or of a QueryList (its Selects less its Suppresses); blank and "*" select all."""
+    from .xpath_reader import query_column
+
+    return query_column(text, now)

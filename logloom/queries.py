@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import decode as D, lookups as L, parse as P
-from .operators import filters, reports as R, scripts, tables, timeline as T
+from .operators import accounts, filters, probe, reports as R, scripts, tables, timeline as T
 from .operators.filters import FilterSpec
+from .operators.resume_state import ResumeState, state_key
+from .operators.stats_state import StatsBuilder
 from .plans import profiles, rules, xpath
 from .sources.events import DUCKDB_EVT, events, table, with_data
+from .sources.hosts import scan_hosts
+from .sources.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,6 +80,46 @@ def scan_xpath_subset(spark, sf_dir):
     return _head(events(spark, sf_dir).where(xpath.xpath_column(text)))
 
 
+@query(
+    """ SELECT record_id, id, time_created, computer_name FROM evt WHERE ((level IN (2, 3) AND task <> 5) OR (logon_type = '10' AND id <> 4740))
+    AND NOT (workstation = '-' AND id = 4625) AND NOT (status = '0xC000006D' OR user_id = 'S-1-5-21-2') OR record_id IN (3, 4)"""
+)
+def xpath_query_list(spark, sf_dir):
+    """Several Selects less several Suppresses; not() and UserData among them."""
+    text = """<QueryList><Query Id="0" Path="Security">
+      <Select>*[System[(Level=2 or Level=3) and not(Task=5)]]</Select>
+      <Select Path="Security">*[EventData[Data[@Name='LogonType']='10'] and not(System/EventID=4740)]</Select>
+      <Suppress>*[System[EventID=4625]] and *[EventData[Data[@Name='WorkstationName' and .='-']]]</Suppress>
+      <Suppress>*[UserData/Holder/Status='0xC000006D' or System[Security[@UserID='S-1-5-21-2']]]</Suppress></Query>
+      <Query Id="1" Path="Security"><Select>*[System[EventRecordID &gt;= 3 and EventRecordID &lt; 5]]</Select></Query></QueryList>"""
+    return _head(data(spark, sf_dir).where(xpath.xpath_column(text)))
+
+
+@query(" SELECT computer_name AS host, count(*) AS n, 'Ok' AS status FROM evt WHERE level = 2 AND computer_name <> 'DC4' GROUP BY computer_name UNION ALL SELECT 'GONE', 0, 'NotFound'")
+def scan_hosts_isolated(spark, sf_dir):
+    """Each host is a job of its own; one that isn't there costs one error row."""
+    own = {f"DC{i}": events(spark, sf_dir).where(f"computer_name = 'DC{i}'") for i in range(4)}
+    found = scan_hosts(spark, own | {"GONE": f"{sf_dir}/no-such-host.parquet"}, lambda rows: rows.where(filters.to_column(FilterSpec(levels=(2,)))).select("record_id"))
+    good = found.rows.groupBy("host").agg(F.count("*").alias("n")).withColumn("status", F.lit("Ok"))
+    return good.unionByName(found.errors.select("host", F.lit(0).cast("bigint").alias("n"), F.col("kind").alias("status")))
+
+
+_UNTIMED = "computer_name = 'DC1' OR (computer_name IN ('DC2', 'DC3') AND record_id % 13 <> 5)"
+
+
+@query(
+    f""", e AS (SELECT computer_name, record_id, CASE WHEN {_UNTIMED} THEN NULL ELSE time_created END AS t, row_number() OVER (PARTITION BY computer_name ORDER BY record_id DESC) AS n FROM evt WHERE computer_name <> 'DC2' OR id = 4740),
+    r AS (SELECT computer_name, min(n) FILTER (t IS NOT NULL) AS hit, count(*) AS n FROM e WHERE n <= 40 GROUP BY computer_name)
+    SELECT 'Security' AS log_name, w.computer_name, CASE WHEN r.hit IS NOT NULL THEN 'Ok' WHEN r.n >= 40 THEN 'LimitReached' ELSE 'NoEvent' END AS status, e.t AS latest_time, e.record_id AS latest_record, coalesce(r.hit, r.n, 0) AS scanned
+    FROM (SELECT 'DC' || range AS computer_name FROM range(7)) w LEFT JOIN r ON w.computer_name = r.computer_name LEFT JOIN e ON e.computer_name = r.computer_name AND e.n = r.hit"""
+)
+def probe_states(spark, sf_dir):
+    """Newest record with a time of each wanted host, 40 records at most; DC5 and DC6 don't exist."""
+    rows = events(spark, sf_dir).where("computer_name != 'DC2' or id = 4740").withColumn("time_created", F.when(~F.expr(_UNTIMED), F.col("time_created")))
+    wanted = spark.range(7).select(F.lit("Security").alias("log_name"), F.concat(F.lit("DC"), F.col("id").cast("string")).alias("computer_name"))
+    return probe.probe_states(rows, wanted, 40)
+
+
 _scan_query("scan_by_record_id", FilterSpec(record_ids=(5, 17, 900, 5)), "record_id IN (5, 17, 900)")
 
 
@@ -153,6 +198,15 @@ def resume_after(spark, sf_dir):
     return tables.resume(rows, state).groupBy("computer_name").agg(F.count("*").alias("n"), F.max("record_id").alias("last_record"))
 
 
+@query(", s AS (SELECT computer_name, max(record_id) AS last_record FROM evt WHERE computer_name <> 'DC4' AND record_id % 3 = 0 GROUP BY 1) SELECT e.computer_name, count(*) AS n, max(e.record_id) AS last_record FROM evt e LEFT JOIN s USING (computer_name) WHERE s.last_record IS NULL OR e.record_id > s.last_record - 400 GROUP BY 1")
+def resume_from_file(spark, sf_dir):
+    """State kept in a file by one reader, read by another; the first reader's events end 400 before the newest."""
+    state = ResumeState(spark, f"{shared_dir(spark)}/resume-{uuid.uuid4().hex}.json")
+    rows, key = events(spark, sf_dir), state_key(None, "Security", ["DC0", "DC1"])
+    state.advance(rows.where("computer_name <> 'DC4' and record_id % 3 = 0").withColumn("record_id", F.col("record_id") - 400), key)
+    return state.behind(rows, key).groupBy("computer_name").agg(F.count("*").alias("n"), F.max("record_id").alias("last_record"))
+
+
 @query(" SELECT DISTINCT computer_name AS name FROM evt WHERE computer_name LIKE 'DC_' AND computer_name LIKE '%3'")
 def wildcard_logs(spark, sf_dir):
     return tables.catalog(events(spark, sf_dir), "computer_name", pattern="dc?").where(filters.wildcard(F.col("name"), "*3"))
@@ -394,6 +448,21 @@ def stats_grouping_sets(spark, sf_dir):
     return R.stats(events(spark, sf_dir))
 
 
+@query(
+    _fanned({"event_id": "id", "provider": "CASE WHEN trim(provider_name) = '' THEN '(unknown)' ELSE provider_name END", "computer": "computer_name", "level": "level"})
+    + " UNION ALL SELECT 'level_name', CASE level WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' ELSE 'Information' END, count(*) FROM evt GROUP BY ALL UNION ALL SELECT 'scanned', min(time_created) || ' - ' || max(time_created), count(*) FROM (SELECT date_trunc('second', time_created) AS time_created FROM evt)"
+)
+def stats_incremental(spark, sf_dir):
+    """A report added up from three slices of the table, the last one first and one of them twice."""
+    builder, rows = StatsBuilder(spark, f"{shared_dir(spark)}/stats-{uuid.uuid4().hex}"), events(spark, sf_dir)
+    for k in (2, 0, 1, 0):
+        builder.add_range(rows.where(F.pmod("record_id", F.lit(3)) == k), f"slice-{k}")
+    built, text = builder.build(), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    names = built.levels.select(F.lit("level_name").alias("dim"), F.col("level_name").alias("key"), "count")
+    whole = built.summary.select(F.lit("scanned").alias("dim"), F.concat(text("min_utc"), F.lit(" - "), text("max_utc")).alias("key"), F.col("scanned").alias("count"))
+    return built.counts.unionByName(names).unionByName(whole)
+
+
 _STATUS_SQL = _HEX.format("status")
 _SUB_SQL = _HEX.format("sub_status")
 _X8 = "'0x' || lpad(upper(printf('%x', {0})), 8, '0')"
@@ -466,7 +535,7 @@ _DISPATCH = """, named AS (SELECT *, CASE id WHEN 4625 THEN 'ADUserLogonFailed'
   FROM evt WHERE id IN (4624, 4625, 4740) OR (id = 4768 AND upper(provider_name) = 'MICROSOFT-WINDOWS-SECURITY-AUDITING'))"""
 _TOKEN = "'computer=' || computer || '|object_affected=' || CASE WHEN trim(object_affected) = '' THEN '<empty>' ELSE trim(object_affected) END || '|who=' || CASE WHEN trim(coalesce(who, '')) = '' THEN '<empty>' ELSE trim(who) END"
 _ORDER = "time_created, record_id, upper(named_event)"
-_CAPPED = _DISPATCH + f", t AS (SELECT *, substr(sha256({_TOKEN}), 1, 16) AS correlation_id FROM named ORDER BY {_ORDER} LIMIT 2000)"
+_CORRELATED = _DISPATCH + f", t AS (SELECT *, substr(sha256({_TOKEN}), 1, 16) AS correlation_id FROM named)"
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,40 +554,46 @@ def named_events_plan(spark, sf_dir):
     return spark.createDataFrame([(c, i) for c, ids in plan.items() for i in ids], "channel string, event_id int")
 
 
-@query(_CAPPED + f" SELECT row_number() OVER (ORDER BY {_ORDER}) AS sequence, record_id, named_event, correlation_id FROM t")
+@query(_CORRELATED + f" SELECT row_number() OVER (ORDER BY {_ORDER}) AS sequence, record_id, named_event, correlation_id FROM t ORDER BY sequence LIMIT 2000")
 def timeline_rows(spark, sf_dir):
     return T.timeline_rows(named(spark, sf_dir), max_events=2000).select("sequence", "record_id", "named_event", "correlation_id")
 
 
+@query(_CORRELATED + f" SELECT row_number() OVER (ORDER BY {_ORDER}) AS sequence, record_id, named_event, correlation_id FROM t")
+def timeline_numbered(spark, sf_dir):
+    """The whole timeline, numbered by ranges."""
+    return T.timeline_rows(named(spark, sf_dir), max_events=None).select("sequence", "record_id", "named_event", "correlation_id")
+
+
 @query(_DISPATCH + f" SELECT record_id, substr(sha256({_TOKEN}), 1, 16) AS correlation_id FROM named")
 def correlation_id(spark, sf_dir):
     return named(spark, sf_dir).select("record_id", T.correlation_id({k: F.col(k) for k in profiles.DEFAULT_KEYS}).alias("correlation_id"))
 
 
 @query(
-    _CAPPED
+    _CORRELATED
     + """, g AS (SELECT correlation_id, count(*) AS event_count, min(time_created) AS first_seen, max(time_created) AS last_seen, list_sort(list(DISTINCT named_event)) AS names, list_sort(list(DISTINCT id)) AS ids, list_sort(list(DISTINCT upper(computer_name))) AS machines FROM t GROUP BY correlation_id)
     SELECT correlation_id, event_count, first_seen, last_seen, round((epoch_us(last_seen) - epoch_us(first_seen)) / 60000000.0::DOUBLE, 3) AS duration_minutes, array_to_string(names, ',') AS named_events, array_to_string(ids, ',') AS event_ids,
     array_to_string(machines, ',') AS machines, (SELECT count(*) FROM g) AS groups_total FROM g ORDER BY event_count DESC, first_seen, correlation_id LIMIT 250"""
 )
 def timeline_groups(spark, sf_dir):
-    groups = T.timeline_groups(T.timeline_rows(named(spark, sf_dir), max_events=2000))
+    groups = T.timeline_groups(T.correlated(named(spark, sf_dir)))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return groups.select("correlation_id", "event_count", "first_seen", "last_seen", "duration_minutes", text("named_events"), text("event_ids"), text("machines"), "groups_total")
 
 
 def _bucketed(minutes: int) -> str:
-    return _CAPPED + f" SELECT time_bucket(INTERVAL {minutes} MINUTE, time_created, TIMESTAMP '0001-01-01') AS bucket_start, count(*) AS event_count, count(DISTINCT correlation_id) AS correlation_count FROM t GROUP BY 1"
+    return _CORRELATED + f" SELECT time_bucket(INTERVAL {minutes} MINUTE, time_created, TIMESTAMP '0001-01-01') AS bucket_start, count(*) AS event_count, count(DISTINCT correlation_id) AS correlation_count FROM t GROUP BY 1"
 
 
 @query(_bucketed(15))
 def timeline_buckets(spark, sf_dir):
-    return T.timeline_buckets(T.timeline_rows(named(spark, sf_dir), max_events=2000), 15)
+    return T.timeline_buckets(T.correlated(named(spark, sf_dir)), 15)
 
 
 @query(_bucketed(7))
 def timeline_buckets_7m(spark, sf_dir):
-    return T.timeline_buckets(T.timeline_rows(named(spark, sf_dir), max_events=2000), 7)
+    return T.timeline_buckets(T.correlated(named(spark, sf_dir)), 7)
 
 
 @query(
@@ -577,6 +652,28 @@ def script_context(spark, sf_dir):
     return scripts.executions(rows).select("record_id", "execution_index", "CommandName", "User")
 
 
+@query(" SELECT record_id, row_number() OVER (ORDER BY time_created, computer_name, record_id) AS execution_index FROM evt WHERE level = 3")
+def script_executions_numbered(spark, sf_dir):
+    """Executions of all computers in one order, numbered by ranges."""
+    rows = events(spark, sf_dir).where("level = 3").select("record_id", "time_created", "computer_name", F.lit(4100).alias("id"), F.create_map(F.lit("CONTEXTINFO"), F.concat(F.lit("User="), "target_user")).alias("data_ci"))
+    return scripts.executions(rows, across=True).select("record_id", "execution_index")
+
+
+@query(" SELECT e.record_id, e.user_id FROM evt e WHERE e.user_id IN (SELECT 'S-1-5-21-' || s_suppkey % 4 FROM supplier WHERE upper(s_name) IN ('SUPPLIER#000000002', 'SUPPLIER#000000005') AND s_suppkey <> 5 UNION ALL SELECT 'S-1-5-21-3')")
+def filter_account_name(spark, sf_dir):
+    """Accounts by name, resolved from a dimension before the scan; one name is a SID, one is of another domain."""
+    domain = F.when(F.col("s_suppkey") == 5, "OTHER\\").otherwise("CORP\\")
+    known = table(spark, sf_dir, "supplier").select(F.concat(domain, "s_name").alias("account"), F.concat(F.lit("S-1-5-21-"), (F.col("s_suppkey") % 4).cast("string")).alias("sid"))
+    return accounts.by_account(events(spark, sf_dir), known, ["supplier#000000002", "corp\\Supplier#000000005", "S-1-5-21-3"]).select("record_id", "user_id")
+
+
+@query(" SELECT record_id, CASE WHEN ip_address IN ('-', '::1') THEN NULL ELSE 'host-' || replace(ip_address, '.', '-') END AS ip_address_name FROM evt")
+def reverse_names(spark, sf_dir):
+    """Names of addresses, each address resolved once."""
+    found, _ = accounts.reverse_names(events(spark, sf_dir), "ip_address", lambda a: None if a == "::1" else "host-" + a.replace(".", "-"))
+    return found.select("record_id", "ip_address_name")
+
+
 @query(" SELECT e.record_id, s.s_name AS supplier FROM evt e LEFT JOIN supplier s ON e.user_number = s.s_suppkey")
 def enrich_dim_left(spark, sf_dir):
     dimension = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("supplier"))

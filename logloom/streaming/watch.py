@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.resume_state import ResumeState
 from ..plans import rules
 
 #: Event id that the staging flag adds.
@@ -35,7 +36,9 @@ class Watcher:
     """A running stream with an action per micro-batch.
 
     stop_after ends it once that many rows were found: a batch is cut at the count, so the action
-    never sees more. An action's error ends the watcher and is kept in `error`.
+    never sees more. An action's error ends the watcher and is kept in `error`. With a state, rows up to the highest record ids
+    kept under state_key are passed over, and those of each acted-on batch are kept: a watcher that starts again, on a new checkpoint
+    too, neither repeats nor loses rows whose ids ascend within their log and host.
     """
 
     name: str
@@ -46,6 +49,8 @@ class Watcher:
     stop_after: int = 0
     timeout: timedelta | None = None
     checkpoint: str | None = None
+    state: ResumeState | None = None
+    state_key: str | None = None
     trigger: dict = field(default_factory=lambda: {"processingTime": "1 second"})
     id: uuid.UUID = field(default_factory=uuid.uuid4)
     started: datetime | None = None
@@ -72,16 +77,20 @@ class Watcher:
     def _batch(self, rows: DataFrame, _: int) -> None:
         if self._done.is_set():
             return
+        if self.state is not None:
+            rows = self.state.behind(rows, self.state_key or self.name)
         left = (1 if self.stop_on_match else self.stop_after) - self.found if self.stop_on_match or self.stop_after else 0
         if self.stop_on_match or self.stop_after:
             order = [c for c in ("time_created", "record_id") if c in rows.columns]
             rows = rows.orderBy(*order).limit(max(0, left))
-        rows = rows.persist()
+        rows, count = rows.persist(), 0
         try:
             count = rows.count()
             if count:
                 self.found += count
                 self.action(rows)
+                if self.state is not None:
+                    self.state.advance(rows, self.state_key or self.name)
         except Exception as e:  # noqa: BLE001
             self.error = e
             self._done.set()
