@@ -6,8 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .operators import filters, reports, scripts, tables, timeline
+from .operators import accounts, filters, probe, reports, scripts, tables, timeline
+from .operators.deadlines import Cancellation, RowStream, within
 from .operators.filters import FilterSpec
+from .operators.resume_state import ResumeState
+from .operators.stats_state import StatsBuilder
 from .plans import requests, rules, xpath
 from .schema import EVENT_FIELDS, conform
 from .streaming.watch import Watcher, WatcherRegistry, matching
@@ -37,9 +40,28 @@ class EventLog:
         rows = rows if include_message else rows.drop("message", "message_lines", "message_data")
         return tables.flatten(rows) if expand else rows
 
-    def get_list(self, *args, **options) -> list:
-        """get_events collected: the caller bounds it with max_events or a filter."""
-        return self.get_events(*args, **options).collect()
+    def get_list(self, *args, seconds: float | None = None, cancel: Cancellation | None = None, **options) -> list:
+        """get_events collected, within a time if one is given: the caller bounds it with max_events or a filter."""
+        rows = self.get_events(*args, **options)
+        return rows.collect() if seconds is None and cancel is None else within(self.spark, seconds, rows.collect, cancel)
+
+    def stream_rows(self, *args, stall: float | None = None, cancel: Cancellation | None = None, **options) -> RowStream:
+        """get_events row by row as they come, ended when none comes for `stall` seconds."""
+        return RowStream(self.get_events(*args, **options), stall=stall, cancel=cancel)
+
+    def of_accounts(self, directory: DataFrame, names: list[str]) -> EventLog:
+        """The log of accounts by name, by a directory (account, sid)."""
+        return self.with_events(accounts.by_account(self.events, directory, names))
+
+    def read_new(self, state: ResumeState, key: str, action, spec: FilterSpec | None = None) -> int:
+        """Hands the matching events behind the state to action, then moves the state; their number."""
+        return state.read(self.events.where(filters.to_column(spec or FilterSpec())), key, action)
+
+    def stats_builder(self, path: str) -> StatsBuilder:
+        """A report in a folder with these events added to what it holds."""
+        builder = StatsBuilder(self.spark, path)
+        builder.add_range(self.events)
+        return builder
 
     def named(self, name: str, spec: FilterSpec | None = None) -> DataFrame:
         """The typed projection of one named event."""
@@ -62,14 +84,15 @@ class EventLog:
     def get_providers(self, contains: str | None = None, most: int = 0) -> DataFrame:
         return tables.catalog(self.events, "provider_name", contains=contains, most=most)
 
-    def probe(self) -> DataFrame:
-        return tables.probe_latest(self.events)
+    def probe(self, wanted: DataFrame | None = None, most: int = probe.MOST) -> DataFrame:
+        """The newest event of every log, or of each wanted (log_name, computer_name) among its `most` newest."""
+        return tables.probe_latest(self.events) if wanted is None else probe.probe_states(self.events, wanted, most)
 
     def get_scripts(self, contains: list[str] | None = None, formatted: bool = False) -> DataFrame:
         return scripts.reassemble(scripts.script_parts(self.events), contains, formatted)
 
-    def get_executions(self) -> DataFrame:
-        return scripts.executions(self.events)
+    def get_executions(self, across: bool = False) -> DataFrame:
+        return scripts.executions(self.events, across)
 
     def stats(self) -> DataFrame:
         return reports.stats(self.events)

@@ -55,13 +55,13 @@ def message_line(lines: Column, index: int, trim: bool = True) -> Column:
 
 def lookup(data_ci: Column, key: str, trim: bool = True) -> Column:
     """Value of a key without case, else "". data_ci has upper-case keys."""
-    value = F.try_element_at(data_ci, F.lit(key.upper()))
+    value = raw(data_ci, key)
     return F.coalesce(F.trim(value) if trim else value, F.lit(""))
 
 
 def raw(data_ci: Column, key: str) -> Column:
-    """Value of a key without case, null if missing."""
-    return F.try_element_at(data_ci, F.lit(key.upper()))
+    """Value of a key without case, null if missing. Of a map made of columns it is just the column, which prunes and pushes down."""
+    return data_ci.getItem(key.upper())
 
 
 def joined(first: Column, second: Column, separator: str = "\\", reverse: bool = False) -> Column:

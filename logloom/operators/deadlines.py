@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from ..messages import MESSAGES
 from ..plans.requests import QueryFailure
 
 #: Seconds between looks at the clock and at the wish to stop, and those that cancelled jobs get to end.
@@ -73,6 +74,7 @@ def within(spark: SparkSession, seconds: float | None, work: Callable[[], object
         late = until is not None and time.monotonic() >= until and thread.is_alive()
         if late or cancel is not None and cancel.cancelled:
             _cancel(spark, tag, thread)
+            MESSAGES.write("warning", f"timed out after {seconds} s" if late else "cancelled")
             raise QueryFailure("Timeout", f"not done after {seconds} s") if late else QueryFailure("Cancelled", "cancelled while it ran")
     value, error = done[0]
     if error is not None:
@@ -149,6 +151,7 @@ class RowStream(Iterator[Row]):
             except queue.Empty:
                 if until is not None and time.monotonic() >= until:
                     self._close("Stalled")
+                    MESSAGES.write("verbose" if self.given else "warning", f"no row within {self.stall} s, {self.given} already given")
                     if self.given:
                         raise StopIteration from None
                     raise QueryFailure("Timeout", f"no row within {self.stall} s") from None

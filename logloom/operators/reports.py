@@ -52,6 +52,18 @@ def top(counts: DataFrame, k: int, text: bool = True) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.upper("key") if text else F.col("key")).limit(max(0, k))
 
 
+def keyed_top(counts: DataFrame, k: int, name: str, text: bool = True) -> DataFrame:
+    """top() as rows (key: {name: key}, count), in order."""
+    if not name or not name.strip():
+        raise ValueError("a name for the key is needed")
+    return top(counts, k, text).select(F.create_map(F.lit(name), F.col("key").cast("string")).alias("key"), "count")
+
+
+def preview_top(counts: DataFrame, k: int, text: bool = True) -> DataFrame:
+    """top() as rows of text cells [key, count], in order."""
+    return top(counts, k, text).select(F.array(F.col("key").cast("string"), F.col("count").cast("string")).alias("cells"))
+
+
 def summary(events: DataFrame, matched: Column | None = None) -> DataFrame:
     """One row: scanned, matched, min_utc, max_utc (of matched ones)."""
     hit = F.lit(True) if matched is None else matched
@@ -87,10 +99,6 @@ def _target(data: Column) -> tuple[Column, Column]:
     return user, D.first_filled(parts["domain"], raw(data, "TargetDomainName"))
 
 
-def logon_type_text(value: Column) -> Column:
-    return F.coalesce(D.decode_enum(value, L.LOGON_TYPE, "decimal").cast("string"), F.lit(""))
-
-
 def failed_logon_numbers(data: Column) -> dict[str, Column]:
     """What several columns are made of, decoded once."""
     user, domain = _target(data)
@@ -110,20 +118,30 @@ def failed_logon_columns(data: Column, made: dict[str, Column] | None = None) ->
     }
 
 
-def user_logon_columns(data: Column) -> dict[str, Column]:
+def user_logon_numbers(data: Column) -> dict[str, Column]:
+    """The account's parts, and the logon type's number of the events that have one."""
     user, domain = _target(data)
+    return {"user_": user, "domain_": domain, "logon_type_": F.when(F.col("id").isin(4624, 4625), D.decode_enum(raw(data, "LogonType"), L.LOGON_TYPE, "decimal"))}
+
+
+def user_logon_columns(data: Column, made: dict[str, Column] | None = None) -> dict[str, Column]:
+    made = user_logon_numbers(data) if made is None else made
     decoded = F.col("id").isin(4624, 4625)  # these have a joined account, others its parts
-    user = F.when(decoded, user).otherwise(D.first_filled(raw(data, "TargetUserName"), raw(data, "AccountName")))
-    kind = D.first_filled(F.when(decoded, logon_type_text(raw(data, "LogonType"))), raw(data, "LogonType"))
+    user = F.when(decoded, made["user_"]).otherwise(D.first_filled(raw(data, "TargetUserName"), raw(data, "AccountName")))
     return {
-        "event_id": F.col("id"), "target_user": user, "target_domain": domain, "logon_type": kind, "ip_address": D.placeholder(D.first_filled(raw(data, "IpAddress"), raw(data, "ClientAddress"))),
-        "workstation": D.placeholder(raw(data, "WorkstationName")), "computer": F.col("computer_name"),
+        "event_id": F.col("id"), "target_user": user, "target_domain": made["domain_"], "logon_type": F.coalesce(made["logon_type_"].cast("string"), D.first_filled(raw(data, "LogonType"))),
+        "ip_address": D.placeholder(D.first_filled(raw(data, "IpAddress"), raw(data, "ClientAddress"))), "workstation": D.placeholder(raw(data, "WorkstationName")), "computer": F.col("computer_name"),
     }
 
 
-def lockout_columns(data: Column) -> dict[str, Column]:
+def account_parts(data: Column) -> dict[str, Column]:
     user, domain = _target(data)
-    return {"target_user": user, "target_domain": domain, "caller_computer": D.placeholder(raw(data, "CallerComputerName")), "computer": F.col("computer_name"), "subject_user": D.first_filled(account(data, "Subject"), raw(data, "SubjectUserName"))}
+    return {"user_": user, "domain_": domain}
+
+
+def lockout_columns(data: Column, made: dict[str, Column] | None = None) -> dict[str, Column]:
+    made = account_parts(data) if made is None else made
+    return {"target_user": made["user_"], "target_domain": made["domain_"], "caller_computer": D.placeholder(raw(data, "CallerComputerName")), "computer": F.col("computer_name"), "subject_user": D.first_filled(account(data, "Subject"), raw(data, "SubjectUserName"))}
 
 
 @dataclass(frozen=True)
@@ -135,8 +153,8 @@ class SecurityReport:
 
 REPORTS = {
     "failed_logons": SecurityReport((4625,), failed_logon_columns, failed_logon_numbers),
-    "user_logons": SecurityReport((4624, 4625, 4634, 4647), user_logon_columns),
-    "lockouts": SecurityReport((4740,), lockout_columns),
+    "user_logons": SecurityReport((4624, 4625, 4634, 4647), user_logon_columns, user_logon_numbers),
+    "lockouts": SecurityReport((4740,), lockout_columns, account_parts),
 }
 SECURITY_PROVIDER = "Microsoft-Windows-Security-Auditing"
 

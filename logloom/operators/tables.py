@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .filters import wildcard
 
@@ -53,6 +53,50 @@ def catalog(events: DataFrame, name: str, contains: str | None = None, pattern:
     return out.limit(most) if most else out
 
 
+def catalog_page(events: DataFrame, name: str, contains: str | None = None, pattern: str | None = None, most: int = 100) -> DataFrame:
+    """catalog() names, at most `most` of them, with truncated: the page is full, so there may be more."""
+    page = catalog(events, name, contains, pattern, max(1, most))
+    return page.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) >= max(1, most))  # of the page's rows
+
+
+#: What a log does when it is full, by its mode; fixed names.
+EVENT_ACTIONS = {"AutoBackup": "ArchiveTheLogWhenFullDoNotOverwrite", "Circular": "OverwriteEventsAsNeededOldestFirst", "Retain": "DoNotOverwriteEventsClearLogManually"}
+
+
+def log_details(events: DataFrame, policies: DataFrame, size: Column | None = None) -> DataFrame:
+    """One row for each log of a policy table (log_name, mode, maximum_bytes): what it holds, its size, and what happens when it is full.
+
+    size: bytes of an event, for tables; without it they are the rows' share of the files that they were read from, so a log's
+    size is that of its own files. A log without events has 0 records; one whose mode is not known has the action Unknown.
+    """
+    from ..functions.decode import blank, convert_size
+
+    if size is None:
+        events = events.withColumns({"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")})
+        files = events.groupBy("log_name", "_file").agg(F.max("_bytes").alias("_bytes")).groupBy(F.col("log_name").alias("_log2")).agg(F.sum("_bytes").alias("_size"))
+    provider = F.when(~blank(F.col("provider_name")), F.upper(F.trim("provider_name")))
+    by = [F.count("*").alias("record_count"), F.min("record_id").alias("oldest_record"), F.max("record_id").alias("newest_record"), F.min("time_created").alias("oldest_event"), F.max("time_created").alias("newest_event"), F.array_sort(F.collect_set(provider)).alias("providers")]
+    held = events.groupBy(F.col("log_name").alias("_log")).agg(*by, *([F.sum(size).alias("_size")] if size is not None else []))
+    if size is None:
+        held = held.join(files, F.col("_log").eqNullSafe(F.col("_log2"))).drop("_log2")
+    out = policies.join(held, F.col("log_name") == F.col("_log"), "left")
+    actions = F.create_map(*[F.lit(x) for kv in EVENT_ACTIONS.items() for x in kv])
+    total = F.coalesce("_size", F.lit(0)).cast("bigint")
+    return out.select(
+        *policies.columns, F.coalesce("record_count", F.lit(0)).alias("record_count"), "oldest_record", "newest_record", "oldest_event", "newest_event", F.coalesce("providers", F.array().cast("array<string>")).alias("providers"),
+        total.alias("size_bytes"), convert_size(total).alias("size_mb"), convert_size(F.col("maximum_bytes")).alias("maximum_mb"), F.coalesce(F.try_element_at(actions, F.col("mode")), F.lit("Unknown")).alias("event_action"), (total >= F.col("maximum_bytes")).alias("is_full"),
+    )
+
+
+def classic_log_state(wanted: DataFrame, logs: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each wanted (log_name, source_name): whether the log is among logs (log_name, maximum_kb, overflow_action, retention_days) and the source
+    among sources (source_name, log_name), and for which log it is registered. Names are equal without case."""
+    l = logs.select(F.upper("log_name").alias("_l"), F.col("log_name").alias("log_display_name"), F.col("maximum_kb").alias("maximum_kilobytes"), F.col("overflow_action").alias("overflow_action_name"), F.col("retention_days").alias("minimum_retention_days"))
+    s = sources.groupBy(F.upper("source_name").alias("_s")).agg(F.min("log_name").alias("source_registered_log_name"))
+    out = wanted.join(l, F.upper("log_name") == F.col("_l"), "left").join(s, F.upper("source_name") == F.col("_s"), "left")
+    return out.withColumns({"log_exists": F.col("_l").isNotNull(), "source_exists": F.col("_s").isNotNull()}).drop("_l", "_s")
+
+
 def enrich(events: DataFrame, dimension: DataFrame, on: Column, small_rows: int | None = None) -> DataFrame:
     """Left join with a lookup dimension. It is broadcast only if it is known to have at most small_rows rows; else Spark chooses by its size."""
     if small_rows is not None and small_rows <= 100_000 and dimension.limit(small_rows + 1).count() <= small_rows:

@@ -259,6 +259,8 @@ _rule("ScheduledTaskDeleted", SECURITY, "4699", "C;W;T;TaskName")
 _rule("SyncCompleted", APPLICATION, "907", "C;T", Statistics=lambda: D.word_counts(F.col("message")))
 _rule("WindowsUpdateFailure", "Setup", "20", "C;T;Reason=pick:ErrorDescription|Message", provider("Microsoft-Windows-WindowsUpdateClient"), KB=lambda: F.regexp_extract(F.concat_ws(" ", source_column("UpdateTitle"), F.col("message")), r"(KB\d{6,7})", 1))
 
+#: Rules that one generated method holds.
+FEW_RULES = 16
 #: A name that may be asked for but has no rule: a request for it yields nothing.
 WITHOUT_RULE = {"AADSyncProvisionCredentialsPing"}
 
@@ -293,8 +295,12 @@ def classify(events: DataFrame, names: list[str]) -> DataFrame:
     specs = _specs(names)
     if not specs:
         return events.where(F.lit(False)).withColumn("named_event", F.lit(None).cast("string"))
-    first = F.coalesce(*[F.when(r.guard(), F.lit(r.name)) for r in specs])
-    return events.where(scan_guard(names)).withColumn("named_event", first).where("named_event is not null")
+    held = [F.when(r.guard(), F.lit(r.name)) for r in specs]
+    rows = events.where(scan_guard(names))
+    if len(held) <= FEW_RULES:
+        return rows.withColumn("named_event", F.coalesce(*held)).where("named_event is not null")
+    # Too much for one generated method: the names that hold are listed, outside of it, and the first is taken.
+    return rows.withColumn("named_event", F.explode(F.slice(F.filter(F.array(*held), lambda x: x.isNotNull()), 1, 1)))
 
 
 def project(events: DataFrame, name: str) -> DataFrame:

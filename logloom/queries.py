@@ -548,10 +548,13 @@ def named_events_dispatch(spark, sf_dir):
     return named(spark, sf_dir).select("record_id", "named_event", "who", "object_affected", "computer")
 
 
-@query("SELECT * FROM (VALUES ('Security', 4624), ('Security', 4625), ('Security', 4740), ('Security', 4768), ('System', 12)) t(channel, event_id)", False)
+@query(" SELECT channel, event_id, count(record_id) AS events FROM (VALUES ('Security', 4624), ('Security', 4625), ('Security', 4740), ('Security', 4768), ('System', 12)) t(channel, event_id) LEFT JOIN evt ON log_name = channel AND id = event_id GROUP BY ALL")
 def named_events_plan(spark, sf_dir):
+    """The scan plan of some named events, with what the log holds of each (channel, id)."""
     plan = rules.scan_plan([*NAMED, "OSStartup", "AADSyncProvisionCredentialsPing"])
-    return spark.createDataFrame([(c, i) for c, ids in plan.items() for i in ids], "channel string, event_id int")
+    wanted = spark.createDataFrame([(c, i) for c, ids in plan.items() for i in ids], "channel string, event_id int")
+    found = events(spark, sf_dir).groupBy("log_name", "id").agg(F.count("*").alias("n"))
+    return wanted.join(found, (F.col("log_name") == F.col("channel")) & (F.col("id") == F.col("event_id")), "left").select("channel", "event_id", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 @query(_CORRELATED + f" SELECT row_number() OVER (ORDER BY {_ORDER}) AS sequence, record_id, named_event, correlation_id FROM t ORDER BY sequence LIMIT 2000")

@@ -47,5 +47,5 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_data(evt: DataFrame) -> DataFrame:
     """Adds the event-data map; blank values stay, as in a log."""
-    data = F.create_map(*[x for k, c in DATA_KEYS.items() for x in (F.lit(k), F.col(c))])
-    return evt.withColumn("data", data).withColumn("data_ci", F.transform_keys("data", lambda k, _: F.upper(k)))
+    made = lambda name: F.create_map(*[x for k, c in DATA_KEYS.items() for x in (F.lit(name(k)), F.col(c))])
+    return evt.withColumns({"data": made(str), "data_ci": made(str.upper)})

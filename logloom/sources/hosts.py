@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..messages import MESSAGES
 from ..operators.deadlines import Cancellation, within
 from ..plans.requests import QueryFailure
 from .staging import shared_dir
@@ -50,7 +51,7 @@ def scan_hosts(spark: SparkSession, sources: dict[str, str | DataFrame | Callabl
     """
     if not sources or any(not h or not h.strip() for h in sources):
         raise QueryFailure("InvalidArgument", "at least one host is needed, each with a name")
-    base = f"{shared_dir(spark)}/hosts-{uuid.uuid4().hex}"
+    base, names = f"{shared_dir(spark)}/hosts-{uuid.uuid4().hex}", list(sources)
 
     def one(place: int, where) -> tuple[str, object]:
         def job():
@@ -58,10 +59,14 @@ def scan_hosts(spark: SparkSession, sources: dict[str, str | DataFrame | Callabl
             out.write.parquet(f"{base}/{place}")
             return out.schema
 
+        host = names[place]
         try:
-            return "", within(spark, seconds, job, cancel)
+            found = within(spark, seconds, job, cancel)
+            MESSAGES.progress("hosts", host, place + 1, len(names))
+            return "", found
         except Exception as e:  # noqa: BLE001
             failure = e if isinstance(e, QueryFailure) else QueryFailure.of(e)
+            MESSAGES.write("warning", f"{host}: {failure.message[:300]}")
             return failure.kind, failure.message
 
     with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
@@ -79,7 +84,7 @@ def scan_hosts(spark: SparkSession, sources: dict[str, str | DataFrame | Callabl
     if good:
         # One read of all folders; the folder's name is the source's place.
         read = spark.read.schema(schema).parquet(*[f"{base}/{place}" for _, place in good])
-        names = spark.createDataFrame([(str(p), h) for h, p in good], "_place string, host string")
+        hosts = spark.createDataFrame([(str(p), h) for h, p in good], "_place string, host string")
         place = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        rows = read.withColumn("_place", place).join(F.broadcast(names) if len(good) <= 10_000 else names, "_place").drop("_place")
+        rows = read.withColumn("_place", place).join(F.broadcast(hosts) if len(good) <= 10_000 else hosts, "_place").drop("_place")
     return HostScan(rows, spark.createDataFrame(errors, ERRORS), tuple(h for h, _ in good), tuple(e[0] for e in errors))

@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..messages import MESSAGES
 from ..operators.resume_state import ResumeState
 from ..plans import rules
 
@@ -93,6 +94,7 @@ class Watcher:
                     self.state.advance(rows, self.state_key or self.name)
         except Exception as e:  # noqa: BLE001
             self.error = e
+            MESSAGES.write("error", f"watcher {self.name}: {str(e)[:300]}")
             self._done.set()
         finally:
             rows.unpersist()

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.api import EventLog
+from logloom.messages import MESSAGES, Messages
 from logloom.operators import accounts, deadlines, probe, reports, scripts, tables, timeline
 from logloom.operators.resume_state import ResumeState, state_key
 from logloom.operators.stats_state import MOST_BATCHES, StatsBuilder
@@ -373,5 +375,75 @@ def test_timeline_without_a_cap(spark):
     assert timeline.timeline_rows(table, max_events=5).count() == 5 == timeline.timeline_rows(table, max_events=5).agg(F.max("sequence")).first()[0]
 
 
-def test_catalog_names(spark):
-    assert tables.catalog(spark.createDataFrame([("b",), ("A",), ("a",)], "name string"), "name").count() == 2
+# --------------------------------------------------------------------- inventory and messages
+
+
+def test_catalog_pages(spark):
+    names = spark.createDataFrame([("b",), ("A",), ("a",), (" ",), (None,)], "name string")
+    page = lambda most: [(r.name, r.truncated) for r in tables.catalog_page(names, "name", most=most).collect()]
+    assert page(1) == [("A", True)] and page(2) == [("A", True), ("b", True)] and page(3) == [("A", False), ("b", False)]
+
+
+def test_top_rows(spark):
+    counts = spark.createDataFrame([("b", 2), ("A", 2), ("c", 5)], "key string, count bigint")
+    assert [(r.key, r["count"]) for r in reports.keyed_top(counts, 2, "user").collect()] == [({"user": "c"}, 5), ({"user": "A"}, 2)]
+    assert [r.cells for r in reports.preview_top(counts, 3).collect()] == [["c", "5"], ["A", "2"], ["b", "2"]] and reports.preview_top(counts, 0).count() == 0
+    with pytest.raises(ValueError):
+        reports.keyed_top(counts, 2, " ")
+
+
+def test_log_details_of_files(spark, log_table):
+    policies = spark.createDataFrame([("Security", "Circular", 10), ("System", "Retain", 1 << 30), ("None", "?", 5)], "log_name string, mode string, maximum_bytes bigint")
+    files = spark.read.parquet(log_table).withColumn("provider_name", F.when(F.col("record_id") % 2 == 0, "P").otherwise("p"))
+    out = {r.log_name: r for r in tables.log_details(files, policies).collect()}
+    sizes = {}
+    for f in probe.data_files(spark, log_table):
+        sizes[f.log] = sizes.get(f.log, 0) + os.path.getsize(f.path.removeprefix("file:"))
+    assert (out["Security"].size_bytes, out["System"].size_bytes, out["None"].size_bytes) == (sizes["Security"], sizes["System"], 0)
+    assert (out["Security"].is_full, out["System"].is_full, out["Security"].record_count, out["None"].record_count) == (True, False, 300, 0)
+    assert [out[n].event_action[:6] for n in ("Security", "System", "None")] == ["Overwr", "DoNotO", "Unknow"] and out["Security"].providers == ["P"]
+
+
+def test_classic_log_state(spark):
+    logs = spark.createDataFrame([("Application", 512, "OverwriteAsNeeded", 7)], "log_name string, maximum_kb int, overflow_action string, retention_days int")
+    sources = spark.createDataFrame([("MyApp", "Application"), ("Other", "Custom")], "source_name string, log_name string")
+    wanted = spark.createDataFrame([("application", "MYAPP"), ("Custom", "Other"), ("application", "none")], "log_name string, source_name string")
+    out = {(r.log_name, r.source_name): r for r in tables.classic_log_state(wanted, logs, sources).collect()}
+    first = out["application", "MYAPP"]
+    assert (first.log_exists, first.source_exists, first.source_registered_log_name, first.maximum_kilobytes, first.log_display_name) == (True, True, "Application", 512, "Application")
+    assert (out["Custom", "Other"].log_exists, out["Custom", "Other"].source_registered_log_name, out["application", "none"].source_exists) == (False, "Custom", False)
+
+
+def test_messages(spark, tmp_path, capsys):
+    log = Messages(("warning",))
+    seen = []
+    remove = log.listen("warning", seen.append)
+    log.listen("warning", lambda m: 1 // 0)
+    log.write("warning", "one")
+    remove()
+    log.write("warning", "two")
+    assert [m.text for m in seen] == ["one"] and "[warning] two" in capsys.readouterr().err
+    with log.gathered() as found:
+        log.progress("work", "part", 1, 3)
+        log.write("debug", "x")
+    assert [(m.kind, m.percent) for m in found] == [("progress", 33), ("debug", None)]
+    for wrong in (lambda: log.write("loud", "x"), lambda: log.listen("loud", print)):
+        with pytest.raises(ValueError):
+            wrong()
+    with MESSAGES.gathered("warning", "progress") as found:
+        scan_hosts(spark, {"here": spark.range(2), "gone": f"file://{tmp_path}/gone"})
+    assert [(m.kind, m.operation) for m in found if m.kind == "progress"] == [("progress", "here")] and any(m.kind == "warning" and m.text.startswith("gone: ") for m in found)
+
+
+def test_entry_point(spark, tmp_path):
+    log = EventLog(events(spark, SF))
+    assert len(log.get_list(max_events=4, seconds=60)) == 4
+    with log.stream_rows(max_events=5, stall=60) as rows:
+        assert len(list(rows)) == 5
+    directory = spark.createDataFrame([("CORP\\a", "S-1-5-21-1")], "account string, sid string")
+    assert {r.user_id for r in log.of_accounts(directory, ["A"]).events.select("user_id").distinct().collect()} == {"S-1-5-21-1"}
+    state, seen = ResumeState(spark, f"file://{tmp_path}/s.json"), []
+    assert log.read_new(state, "k", lambda df: seen.append(df.count())) == seen[0] == 1000 and log.read_new(state, "k", lambda df: seen.append(0)) == 0
+    assert log.stats_builder(f"file://{tmp_path}/st").build().summary.first().scanned == 1000
+    wanted = spark.createDataFrame([("Security", "DC1"), ("Security", "DC9")], "log_name string, computer_name string")
+    assert {r.computer_name: r.status for r in log.probe(wanted).collect()} == {"DC1": "Ok", "DC9": "NoEvent"} and log.get_executions(across=True).count() == 0

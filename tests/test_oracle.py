@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import logloom.log_queries  # noqa: F401
 from logloom.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
