@@ -13,6 +13,7 @@ from .operators.resume_state import ResumeState
 from .operators.stats_state import StatsBuilder
 from .plans import requests, rules, xpath
 from .schema import EVENT_FIELDS, conform
+from .sources.hosts import source_of
 from .streaming.watch import Watcher, WatcherRegistry, matching
 
 
@@ -24,6 +25,11 @@ class EventLog:
         self.events = events if "data_ci" in events.columns and set(EVENT_FIELDS) <= set(events.columns) else conform(events)
         self.watchers = WatcherRegistry()
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> EventLog:
+        """The events of a file, folder or pattern: native log files (.evtx), XML exports (.xml) or Parquet."""
+        return cls(source_of(spark, path))
+
     def get_events(self, spec: FilterSpec | None = None, *, named_events: list[str] = (), query: str | None = None, max_events: int = 0, oldest: bool = False, per_host: bool = False, expand: bool = False, state: DataFrame | None = None, include_message: bool = True) -> DataFrame:
         """Events by filter, XPath and named events, in scan order. The limit is global and comes after the rules.
 

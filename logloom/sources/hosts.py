@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..messages import MESSAGES
 from ..operators.deadlines import Cancellation, within
 from ..plans.requests import QueryFailure
+from .evtx import read_evtx
 from .staging import shared_dir
 from .xml_events import read_xml
 
@@ -35,11 +36,13 @@ class HostScan:
 
 
 def source_of(spark: SparkSession, where: str | DataFrame | Callable[[], DataFrame]) -> DataFrame:
-    """Events of a table, of a function that makes one, or of a path (.xml files, else Parquet)."""
+    """Events of a table, of a function that makes one, or of a path (.evtx and .xml files, else Parquet)."""
     if isinstance(where, DataFrame):
         return where
     if callable(where):
         return where()
+    if where.lower().endswith(".evtx"):
+        return read_evtx(spark, where)
     return read_xml(spark, where) if where.lower().endswith(".xml") else spark.read.parquet(where)
 
 

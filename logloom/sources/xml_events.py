@@ -78,7 +78,7 @@ def event_data_entries(parsed: Column) -> Column:
     return F.transform(kept, lambda d, i: F.struct(F.coalesce(d["_Name"], F.concat(F.lit("NoNameA"), unnamed_before(i).cast("string"))).alias("key"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
 
 
-def _canonical(rows: DataFrame, e: Column, entries: Column) -> DataFrame:
+def _canonical(rows: DataFrame, e: Column, entries: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     s = e["System"]
     binaries = F.concat(F.coalesce(e["EventData"]["Binary"], F.array().cast("array<string>")), F.transform(F.filter(F.coalesce(e["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_Type:string,_VALUE:string>>")), lambda d: d["_Type"] == "Binary"), lambda d: d["_VALUE"]))
     keywords = F.conv(F.regexp_replace(s["Keywords"], "^0[xX]", ""), 16, -10).cast("bigint")
@@ -88,7 +88,7 @@ def _canonical(rows: DataFrame, e: Column, entries: Column) -> DataFrame:
         s["Provider"]["_Name"].alias("provider_name"), s["Provider"]["_Guid"].alias("provider_id"), s["EventID"]["_Qualifiers"].alias("qualifiers"), s["Correlation"]["_ActivityID"].alias("activity_id"),
         s["Correlation"]["_RelatedActivityID"].alias("related_activity_id"), s["Execution"]["_ProcessID"].alias("process_id"), s["Execution"]["_ThreadID"].alias("thread_id"), s["Channel"].alias("log_name"),
         s["Computer"].alias("computer_name"), s["Security"]["_UserID"].alias("user_id"), e["RenderingInfo"]["Message"].alias("message"), data_map(entries).alias("data"),
-        F.filter(F.transform(binaries, attachment), lambda b: b.isNotNull()).alias("attachments"),
+        F.filter(F.transform(binaries, attachment), lambda b: b.isNotNull()).alias("attachments"), *keep,
     )
     return conform(made)
 
@@ -100,7 +100,7 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return _canonical(rows, e, event_data_entries(e))
 
 
-def parse_xml(df: DataFrame, column: str = "xml_data") -> DataFrame:
-    """Events of an XML column, UserData included."""
-    rows = df.select(F.from_xml(F.col(column), EVENT_XML).alias("e"), xml_entries(F.col(column)).alias("entries"))
-    return _canonical(rows, F.col("e"), F.col("entries"))
+def parse_xml(df: DataFrame, column: str = "xml_data", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events of an XML column, UserData included. keep: canonical columns of df that the events have too."""
+    rows = df.select(F.from_xml(F.col(column), EVENT_XML).alias("e"), xml_entries(F.col(column)).alias("entries"), *[F.col(c).alias(c) for c in keep])
+    return _canonical(rows, F.col("e"), F.col("entries"), keep)
