@@ -11,6 +11,9 @@ the rest is verified:
    two common tokens are frequent, both lie in the prefixes extended by one, and the pair of tokens is the
    key. A class with more than COMBINE frequent prefix tokens is "long": it takes no combinations, and
    every class keeps its frequent single tokens as keys that only meet long classes.
+   Of the classes of a key only those stay that can link with another one of it: two sets have no more tokens in common
+   than either has that any other class has, which bounds their similarity by their sizes (reach()). Letters that
+   share most of their words, but not enough to link, are told apart here, without looking at a pair.
 3. Verification. Classes that share a key are candidates. In each of ROUNDS rounds a class is verified against one
    other, the head that most of its keys name, by a join: in a group of copies nearly all link to its few heads, in work
    that grows with the group. A key all of whose classes are linked by then is closed: none of its pairs is needed.
@@ -277,8 +280,31 @@ def class_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> tuple
     return rare, single, pairs, False
 
 
+def reach(n: np.ndarray, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of classes with n tokens, some of them shared: two can link only if high of each is at least low of the other.
+
+    100 * common >= percent * (n + m - common) and common <= shared give ((100 + percent) * shared - percent * n) / percent >= m. Both sides as
+    64ths of a binary logarithm, rounded so that no pair is lost.
+    """
+    most = np.maximum(((100 + percent) * shared.astype(float) - percent * n) / percent, 1)
+    return np.floor(np.log2(n) * 64 * (1 - 1e-12)).astype(np.uint16), np.ceil(np.log2(most) * 64 * (1 + 1e-12)).astype(np.uint16)
+
+
+def can_link(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each entry's group has an entry (itself too, if it reaches itself) with which it can link."""
+    if not len(group):
+        return np.zeros(0, bool)
+    _, dense = np.unique(group, return_inverse=True)
+    place = dense.astype(np.int64) << 16
+    order = np.argsort(place | low, kind="stable")
+    lows = (place | low)[order]
+    best = np.maximum.accumulate((place | high)[order])  # the groups rise, so each begins anew
+    at = np.searchsorted(lows, place | high, "right") - 1  # the last of the group that this entry reaches
+    return (at >= 0) & (best[at] >= (place | low)) & (lows[at] >> 16 == dense)
+
+
 def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Packs of (component, class, key) entries of profiles (ref, n, tokens, df, component)."""
+    """Packs of (component, class, key, reach) entries of profiles (ref, n, tokens, df, component)."""
 
     def entries(batches):
         for batch in batches:
@@ -289,12 +315,14 @@ def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 key = np.concatenate(keys)
                 sizes = [c for *_, c in refs]
                 own, ref = (np.repeat(np.array([r[i] for r in refs], np.int64), sizes) for i in (0, 1))
+                low, high = reach(np.array([r[2] for r in refs]), np.array([r[3] for r in refs]), percent)
+                fit = np.repeat(low.astype(np.uint32) << 16 | high, sizes)
                 order = np.argsort(_bucketed(key & ~U64(3), buckets), kind="stable")
-                key, own, ref = key[order], own[order], ref[order]
+                key, own, ref, fit = key[order], own[order], ref[order], fit[order]
                 bucket = _bucketed(key & ~U64(3), buckets)
                 at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 runs = list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (own, ref, key))], ["bucket", "components", "refs", "tokens"])
+                return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (own, ref, key, fit))], ["bucket", "components", "refs", "tokens", "fits"])
 
             for ref, n, t, d, component in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 rare, single, pairs, long = class_keys(n, np.frombuffer(t, U64), np.frombuffer(d, np.uint32), percent)
@@ -302,7 +330,7 @@ def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 space = ~U64(3)
                 own = np.unique(np.concatenate([rare & space, (pairs & space) | U64(1), (single & space) | U64(3 if long else 2)]))
                 if len(own):
-                    refs.append((component, ref, len(own)))
+                    refs.append((component, ref, n, len(t) // 8, len(own)))
                     keys.append(own)
                     held += len(own)
                 if held > 1 << 17:
@@ -312,15 +340,22 @@ def _keyed(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield flush()
 
     columns = ["ref", "n", "tokens", "df", "component"]
-    return profiles.select(*columns).mapInArrow(lean(entries), "bucket bigint, components binary, refs binary, tokens binary")
+    return profiles.select(*columns).mapInArrow(lean(entries), "bucket bigint, components binary, refs binary, tokens binary, fits binary")
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(component, class, kind, group) of a bucket's entries that can link with another one of their key."""
+    own, ref, key, fit = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("components", np.int64), ("refs", np.int64), ("tokens", U64), ("fits", np.uint32)))
+    kind = key & U64(3)
+    group = np.where(kind == 3, key & ~U64(1), key)  # frequent single keys meet whether long or not
+    keep = can_link(group, (fit >> 16).astype(np.int64), (fit & 0xFFFF).astype(np.int64))
+    return own[keep], ref[keep], kind[keep], group[keep]
 
 
 def _open_keys(table: pa.Table, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """(class, head) entries of a bucket's keys that have classes of two components: the head is the key's first class in
     an order by hash, of a frequent key its first long class; entries with the head's component are left out."""
-    own, ref, key = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("components", np.int64), ("refs", np.int64), ("tokens", U64)))
-    kind = key & U64(3)
-    group = np.where(kind == 3, key & ~U64(1), key)  # frequent single keys meet whether long or not
+    own, ref, kind, group = _entries(table)
     order = np.lexsort((mixed(ref.view(U64) ^ U64(salt)), kind != 3, group))  # long classes first
     own, ref, group, kind = own[order], ref[order], group[order], kind[order]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
@@ -367,9 +402,7 @@ def key_edges(profiles: DataFrame, percent: int, buckets: int) -> DataFrame:
     """
 
     def forest(table: pa.Table) -> pa.Table:
-        own, ref, key = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("components", np.int64), ("refs", np.int64), ("tokens", U64)))
-        kind = key & U64(3)
-        group = np.where(kind == 3, key & ~U64(1), key)
+        own, ref, kind, group = _entries(table)
         order = np.lexsort((ref, kind != 3, group))  # long classes first
         own, ref, group, kind = own[order], ref[order], group[order], kind[order]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)

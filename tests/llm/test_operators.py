@@ -181,6 +181,42 @@ def test_jaccard_words_that_break_polynomial_hashes():
         assert tokens[0] == tokens[2] and len(set(tokens.tolist())) == 5
 
 
+def test_reach_loses_no_pair():
+    r = np.random.default_rng(3)
+    for percent in (50, 75, 90):
+        for _ in range(3000):
+            n, m = r.integers(1, 300, 2)
+            common = int(r.integers(0, min(n, m) + 1))
+            s, z = (int(r.integers(common, x + 1)) for x in (n, m))
+            low, high = jaccard.reach(np.array([n, m]), np.array([s, z]), percent)
+            if 100 * common >= percent * (n + m - common) and common:
+                assert high[0] >= low[1] and high[1] >= low[0]
+                assert jaccard.can_link(np.array([7, 7], np.uint64), low.astype(np.int64), high.astype(np.int64)).all()
+    group, low, high = np.array([1, 1, 2, 2, 2, 3]), np.array([10, 12, 10, 50, 30, 0]), np.array([12, 10, 9, 60, 8, 0])
+    assert jaccard.can_link(group, low, high).tolist() == [True, True, False, True, False, True]
+    assert len(jaccard.can_link(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def letters(count: int) -> list[str]:
+    """Letters that share 92 of 120 words: no two are similar, all share their keys."""
+    body = prose(4321, 92)
+    return [f"{prose(50_000 + i, 28)} {body}" for i in range(count)]
+
+
+def test_letters_are_told_apart_without_pairs(spark, monkeypatch):
+    """Classes that share keys without linking cost nothing in verification; the near copies among them are found."""
+    made = letters(600)
+    copies = {5: made[5].replace(made[5].split()[3], "edited", 1), 77: made[77] + " more words behind"}
+    rows = [(i, t) for i, t in enumerate(made)] + [(1000 + i, t) for i, t in copies.items()]
+    assert max(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(made[:20], made[20:40], strict=True)) < 0.7
+    seen = []
+    real = jaccard.block_links
+    monkeypatch.setattr(jaccard, "block_links", lambda profiles, blocks, percent: seen.append(blocks.count()) or real(profiles, blocks, percent))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {x.id: x.component_id for x in jaccard.link_documents(docs).collect()}
+    assert got == {i: i for i in range(600)} | {1005: 5, 1077: 77} and seen[0] < 20
+
+
 def test_jaccard_awkward(awkward, empty):
     rows = awkward_rows()
     want = brute_components([shingles(t) for _, t, *_ in rows])
