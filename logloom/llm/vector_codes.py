@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import lean, ship, staged
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
+#: Ranks of an id's quantile are off by the rows divided by this, at most.
+ACCURACY = 100_000
 #: Rows and components of a slice at most, points of a leaf, and the size from which components are refused.
 SLICE_ROWS, SLICE_CELLS, LEAF, LARGEST = 4096, 1 << 22, 32, 1 << 26
 
@@ -321,14 +323,28 @@ class Codes:
         return hashlib.sha256(",".join(str(x) for b in self.books for x in b.ravel().tolist()).encode()).hexdigest()
 
 
+def smallest(rows: DataFrame, count: int, entries: int) -> DataFrame:
+    """Rows (own, vector) that hold those of the smallest ids, and few others where ids are numbers.
+
+    Every task would send its own smallest rows to the driver; so ids beyond a quantile's upper bound (its error is count / ACCURACY
+    ranks at most) are left out first, and tasks without small ids send nothing.
+    """
+    out = rows.select("own", "vector")
+    if count <= 4 * entries or dict(rows.dtypes)["own"] not in ("tinyint", "smallint", "int", "bigint"):
+        return out
+    share = (entries + 1) / count + 2 / ACCURACY
+    bound = out.agg(F.percentile_approx("own", min(1.0, share), ACCURACY)).first()[0]
+    return out.where(F.col("own") <= bound)
+
+
 def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", carry: list[str] | None = None, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Codes:
     """Codes of all usable vectors and the codebooks: rows of the carried columns (default: the id), code (hex digits), error."""
     carry = [id_col] if carry is None else list(dict.fromkeys([id_col, *carry]))
     rows = vectors.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(f"`{id_col}`").alias("own"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     rows = rows.where(usable(F.col("vector")))
-    longest = rows.agg(F.max(F.size("vector"))).first()[0]
+    longest, count = rows.agg(F.max(F.size("vector")), F.count("own")).first()
     width = -(-(longest or 0) // parts) * parts
-    seeds = rows.select("own", "vector").orderBy(F.asc_nulls_last("own"), "vector").limit(entries).collect()
+    seeds = smallest(rows, count, entries).orderBy(F.asc_nulls_last("own"), "vector").limit(entries).collect()
     if not seeds:
         return Codes(rows.select("carried.*", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error")), [])
     start = np.zeros((len(seeds), width), np.int64)

@@ -735,7 +735,7 @@ def test_query_equals_sql(name, spark):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "pages"):
+    for t in ("documents", "conversations", "labels", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), c.sql(registry.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
