@@ -39,9 +39,12 @@ VIRTUAL_ACCOUNT = {"Yes": 1843, "No": 1844}
 ELEVATED_TOKEN = {"Yes": 1842, "No": 1843}
 BITLOCKER_PROTECTOR = {"Tpm": 2200, "ExternalKey": 2201, "NumericalPassword": 2202, "TpmPin": 2203, "TpmStartupKey": 2204, "TpmPinAndStartupKey": 2205, "Passphrase": 2206, "RecoveryKey": 2207}
 BITLOCKER_VOLUME = {"OperatingSystemVolume": 810, "FixedDataVolume": 811, "RemovableDataVolume": 812}
-_NAS_PORTS = "Async Sync ISDN ISDNV120 ISDNV110 Virtual PIAFS HdlcClearChannel X25 X75 G3Fax SDSL ADSLCAP ADSLDMT IDSL Ethernet XDSL Cable WirelessOther WirelessIEEE80211 TokenRing FDDI WirelessCDMA WirelessCDPD WirelessIDEN Wireless1XEV IAPP FTTP"
-NAS_PORT_TYPE = {name: i for i, name in enumerate(_NAS_PORTS.split())}
-AUTHENTICATION_TYPE = {name: i for i, name in enumerate("Unknown PAP CHAP MSCHAP MSCHAPv2 EAP".split())}
+NAS_PORT_TYPE = {
+    "Async": 0, "Sync": 1, "ISDN": 2, "ISDNV120": 3, "ISDNV110": 4, "Virtual": 5, "PIAFS": 6, "HdlcClearChannel": 7, "X25": 8, "X75": 9,
+    "G3Fax": 10, "SDSL": 11, "ADSLCAP": 12, "ADSLDMT": 13, "IDSL": 14, "Ethernet": 15, "XDSL": 16, "Cable": 17, "WirelessOther": 18, "WirelessIEEE80211": 19,
+    "TokenRing": 20, "FDDI": 21, "WirelessCDMA": 22, "WirelessCDPD": 23, "WirelessIDEN": 24, "Wireless1XEV": 25, "IAPP": 26, "FTTP": 27,
+}
+AUTHENTICATION_TYPE = {"Unknown": 0, "PAP": 1, "CHAP": 2, "MSCHAP": 3, "MSCHAPv2": 4, "EAP": 5}
 UAC_FLAGS = {
     "SCRIPT": 0x1, "ACCOUNTDISABLE": 0x2, "HOMEDIR_REQUIRED": 0x8, "LOCKOUT": 0x10, "PASSWD_NOTREQD": 0x20, "PASSWD_CANT_CHANGE": 0x40, "ENCRYPTED_TEXT_PWD_ALLOWED": 0x80,
     "TEMP_DUPLICATE_ACCOUNT": 0x100, "NORMAL_ACCOUNT": 0x200, "INTERDOMAIN_TRUST_ACCOUNT": 0x800, "WORKSTATION_TRUST_ACCOUNT": 0x1000, "SERVER_TRUST_ACCOUNT": 0x2000,
@@ -54,12 +57,16 @@ KNOWN_LOGS = {
     "Application": "Application", "System": "System", "Security": "Security", "Setup": "Setup", "ForwardedEvents": "ForwardedEvents", "DirectoryService": "Directory Service",
     "DNSServer": "DNS Server", "WindowsPowerShell": "Windows PowerShell",
 }
+#: Data key of each field that is known by name.
 KNOWN_FIELDS = {
-    name: {"TextPayload": "#text", "ClientIp": "ClientIP", "HwAddress": "HWAddress"}.get(name, name)
-    for name in """Message SubjectUserName SubjectDomainName SubjectLogonId TargetUserName TargetDomainName TargetSid WorkstationName IpAddress IpPort LogonType Status SubStatus FailureReason
-    AuthenticationPackageName LogonProcessName LmPackageName KeyLength ProcessId ProcessName TransmittedServices TicketOptions TicketEncryptionType PreAuthType ClientIp HwAddress MacAddress
-    PrivilegeList NoNameA0 NoNameA1 TextPayload""".split()
-}
+    "Message": "Message", "SubjectUserName": "SubjectUserName", "SubjectDomainName": "SubjectDomainName", "SubjectLogonId": "SubjectLogonId", "TargetUserName": "TargetUserName",
+    "TargetDomainName": "TargetDomainName", "TargetSid": "TargetSid", "WorkstationName": "WorkstationName", "IpAddress": "IpAddress", "IpPort": "IpPort",
+    "LogonType": "LogonType", "Status": "Status", "SubStatus": "SubStatus", "FailureReason": "FailureReason", "AuthenticationPackageName": "AuthenticationPackageName",
+    "LogonProcessName": "LogonProcessName", "LmPackageName": "LmPackageName", "KeyLength": "KeyLength", "ProcessId": "ProcessId", "ProcessName": "ProcessName",
+    "TransmittedServices": "TransmittedServices", "TicketOptions": "TicketOptions", "TicketEncryptionType": "TicketEncryptionType", "PreAuthType": "PreAuthType", "ClientIp": "ClientIP",
+    "HwAddress": "HWAddress", "MacAddress": "MacAddress", "PrivilegeList": "PrivilegeList", "NoNameA0": "NoNameA0", "NoNameA1": "NoNameA1",
+    "TextPayload": "#text",
+}
 PRIVILEGES = {
     "SeAssignPrimaryTokenPrivilege": "Replace a process level token",
     "SeAuditPrivilege": "Generate security audits",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..schema import last_wins
 from .decode import blank
+from .lookups import KNOWN_FIELDS
 
 EMPTY_MAP = "map<string,string>"
 
@@ -64,6 +65,13 @@ def raw(data_ci: Column, key: str) -> Column:
     return data_ci.getItem(key.upper())
 
 
+def known(data_ci: Column, field: str, trim: bool = True) -> Column:
+    """Value of a field known by name (lookups.KNOWN_FIELDS), else ""; other names are refused."""
+    if field not in KNOWN_FIELDS:
+        raise ValueError(f"{field!r} is no known field")
+    return lookup(data_ci, KNOWN_FIELDS[field], trim)
+
+
 def joined(first: Column, second: Column, separator: str = "\\", reverse: bool = False) -> Column:
     """Both present: joined (second first if reverse); one: it; none: "". A join, not a fallback."""
     a, b = (second, first) if reverse else (first, second)

@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .filters import wildcard
 
 
+#: Keys that become columns at most.
+MOST_KEYS = 5000
+
+
 def data_keys(events: DataFrame, column: str = "data") -> list[str]:
-    """Every key of a map column, in order without case. Keys name columns of the result, so they must fit the driver."""
-    rows = events.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect()
+    """Every key of a map column, in order without case. Keys name columns of the result, so more than MOST_KEYS are refused."""
+    rows = events.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(MOST_KEYS + 1).collect()
+    if len(rows) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys: name those that are wanted")
     return sorted((r["k"] for r in rows), key=lambda k: (k.upper(), k))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.api import EventLog
+from logloom.functions import lookups as L, parse as P
 from logloom.messages import MESSAGES, Messages
 from logloom.operators import accounts, deadlines, probe, reports, scripts, tables, timeline
 from logloom.operators.resume_state import ResumeState, state_key
@@ -378,6 +379,18 @@ def test_timeline_without_a_cap(spark):
 # --------------------------------------------------------------------- inventory and messages
 
 
+def test_known_fields_and_keys(spark, monkeypatch):
+    row = spark.createDataFrame([({"CLIENTIP": " 1.2.3.4 ", "#TEXT": "t", "A": "x"},)], "data_ci map<string,string>")
+    shown = row.select(P.known(F.col("data_ci"), "ClientIp").alias("a"), P.known(F.col("data_ci"), "TextPayload").alias("b"), P.known(F.col("data_ci"), "HwAddress").alias("c")).first()
+    assert tuple(shown) == ("1.2.3.4", "t", "") and len(L.KNOWN_FIELDS) == 31 and L.NAS_PORT_TYPE["FTTP"] == 27 and L.AUTHENTICATION_TYPE["EAP"] == 5
+    with pytest.raises(ValueError):
+        P.known(F.col("data_ci"), "Nothing")
+    assert tables.data_keys(row, "data_ci") == ["#TEXT", "A", "CLIENTIP"]
+    monkeypatch.setattr(tables, "MOST_KEYS", 2)
+    with pytest.raises(ValueError, match="more than 2 keys"):
+        tables.data_keys(row, "data_ci")
+
+
 def test_catalog_pages(spark):
     names = spark.createDataFrame([("b",), ("A",), ("a",), (" ",), (None,)], "name string")
     page = lambda most: [(r.name, r.truncated) for r in tables.catalog_page(names, "name", most=most).collect()]
