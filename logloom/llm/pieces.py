@@ -387,7 +387,9 @@ def scan_giants(giants: DataFrame, proto: bytes, size: int = CHUNK, fan: int = F
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs and, last, an array<int> column of the token ids of a text column; docs keeps a column of that name: the new one then gets a leading _."""
     proto = read_model(model_path)
-    (out_col,) = fresh(docs, out_col)
+    names, (shown,) = docs.columns, fresh(docs, out_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow maps take no names with dots
+    text_col, out_col, key = f"c{[n.lower() for n in names].index(text_col.lower())}", "tokens", "key"
 
     def with_ids(batches):
         model = PieceModel.of(proto)
@@ -397,14 +399,13 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", mod
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*rows.columns, tokens], [*rows.schema.names, out_col])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key, _ = fresh(docs, "key_", out_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     kind = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     short = docs.where(F.length(text) <= giant).mapInArrow(lean(with_ids), kind)
     long = docs.where(F.length(text) > giant).withColumn(key, F.sha2(text, 256))
     found = staged(scan_giants(long.select(F.col(key).alias("key"), text.alias("text")).dropDuplicates(["key"]), proto, chunk), "pieces-giants")
     long = long.join(found.select(F.col("key").alias(key), F.col("tokens").alias(out_col)), key).drop(key)
-    return short.unionByName(long)
+    return short.unionByName(long).toDF(*names, shown)
 
 
 def decode(tokens: Column, model_path: str = MODEL) -> Column:

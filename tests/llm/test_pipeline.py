@@ -2,9 +2,13 @@
 
 import collections
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from logloom.llm import mixing, pieces, quality
-from test_operators import brute_components, prose, shingles
+from logloom.llm.common import staged
+from test_operators import awkward_rows, brute_components, prose, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +66,43 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert near.columns == docs.columns and len(got) == len(groups) + len(clean) and set(clean) <= set(got)
     assert [sum(r in got for r in g) for g in groups] == [1] * len(groups)
     assert {(3, a), (3, b), (9, e)} <= set(got)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeats, very long texts, and columns with dots and with names that stages use."""
+    rows = awkward_rows()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return frame.withColumns({c: F.lit(7) for c in ["a.b", "tokens", "row", "own", "set", "spare", "lost_id", "turn", "key", "hit", "f1", "copies", "digest"]}).repartition(3)
+
+
+def test_stages_on_odd_tables(spark, odd):
+    docs, columns = odd, odd.columns
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SF), name)
+        counts.append(docs.count())
+        assert docs.columns == columns, name
+        assert docs.where("`a.b` != 7 or tokens != 7").count() == 0, name
+    assert counts[0] >= counts[1] >= counts[2] > 0
+    done = corpus_pipeline.tokenize(spark, docs, SF)
+    assert done.columns == [*columns, "_tokens"] and done.count() == docs.count() and done.where("tokens != 7 or _tokens is null").count() == 0
+    library = pieces.PieceModel.of(pieces.read_model()).library
+    assert all(r._tokens == library.encode(r.text or "") for r in done.where("coalesce(length(text), 0) < 2000").select("text", "_tokens").collect())
+
+
+def test_exact_and_near_stages_keep_clean_rows(spark, odd):
+    exact = corpus_pipeline.drop_copies(spark, odd, SF)
+    texts = [r[1] or "" for r in awkward_rows()]
+    assert sorted(r.text or "" for r in exact.select("text").collect()) == sorted(set(texts))
+    near = corpus_pipeline.drop_near_copies(spark, exact, SF)
+    kept = {r.text or "" for r in near.select("text").collect()}
+    roots = brute_components([shingles(t) for t in sorted(set(texts))])
+    assert len(kept) == len(set(roots)) and {"", "x" * 100_000} <= kept
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    docs = odd.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
+        assert docs.count() == 0, name
