@@ -86,30 +86,36 @@ class StatsBuilder:
             self._flush()
 
     def add_range(self, events: DataFrame, batch: str | int | None = None) -> None:
-        name = uuid.uuid4().hex if batch is None else str(batch)
-        live = self._live.read({"folders": [], "batches": []})
-        if name in live["batches"]:
-            return
-        folder = self._write(partial(events))
-        live = {"folders": [*live["folders"], folder], "batches": [*live["batches"], name] if batch is not None else live["batches"]}
+        """A batch of events. Names of batches are kept; a stream's are numbers, so on_batch() keeps the last one only."""
+        live = self._read_live()
+        if batch is None or str(batch) not in live["batches"]:
+            self._add(events, live | ({"batches": [*live["batches"], str(batch)]} if batch is not None else {}))
+
+    def on_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """For foreachBatch: batches come in order, and one that was counted before a restart comes again."""
+        live = self._read_live()
+        if batch_id > live["stream"]:
+            self._add(rows, live | {"stream": batch_id})
+
+    def _read_live(self) -> dict:
+        return {"folders": [], "batches": [], "stream": -1} | self._live.read({})
+
+    def _add(self, events: DataFrame, live: dict) -> None:
+        live = live | {"folders": [*live["folders"], self._write(partial(events))]}
         self._live.write(live)
         if len(live["folders"]) > MOST_BATCHES:
             self.compact()
 
-    def on_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """For foreachBatch."""
-        self.add_range(rows, f"stream-{batch_id}")
-
     def compact(self) -> None:
         """Merges the live batches into one."""
-        live = self._live.read({"folders": [], "batches": []})
+        live = self._read_live()
         if len(live["folders"]) > 1:
             self._live.write(live | {"folders": [self._write(merged(self._read(live["folders"])))]})
             self._drop(live["folders"])
 
     def state(self) -> DataFrame:
         self._flush()
-        return self._read(self._live.read({"folders": []})["folders"])
+        return self._read(self._read_live()["folders"])
 
     def build(self) -> StatsReport:
         """The report of everything added so far; adding can go on."""
