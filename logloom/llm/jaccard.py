@@ -364,16 +364,20 @@ def _open_keys(table: pa.Table, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return ref[meets], ref[head][meets]
 
 
-def heads(profiles: DataFrame, percent: int, buckets: int, salt: int) -> DataFrame:
-    """Rows (ref, head): for each class with an open key the head that most of its open keys have."""
+def open_pairs(profiles: DataFrame, percent: int, buckets: int, salt: int) -> DataFrame:
+    """Rows (ref, head, c): how many open keys of a class have a head, by bucket. A class in no open key is in no row."""
 
     def counted(table: pa.Table) -> pa.Table:
         u, v = _open_keys(table, salt)
         pairs, count = np.unique(np.stack([u, v]), axis=1, return_counts=True) if len(u) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(count, pa.int64())], ["ref", "head", "c"])
 
-    found = _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(lean(counted), "ref bigint, head bigint, c bigint")
-    return found.groupBy("ref", "head").agg(F.sum("c").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "head"))["head"].alias("head"))
+    return _keyed(profiles, percent, buckets).groupBy("bucket").applyInArrow(lean(counted), "ref bigint, head bigint, c bigint")
+
+
+def heads(pairs: DataFrame) -> DataFrame:
+    """Rows (ref, head): for each class with an open key the head that most of its open keys have."""
+    return pairs.groupBy("ref", "head").agg(F.sum("c").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "head"))["head"].alias("head"))
 
 
 def head_links(profiles: DataFrame, named: DataFrame, percent: int) -> DataFrame:
@@ -543,7 +547,11 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if linked is not None:
             own = profiles.join(linked, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
         if turn < ROUNDS:
-            found = staged(head_links(profiles, heads(own, percent, buckets, 0x9E3779B97F4A7C15 + turn), percent), "jaccard-found")
+            pairs = staged(open_pairs(own, percent, buckets, 0x9E3779B97F4A7C15 + turn), "jaccard-pairs")
+            if not turn:  # classes without an open key have no candidate, and never get one: what follows reads the others only
+                met = pairs.select("ref").unionByName(pairs.select(F.col("head").alias("ref"))).distinct()
+                profiles = staged(profiles.join(met, "ref", "left_semi"), "jaccard-open")
+            found = staged(head_links(profiles, heads(pairs), percent), "jaccard-found")
         else:
             found = staged(block_links(own, components(key_edges(own, percent, buckets), "jaccard-blocks"), percent), "jaccard-found")
         links = found if links is None else links.unionByName(found)
