@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .functions import periods
 from .operators import filters, probe, reports as R, tables
 from .operators.filters import FilterSpec
 from .plans import rules
 from .queries import query
-from .sources.mixed_log import MOMENT, duckdb_log, mixed_log, plain_fields, with_data
-from .sources.staging import staged
+from .sources.mixed_log import MOMENT, duckdb_log, log_with_data, mixed_log, plain_fields
 
 _LOG = duckdb_log()
 
@@ -81,8 +80,7 @@ _FIRST = " CASE " + " ".join(f"WHEN {_guard(r)} THEN '{r.name}'" for r in rules.
 @_log_query(f", n AS (SELECT record_id, {_FIRST} AS named_event FROM log) SELECT record_id, named_event FROM n WHERE named_event IS NOT NULL")
 def named_events_all(spark, sf_dir):
     """Every event under the first of all 79 rules that holds."""
-    rows = staged(with_data(mixed_log(spark, sf_dir)), "mixed-log")
-    return rules.classify(rows, list(rules.RULES)).select("record_id", "named_event")
+    return rules.classify(log_with_data(spark, sf_dir), list(rules.RULES)).select("record_id", "named_event")
 
 
 _CELLS = ", ".join(f"CASE WHEN {_guard(r)} THEN [" + ", ".join(f"{{'named_event': '{r.name}', 'field': '{n}', 'value': {_field(t)}}}" for n, t in plain_fields(r.notation).items()) + "] END" for r in rules.RULES.values() if plain_fields(r.notation))
@@ -91,16 +89,36 @@ _CELLS = ", ".join(f"CASE WHEN {_guard(r)} THEN [" + ", ".join(f"{{'named_event'
 @_log_query(f", c AS (SELECT unnest(flatten(list_filter([{_CELLS}], lambda x : x IS NOT NULL))) AS c FROM log) SELECT c.named_event, c.field, count(*) AS events, count(*) FILTER (c.value <> '') AS given, min(c.value) AS least, max(c.value) AS greatest, coalesce(sum(length(c.value)), 0)::BIGINT AS chars FROM c GROUP BY ALL")
 def named_event_fields(spark, sf_dir):
     """The plain fields of the typed projections of all 79 named events, an event under every rule that holds: how many events, how many filled, and what of."""
-    rows = staged(with_data(mixed_log(spark, sf_dir)), "mixed-log")
+    return field_summary(log_with_data(spark, sf_dir))
+
+
+def field_summary(events: DataFrame) -> DataFrame:
+    """Per named event and plain field: events, given, least, greatest, chars.
+
+    Equal values are counted first, so the least and greatest text are taken of distinct values and nothing sorts the events.
+    Nearly all times differ: they stay times, whose order is the order of their texts in years of four digits; other years are texts.
+    """
+    time = F.col("time_created").cast("timestamp_ntz")
+    plain = time.between(F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz"))
     made = []
     for rule in rules.RULES.values():
         makers = rule.makers()
-        cells = [F.struct(F.lit(rule.name).alias("named_event"), F.lit(n).alias("field"), makers[n]().cast("string").alias("value")) for n in plain_fields(rule.notation)]
+        cells = []
+        for name, source in plain_fields(rule.notation).items():
+            value = makers[name]().cast("string")
+            value, moment = (F.when(~plain, value), F.when(plain, time)) if source == "T" else (value, F.lit(None).cast("timestamp_ntz"))
+            cells.append(F.struct(F.lit(rule.name).alias("named_event"), F.lit(name).alias("field"), value.alias("value"), moment.alias("moment")))
         if cells:
             made.append(F.when(rule.guard(), F.array(*cells)))
-    cells = F.explode(F.flatten(F.filter(F.array(*made), lambda x: x.isNotNull())))
-    out = rows.where(rules.scan_guard(list(rules.RULES))).select(cells.alias("c")).select("c.*")
-    return out.groupBy("named_event", "field").agg(F.count("*").alias("events"), F.count_if(F.col("value") != "").alias("given"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.coalesce(F.sum(F.length("value")), F.lit(0)).cast("bigint").alias("chars"))
+    # A projection of its own, so that lookups in the map become the looked up values.
+    held = events.where(rules.scan_guard(list(rules.RULES))).select(F.flatten(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("cells"))
+    cells = held.select(F.explode_outer("cells").alias("c")).where("c is not null").select("c.*")
+    shown = F.coalesce("value", F.col("moment").cast("string"))
+    values = cells.groupBy("named_event", "field", "value").agg(
+        F.count("*").alias("n"), F.count_if((F.col("value") != "") | F.col("moment").isNotNull()).alias("filled"), F.min("moment").alias("first"), F.max("moment").alias("last"), F.sum(F.length(shown)).alias("length")
+    )
+    least, greatest = F.least("value", F.col("first").cast("string")), F.greatest("value", F.col("last").cast("string"))
+    return values.groupBy("named_event", "field").agg(F.sum("n").alias("events"), F.sum("filled").alias("given"), F.min(least).alias("least"), F.max(greatest).alias("greatest"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("chars"))
 
 
 _PLANNED = ["ADUserLogonFailed", "ADUserLogon", "ADUserLockouts", "OSStartup", "OSCrash", "AADSyncImportStatus", "ADLdapBindingSummary", "AADSyncProvisionCredentialsPing"]

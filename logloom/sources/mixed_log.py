@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import cache
+from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import rules
 from .events import table
+from .staging import staged
 
 #: Half of the events lie within 55 hours before this moment.
 MOMENT = datetime(1997, 8, 13, 13, 45, 30)
@@ -74,17 +76,18 @@ def value_sql(key: str, spark: bool) -> str:
     return f"CASE (o_orderkey * 3 + o_custkey + {seed}) % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('  ', {plain}, ' ') ELSE {plain} END"
 
 
-def mixed_sql(spark: bool) -> str:
+def mixed_sql(spark: bool, data: bool = True) -> str:
+    """The events with flat data columns, or with the places of data values in value_list()."""
     text = "STRING" if spark else "VARCHAR"
     moment = f"TIMESTAMP{'_NTZ' if spark else ''} '{MOMENT}'"
     own = pairs()
     place = f"(o_orderkey * 31 + o_custkey) % {len(own)}"
-    data = ", ".join(f"{value_sql(k, spark)} AS `{k}`" if spark else f'{value_sql(k, spark)} AS "{k}"' for k in keys())
+    last = ", ".join(f"{value_sql(k, spark)} AS `{k}`" if spark else f'{value_sql(k, spark)} AS "{k}"' for k in keys()) if data else PLACES
     return f"""SELECT o_orderkey AS record_id, {_pick([c for c, _ in own], place, spark)} AS log_name, {_pick([i for _, i in own], place, spark)} AS id,
       CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % 2 = 0 THEN {moment} - INTERVAL '1' SECOND * (o_orderkey * 61 % 200000) ELSE o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 86400) END AS time_created,
       {_pick(PROVIDERS, f'(o_orderkey * 5 + o_custkey * 3) % {len(PROVIDERS)}', spark)} AS provider_name, CAST(o_orderkey % 6 AS INT) AS level,
       CASE WHEN o_custkey % 3 = 0 THEN lower(concat('HOST', CAST(o_custkey % 7 AS {text}))) ELSE concat('HOST', CAST(o_custkey % 7 AS {text})) END AS computer_name,
-      {_pick(SUBJECTS, f'(o_orderkey + o_custkey) % {len(SUBJECTS)}', spark)} AS message_subject, {data} FROM {'{orders}' if spark else 'orders'}"""
+      {_pick(SUBJECTS, f'(o_orderkey + o_custkey) % {len(SUBJECTS)}', spark)} AS message_subject, {last} FROM {'{orders}' if spark else 'orders'}"""
 
 
 def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +95,31 @@ def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(mixed_sql(True).replace("\\", "\\\\"), orders=table(spark, sf_dir, "orders"))
 
 
-def with_data(rows: DataFrame) -> DataFrame:
-    """Their data columns as the maps data and data_ci; missing keys are not in them."""
-    made = F.map_filter(F.create_map(*[x for k in keys() for x in (F.lit(k), F.col(f"`{k}`"))]), lambda _, v: v.isNotNull())
-    plain = [c for c in rows.columns if c not in keys()]
-    return rows.select(*[F.col(c) for c in plain], F.lit("").alias("message"), made.alias("data")).withColumn("data_ci", F.col("data"))
+#: Where an order's plain values and words stand in value_list(): all values of a key repeat with these remainders of the (never negative) keys.
+WORD_ROUND = lcm(*map(len, WORDS.values()))
+PLACES = f"CAST(coalesce((o_orderkey * 3 + o_custkey) % 6, 6) * 5 + o_orderkey % 5 AS INT) AS plain_at, CAST(o_orderkey % 9 * {WORD_ROUND} + (o_orderkey * 7 + o_custkey) % {WORD_ROUND} AS INT) AS word_at"
+
+
+def value_list(key: str) -> list[str | None]:
+    """All values of value_sql() for an upper-case key, by plain_at, or word_at if it has words."""
+    seed = sum(key.encode()) % 97
+    if key in WORDS:
+        return [None if (r + seed) % 9 == 4 else WORDS[key][(m + seed) % len(WORDS[key])] for r in range(9) for m in range(WORD_ROUND)]
+    plain = [f"{key.lower()}-{(b + seed) % 5}" for b in range(5)]
+    return [{0: None, 1: "", 2: f"  {p} "}.get((a + seed) % 6 if a < 6 else 3, p) for a in range(7) for p in plain]
+
+
+def log_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the map data_ci; a missing key is null.
+
+    Staged without data and spread by key, however few row groups the table has. The map is made of places in lists, as cheap as
+    columns: Catalyst takes out what a rule looks up, so values are read only where a rule holds, and no map is built.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
+    rows = staged(spark.sql(mixed_sql(True, data=False).replace("\\", "\\\\"), orders=orders), "mixed-log")
+    values = lambda k: F.get(F.array(*map(F.lit, value_list(k))), F.col("word_at" if k in WORDS else "plain_at"))
+    made = F.create_map(*[x for k in keys() for x in (F.lit(k), values(k))])
+    return rows.select(*[c for c in rows.columns if c not in ("plain_at", "word_at")], F.lit("").alias("message"), made.alias("data_ci"))
 
 
 #: The events as a CTE for DuckDB.
