@@ -300,7 +300,7 @@ def classify(events: DataFrame, names: list[str]) -> DataFrame:
     if len(held) <= FEW_RULES:
         return rows.withColumn("named_event", F.coalesce(*held)).where("named_event is not null")
     # Too much for one generated method: the names that hold are listed, outside of it, and the first is taken. The list is a column of its
-    # own and the outer explode adds no filter, so the rules are asked once an event.
+    # own, as lookups in a map become what it is made of in a projection, not in an explode.
     first = F.slice(F.filter(F.array(*held), lambda x: x.isNotNull()), 1, 1)
     listed = rows.withColumn("_held", first)
     return listed.withColumn("named_event", F.explode_outer("_held")).where("named_event is not null").drop("_held")
