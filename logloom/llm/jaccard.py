@@ -36,9 +36,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, bitmap_of, buffers, lean, lowered, mixed, ship, slices, staged, text_column, with_hit, words, words_hash
+from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, in_bitmap, lean, lowered, mixed, ship, slices, staged, text_column, with_hit, words, words_hash
 from .components import components
 
 #: Extra share of a set in the sampled prefix: more entries, fewer classes left.
@@ -201,65 +202,77 @@ def prefix_counts(docs: DataFrame, text_col: str, k: int, percent: int, buckets:
 
 def token_profiles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, buckets: int) -> DataFrame:
     """Rows (ref, n, tokens, df) of the given classes (id, n, f1, f2): the set's tokens that another of the
-    classes has, as packed uint64, and in how many classes each is, as packed uint32; ordered by (df, token)."""
+    classes has, as packed uint64, and in how many classes each is, as packed uint32; ordered by (df, token).
+
+    Rows of a class are told by two bitmaps, of ids and of f1, and the sizes travel beside the tokens: no token is shuffled
+    for a join. What a bitmap lets through by chance may raise a df, the same for all classes, and has no row."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     wanted = bitmap_of(classes.select(F.xxhash64("id").alias("key")), "key")
-    likely = with_hit(source.withColumn("key", F.xxhash64("id")), wanted, "key", "hit").where("hit").select("id", "text")
-
-    def sets(batches):
-        for batch in batches:
-            for part, column in slices(batch, "text"):
-                offsets, tokens, _ = shingle_sets(column, k)
-                f1, f2 = fingerprints(offsets, tokens)
-                packed = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())], ["id", "f1", "f2", "tokens"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    made = likely.mapInArrow(lean(sets), f"id {kind}, f1 bigint, f2 bigint, tokens binary")
-    on = [made["f1"] == classes["f1"], made["f2"] == classes["f2"], made["id"].eqNullSafe(classes["id"])]
-    made = made.join(classes, on, "left_semi").groupBy("f1").agg(F.first("tokens").alias("tokens"))
-    made = staged(made.select(F.col("f1").alias("ref"), "tokens"), "jaccard-sets")
+    likely = with_hit(source.withColumn("key", F.xxhash64("id")), wanted, "key", "hit").where("hit").select("text")
+    bits = bitmap_bytes(classes.select((F.pmod("f1", F.lit(1 << FILTER_BITS)) + 1).alias("bit")))
 
     def entries(batches):
+        refs, lists, held = [], [], 0
         for batch in batches:
-            lists = [np.frombuffer(t, U64) for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(lists):  # about 2**18 tokens at once
-                to, size = at, 0
-                while to < len(lists) and (to == at or size + len(lists[to]) <= 1 << 18):
-                    size += len(lists[to])
-                    to += 1
-                token = np.concatenate(lists[at:to])
-                ref = np.repeat(np.asarray(batch.column(0).slice(at, to - at)), [len(x) for x in lists[at:to]])
-                yield _packs(_bucketed(token, buckets), ref, token)
-                at = to
+            for _, column in slices(batch, "text"):
+                offsets, tokens, _ = shingle_sets(column, k)
+                f1, _ = fingerprints(offsets, tokens)
+                _, one = np.unique(f1, return_index=True)  # copies in this slice once
+                keep = np.zeros(len(f1), bool)
+                keep[one] = True
+                keep &= in_bitmap(bits, f1 & ((1 << FILTER_BITS) - 1))
+                n = np.diff(offsets)
+                refs.append(np.repeat(f1[keep], n[keep]))
+                lists.append(tokens[np.repeat(keep, n)])
+                held += len(lists[-1])
+                if held > 1 << 18:
+                    token = np.concatenate(lists)
+                    yield _packs(_bucketed(token, buckets), np.concatenate(refs), token)
+                    refs, lists, held = [], [], 0
+        if held:
+            token = np.concatenate(lists)
+            yield _packs(_bucketed(token, buckets), np.concatenate(refs), token)
+
+    def dealt(ref: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+        """Parts of classes, a row each whatever the number of its classes: (part, refs, the other columns of its entries)."""
+        part = (mixed(ref.view(U64)) >> U64(33)).astype(np.int64) % buckets
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        runs = list(zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True)) if len(part) else []
+        return [pa.array(part[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (c[order] for c in (ref, *columns)))]
 
     def shared(table: pa.Table) -> pa.Table:
-        """The bucket's shared tokens, dealt to parts of classes: a row a part, whatever the number of its classes."""
+        """The bucket's shared tokens, dealt to parts of classes."""
         ref, token = _unpacked(table, U64)
         df = _frequencies(token)
         keep = df > 1
-        ref, token, df = ref[keep], token[keep], df[keep].astype(np.uint32)
-        part = (mixed(ref.view(U64)) >> U64(33)).astype(np.int64) % buckets
-        order = np.argsort(part, kind="stable")
-        ref, token, df, part = ref[order], token[order], df[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        runs = list(zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True)) if len(part) else []
-        return pa.table([pa.array(part[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (ref, token, df))], ["part", "refs", "t", "d"])
+        return pa.table(dealt(ref[keep], token[keep], df[keep].astype(np.uint32)), ["part", "refs", "t", "d"])
+
+    def sizes(batches):
+        """The classes' sizes, dealt like their tokens; d is null."""
+        for batch in batches:
+            made = dealt(*(np.asarray(batch.column(i)) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(made[0]), pa.binary())], ["part", "refs", "t", "d"])
 
     def ordered(table: pa.Table) -> pa.Table:
-        """The part's classes, each with its tokens by (df, token)."""
-        ref, token, df = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("refs", np.int64), ("t", U64), ("d", np.uint32)))
+        """The part's classes, each with its size and its tokens by (df, token)."""
+        size, rest = table.filter(pc.is_null(table["d"])), table.filter(pc.is_valid(table["d"]))
+        ref, token, df = (np.frombuffer(b"".join(rest[c].to_pylist()), t) for c, t in (("refs", np.int64), ("t", U64), ("d", np.uint32)))
+        known, n = (np.frombuffer(b"".join(size[c].to_pylist()), np.int64) for c in ("refs", "t"))
+        order = np.lexsort((n, known))
+        known, n = known[order], n[order]
         order = np.lexsort((token, df, ref))
+        order = order[np.isin(ref[order], known)]
         ref, token, df = ref[order], token[order], df[order]
-        at = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]]))
-        runs = list(zip(at.tolist(), np.append(at[1:], len(ref)).tolist(), strict=True))
-        return pa.table([pa.array(ref[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (token, df))], ["ref", "tokens", "df"])
+        at = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]])) if len(ref) else np.zeros(0, np.int64)
+        runs = list(zip(at.tolist(), np.append(at[1:], len(ref)).tolist(), strict=True)) if len(ref) else []
+        return pa.table([pa.array(ref[at], pa.int64()), pa.array(n[np.searchsorted(known, ref[at])], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (token, df))], ["ref", "n", "tokens", "df"])
 
-    parts = made.mapInArrow(lean(entries), PACKED).groupBy("bucket").applyInArrow(lean(shared), "part bigint, refs binary, t binary, d binary")
-    lists = parts.groupBy("part").applyInArrow(lean(ordered), "ref bigint, tokens binary, df binary")
-    sized = lists.join(classes.select(F.col("f1").alias("ref"), "n").groupBy("ref").agg(F.first("n").alias("n")), "ref")
-    return sized.select("ref", "n", "tokens", "df")
+    kind = "part bigint, refs binary, t binary, d binary"
+    parts = likely.mapInArrow(lean(entries), PACKED).groupBy("bucket").applyInArrow(lean(shared), kind)
+    parts = parts.unionByName(classes.select("f1", "n").mapInArrow(lean(sizes), kind))
+    return parts.groupBy("part").applyInArrow(lean(ordered), "ref bigint, n bigint, tokens binary, df binary")
 
 
 def class_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -380,6 +393,21 @@ def heads(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("ref", "head").agg(F.sum("c").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "head"))["head"].alias("head"))
 
 
+def only(profiles: DataFrame, refs: DataFrame) -> DataFrame:
+    """The profiles whose ref is among refs (ref), and few others: by a bitmap, so no token is shuffled."""
+    return with_hit(profiles, bitmap_of(refs, "ref"), "ref", "hit").where("hit").drop("hit")
+
+
+def still_open(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (ref) of all classes that can have an open key, by the first round's pairs (ref, head) and the components (node,
+    component) since: a key's classes are its head and those that name it, so where one is not of its head's component all stay."""
+    component = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    named = pairs.select("ref", "head")
+    placed = named.join(component("ref"), "ref", "left").join(component("head"), "head", "left")
+    heads = placed.where(F.coalesce("of_ref", "ref") != F.coalesce("of_head", "head")).select("head").distinct()
+    return named.join(heads, "head", "left_semi").select("ref").unionByName(heads.select(F.col("head").alias("ref")))
+
+
 def head_links(profiles: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among the pairs of named (ref, head), each verified on its two sets."""
 
@@ -393,8 +421,8 @@ def head_links(profiles: DataFrame, named: DataFrame, percent: int) -> DataFrame
         return pa.array(out, pa.bool_())
 
     own = profiles.select("ref", "n", "tokens")
-    other = own.select(F.col("ref").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    pairs = named.join(own, "ref").join(other, "head")
+    other = only(own, named.select(F.col("head").alias("ref"))).select(F.col("ref").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    pairs = named.join(only(own, named.select("ref")), "ref").join(other, "head")
     return pairs.where(linked("n", "tokens", "m", "others")).select(F.col("ref").alias("u"), F.col("head").alias("v"))
 
 
@@ -483,7 +511,7 @@ def block_links(profiles: DataFrame, blocks: DataFrame, percent: int) -> DataFra
     half a part has parts of its own, all other classes of a block share the rest of its parts, and a tile holds two parts that are
     not of one component (or a block's only part). A part has about TILE classes and TILE_BYTES of tokens, dealt by hash.
     """
-    rows = profiles.select("ref", "n", "tokens", F.col("component").alias("linked"))
+    rows = only(profiles, blocks.select(F.col("node").alias("ref"))).select("ref", "n", "tokens", F.col("component").alias("linked"))
     placed = blocks.join(rows.select("ref", "linked", F.octet_length("tokens").cast("bigint").alias("bytes")), blocks["node"] == F.col("ref")).drop("node")
     groups = staged(placed.groupBy("component", "linked").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")), "jaccard-groups")
     own = F.when(F.greatest(F.col("c") / TILE, F.col("bytes") / TILE_BYTES) >= 0.5, F.col("linked"))  # null: shares the rest
@@ -541,19 +569,23 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = alive.agg(F.sum("n")).first()[0] or 0
     profiles = staged(token_profiles(docs, alive, id_col, text_col, k, max(16, math.ceil(tokens / BUCKET_ENTRIES))), "jaccard-profiles")
     buckets = max(16, math.ceil(tokens / BUCKET_ENTRIES))
-    links, linked = None, None
+    links, linked, first = None, None, None
     for turn in range(ROUNDS + 1):
         own = profiles.withColumn("component", F.col("ref"))
         if linked is not None:
-            own = profiles.join(linked, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
+            own = only(profiles, staged(still_open(first, linked), "jaccard-still"))
+            own = own.join(linked, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
+            own = staged(own, "jaccard-placed")
         if turn < ROUNDS:
             pairs = staged(open_pairs(own, percent, buckets, 0x9E3779B97F4A7C15 + turn), "jaccard-pairs")
             if not turn:  # classes without an open key have no candidate, and never get one: what follows reads the others only
-                met = pairs.select("ref").unionByName(pairs.select(F.col("head").alias("ref"))).distinct()
-                profiles = staged(profiles.join(met, "ref", "left_semi"), "jaccard-open")
-            found = staged(head_links(profiles, heads(pairs), percent), "jaccard-found")
+                first = pairs
+                met = pairs.select("ref").unionByName(pairs.select(F.col("head").alias("ref")))
+                profiles = staged(only(profiles, met), "jaccard-open")
+            found = staged(head_links(profiles, staged(heads(pairs), "jaccard-heads"), percent), "jaccard-found")
         else:
-            found = staged(block_links(own, components(key_edges(own, percent, buckets), "jaccard-blocks"), percent), "jaccard-found")
+            blocks = staged(components(key_edges(own, percent, buckets), "jaccard-blocks"), "jaccard-blocks")
+            found = staged(block_links(own, blocks, percent), "jaccard-found")
         links = found if links is None else links.unionByName(found)
         linked = components(links, "jaccard-links")
     named = linked.join(classes.select(F.col("f1").alias("node"), "f2", "id"), "node")

@@ -217,6 +217,48 @@ def test_letters_are_told_apart_without_pairs(spark, monkeypatch):
     assert got == {i: i for i in range(600)} | {1005: 5, 1077: 77} and seen[0] < 20
 
 
+def test_jaccard_tokens_are_not_shuffled_for_filters(spark, monkeypatch):
+    """Where no table is small enough to broadcast, tokens of classes that go no further are not sorted and joined to find that out."""
+    plans = {}
+    real = jaccard.staged
+
+    def seen(df, label, *codec):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *codec)
+
+    monkeypatch.setattr(jaccard, "staged", seen)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    texts = [prose(i // 2, 60) + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        got = {x.id: x.component_id for x in jaccard.link_documents(docs).collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert got == {i: i - i % 2 for i in range(40)}
+    assert not {p for p in plans if "SortMergeJoin" in plans[p]} & {"jaccard-sets", "jaccard-profiles", "jaccard-open"}
+
+
+def test_jaccard_still_open_keeps_all_classes_of_a_key(spark):
+    pairs = spark.createDataFrame([(2, 1, 3), (3, 1, 1), (4, 1, 2), (6, 5, 1), (8, 7, 1)], "ref bigint, head bigint, c bigint")
+    linked = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)], "node bigint, component bigint")
+    assert {r.ref for r in jaccard.still_open(pairs, linked).collect()} == {1, 2, 3, 4, 7, 8}
+
+
+def test_jaccard_profiles_know_a_size_only_of_given_classes(spark, monkeypatch):
+    """Chance hits of full bitmaps get no row; copies and repeats of a row count once."""
+    monkeypatch.setattr(jaccard, "in_bitmap", lambda bitmap, bits: np.ones(len(bits), bool))
+    a, b = prose(1, 40), prose(1, 40) + " more"
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (1, b + " words"), (3, a)], "doc_id bigint, text string").repartition(3)
+    sets = jaccard.sketch(docs, "doc_id", "text", 5).where(F.col("id") < 3).dropDuplicates(["f1"]).toPandas()
+    sets = sets[sets["n"] < sets["n"].max()]
+    classes = spark.createDataFrame([tuple(int(x) for x in r) for r in sets[["id", "f1", "f2", "n"]].to_numpy()], "id bigint, f1 bigint, f2 bigint, n bigint")
+    rows = jaccard.token_profiles(docs, classes, "doc_id", "text", 5, 4).collect()
+    assert {r.ref: (r.n, len(r.tokens) // 8) for r in rows} == {int(f): (int(n), int(n)) for f, n in zip(sets["f1"], sets["n"], strict=True)}
+
+
 def test_jaccard_awkward(awkward, empty):
     rows = awkward_rows()
     want = brute_components([shingles(t) for _, t, *_ in rows])
