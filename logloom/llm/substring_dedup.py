@@ -5,7 +5,8 @@ are judged on the input texts; matches stay within documents.
 
 1. Suffixes are dealt to buckets by content: by the gram of GRAM bytes with the least hash within a suffix's first WIDTH bytes.
    Suffixes with equal prefixes fall into the same bucket, neighbours mostly into the same one too, so they travel as
-   stretches of text. A first scan drops suffixes whose gram no other text has: they equal no other.
+   stretches of text. A gram's suffixes are of two sides: those that reach far before it share the bytes before it too, the others
+   the bytes behind it. A first scan drops the sides whose 35 bytes or more no other text has: these suffixes equal no other.
 2. A bucket is sorted by itself, in memory of bounded size (sorted_suffixes): the positions of a difference cover modulo
    PERIOD are ranked once, by doubling their depth; suffixes are sorted to a short depth of 16 bytes, and longer ties are
    resolved by the ranks at the distance where both suffixes have a cover position. No hash decides: all WIDTH bytes are compared.
@@ -13,10 +14,11 @@ are judged on the input texts; matches stay within documents.
    document's marks are united into removed runs. Rows grow with the repeated text and no faster.
 
 Equal texts are handled as one: their later copies lose all bytes (if there are WIDTH), and only the
-earliest is sampled and sorted. A scan's slice ships equal stretches once, from its least id; of a gram that two texts of a
-slice have, one entry is shipped. Grams that more than HOT slices have are hot: their suffixes are dealt one by one, by a hash of
-their first WIDTH bytes, and a task ships each string once, so the many different surroundings of a common passage don't meet in one task. Texts are
-shuffled only where they hold a shared gram (second scan) or a marked suffix (third scan).
+earliest is sampled and sorted. A scan's slice ships equal stretches once, from its least id, and a bucket sorts them once; of a gram
+whose sides two texts of a slice have, one entry is shipped. Grams that more than HOT samples share are hot: their sides are dealt by
+themselves. If more than HOT share a side, its suffixes are dealt one by one, by a hash of their first WIDTH bytes, and a task ships each
+string once, so the many different surroundings of a common passage don't meet in one task. Texts are
+shuffled only where they hold a shared side (second scan) or a marked suffix (third scan).
 
 Defined cases: null text counts as empty; a null id comes after all others; rows that repeat an id do not
 remove each other; texts under WIDTH bytes lose nothing; an empty table gives an empty result. Ids are bigint;
@@ -33,26 +35,52 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, eights, in_bitmap, lean, running, ship, slices, spans_hash, staged, with_hit
+from .common import FILTER_BITS, U64, bitmap_bytes, bitmap_of, buffers, eights, in_bitmap, lean, mixed, ship, slices, staged, with_hit
 
 WIDTH, GRAM = 50, 20
 #: Text bytes of a task's buckets, about (of all text; only shared stretches arrive), and of one bucket.
 BUCKET_BYTES, SORT_BYTES = 8_000_000, 1 << 21
 #: A difference cover: for any two residues some distance leads both into it.
 PERIOD, COVER = 7, (0, 1, 3)
-#: A gram in more slices than this is hot. Strings of hot grams that a task remembers, to ship each once.
-HOT, SEEN = 1024, 200_000
+#: Text bytes whose grams are hashed at once (they stay in a core's cache), and whose entries are shipped together.
+SCAN_BYTES, SHIP_BYTES = 1 << 17, 1 << 22
+#: A gram, or a side of it, that more samples share is hot: not all of its stretches fit one sort. Strings of hot sides that a task
+#: remembers, to ship each once.
+HOT, SEEN = SORT_BYTES // (2 * WIDTH), 200_000
 LAST = (1 << 63) - 1
+#: The place of an entry whose sides are known to be shared.
+KNOWN = 0xFFFFFFFF
 
 
-def samples(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """(position, name, first window, windows) of each sampled gram; positions are in data, windows within one text."""
+def _chained(parts) -> np.ndarray:
+    """One hash of several arrays of 8 bytes."""
+    out = None
+    for part in parts:
+        out = part * U64(0x9E3779B97F4A7C15) if out is None else np.multiply(np.bitwise_xor(out, part, out=out), U64(0x9E3779B97F4A7C15), out=out)
+        out ^= out >> U64(32)
+    return out
+
+
+def _steps(size: int) -> list[int]:
+    """Where 8 bytes are read of `size` (8 at least), so that none is left out."""
+    return [*range(0, size - 8, 8), size - 8]
+
+
+def _half(width: int, gram: int) -> int:
+    """Windows that begin at least this far before a gram are its left side (0), the others its right side (1)."""
+    return (width - gram) // 2
+
+
+def _samples(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     empty = (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < width:
         return empty
-    place = np.arange(len(data) - gram + 1, dtype=np.int64)
-    names = spans_hash(running(data), place, place + gram)
-    keys = (names & ~U64(0xFFFFFFFF)) | place.astype(U64)  # ties: the leftmost
+    eight = eights(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
+    n = len(data) - gram + 1
+    names = _chained(eight[o : o + n] for o in _steps(gram))
+    keys = names >> U64(32)
+    keys <<= U64(32)
+    keys |= np.arange(n, dtype=U64)  # ties: the leftmost
     reach, least = 1, keys
     span = width - gram + 1
     while reach * 2 <= span:
@@ -60,17 +88,40 @@ def samples(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
         reach *= 2
     if span > reach:
         least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-    inside = np.zeros(len(least), bool)
-    sizes = np.maximum(np.diff(offsets) - width + 1, 0)
-    starts = np.repeat(offsets[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inside[starts] = True
-    window = np.flatnonzero(inside)
-    if not len(window):
-        return empty
-    chosen = (least[window] & U64(0xFFFFFFFF)).astype(np.int64)
-    new = np.concatenate([[True], chosen[1:] != chosen[:-1]])
-    at = np.flatnonzero(new)
-    return chosen[at], names[chosen[at]], window[at], np.diff(np.append(at, len(window)))
+    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    place = (least[at] & U64(0xFFFFFFFF)).astype(np.int64)
+    text = np.searchsorted(offsets, place, "right") - 1
+    first = np.maximum(at, offsets[text])
+    count = np.minimum(np.append(at[1:], len(least)), offsets[text + 1] - width + 1) - first
+    some = count > 0  # windows and grams that go on in the next text are none
+    place, first, count = place[some], first[some], count[some]
+    name, half = names[place] << U64(32), _half(width, gram)  # the upper bits of a least hash are small
+    left = place - first >= half
+    right = place - first - count + 1 < half
+    for has, begin, size, shift in ((left, place - half, half + gram, 16), (right, place, width - half + 1, 0)):
+        begin = np.where(has, begin, 0)
+        tag = _chained(eight[np.minimum(begin + o, len(eight) - 1)] for o in _steps(size))
+        name |= np.where(has, (tag >> U64(32)) % U64(0xFFFF) + U64(1), U64(0)) << U64(shift)
+    return place, name, first, count
+
+
+def samples(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
+    """(position, name, first window, windows) of each sampled gram; positions are in data, windows within one text. A name is
+    32 bits of the gram's hash and 16 bits each of its left and right side's (0: no windows)."""
+    parts, start = [], 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SCAN_BYTES, "right")) - 1)
+        base = offsets[start]
+        place, name, first, count = _samples(data[base : offsets[end]], offsets[start : end + 1] - base, width, gram)
+        parts.append((place + base, name, first + base, count))
+        start = end
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else _samples(data, offsets, width, gram)
+
+
+def _side(name: np.ndarray, side: int) -> np.ndarray:
+    """Of a sample's name the gram and one side, 0 if the sample has no windows there."""
+    tag = (name >> U64(16 - 16 * side)) & U64(0xFFFF)
+    return np.where(tag > 0, (name & ~U64(0xFFFFFFFF)) | (tag << U64(1)) | U64(side), U64(0))
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +138,8 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
-    return ((name * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % buckets
+    """By the upper 32 bits of names: all samples of a gram share a bucket."""
+    return (mixed(name >> U64(32)) >> U64(33)).astype(np.int64) % buckets
 
 
 NAMES = "bucket bigint, kind int, refs binary, names binary, places binary"
@@ -100,40 +152,62 @@ def _cut(starts: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> list[pa
     return [pa.array([c[a:b].tobytes() for a, b in runs], pa.binary()) for c in columns]
 
 
+def _common(ref: np.ndarray, name: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Whether two texts have each entry's left and right side, or it is known of one entry; and how many samples have the side.
+    A known entry has a number of samples as its ref."""
+    weight = np.where(known, ref, 1)
+    hit, many = [np.zeros(len(name), bool) for _ in (0, 1)], [np.zeros(len(name), np.int64) for _ in (0, 1)]
+    cell = (name >> U64(max(32, 62 - len(name).bit_length()))).astype(np.int64)
+    some = np.flatnonzero((np.bincount(cell)[cell] > 1) | known)  # most grams are of one entry
+    for side in (0, 1):
+        key = _side(name[some], side)
+        own = some[key > 0]
+        key = key[key > 0]
+        order = np.argsort(key)
+        own = own[order]
+        at, size = _runs(key[order])
+        if len(own):
+            both = (np.maximum.reduceat(ref[own], at) != np.minimum.reduceat(ref[own], at)) | np.logical_or.reduceat(known[own], at)
+            hit[side][own], many[side][own] = np.repeat(both, size), np.repeat(np.add.reduceat(weight[own], at), size)
+    return hit, many
+
+
 def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (ref, places) from docs (ref, text): places, packed uint32, of each text's samples that another text has;
-    and rows (null, names): packed names of hot grams."""
+    """Rows (ref, places) from docs (ref, text): places, packed uint32, of each text's samples' sides that another text has (twice
+    the position, and 1 for the right side); and rows (null, names): packed names of hot grams and sides."""
 
     def entries(batches):
         for batch in batches:
-            for part, column in slices(batch, "text"):
+            for part, column in slices(batch, "text", SHIP_BYTES):
                 data, offsets = buffers(column)
                 place, name, _, _ = samples(data, offsets, width, gram)
+                text = np.searchsorted(offsets, place, "right") - 1
+                refs = np.asarray(part.column(0)).astype(np.int64)
+                once = np.zeros(len(refs), bool)  # copies of a text in this slice
+                once[np.unique(refs, return_index=True)[1]] = True
+                place, name, text = place[once[text]], name[once[text]], text[once[text]]
                 if not len(place):
                     continue
-                text = np.searchsorted(offsets, place, "right") - 1
-                ref = np.asarray(part.column(0)).astype(np.int64)[text]
-                place = (place - offsets[text]).astype(np.uint32)
-                order = np.lexsort((place, ref, name))
-                name, ref, place = name[order], ref[order], place[order]
-                once = np.concatenate([[True], (name[1:] != name[:-1]) | (ref[1:] != ref[:-1]) | (place[1:] != place[:-1])])
-                name, ref, place = name[once], ref[once], place[once]  # copies of a text in this slice
-                at, size = _runs(name)
-                known = np.repeat(np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at), size)
-                if known.any():  # two texts of this slice have it: the places are shared, whoever else has them
-                    order = np.lexsort((place[known], ref[known]))
-                    r, p = ref[known][order], place[known][order]
+                ref, place = refs[text], (place - offsets[text]).astype(np.uint32)
+                hit, _ = _common(ref, name, np.zeros(len(ref), bool))
+                r, p = (np.concatenate(x) for x in zip(*[(ref[h], place[h] * np.uint32(2) + np.uint32(side)) for side, h in enumerate(hit)], strict=True))
+                if len(r):  # two texts of this slice have it: the sides are shared, whoever else has them
+                    order = np.lexsort((p, r))
+                    r, p = r[order], p[order]
                     a, n = _runs(r)
                     none = pa.nulls(len(a), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(r[a] % buckets), pa.array(np.ones(len(a), np.int32)), *_cut(np.arange(len(a)), np.ones(len(a), np.int64), r[a]), none, *_cut(a, n, p)], NAME_COLUMNS)
-                first = np.zeros(len(name), bool)
-                first[at] = True
-                stay = np.flatnonzero(~known | first)  # the others learn of a known one from its first entry
+                known = (hit[0] | (_side(name, 0) == 0)) & (hit[1] | (_side(name, 1) == 0))
+                stay = ~known  # of known ones one entry each, so that others learn of them
+                _, at, size = np.unique(name[known], return_index=True, return_counts=True)
+                at = np.flatnonzero(known)[at]
+                stay[at], ref[at] = True, size
+                stay = np.flatnonzero(stay)
                 bucket = _bucket(name[stay], buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
                 stay, bucket = stay[order], bucket[order]
                 a, n = _runs(bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[a], pa.int64()), pa.array(np.zeros(len(a), np.int32)), *_cut(a, n, ref[stay], name[stay], np.where(known[stay], np.uint32(0xFFFFFFFF), place[stay]))], NAME_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a], pa.int64()), pa.array(np.zeros(len(a), np.int32)), *_cut(a, n, ref[stay], name[stay], np.where(known[stay], np.uint32(KNOWN), place[stay]))], NAME_COLUMNS)
 
     def shared(table: pa.Table) -> pa.Table:
         direct = table.filter(pa.compute.equal(table["kind"], 1))
@@ -141,32 +215,35 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
         packed = table.filter(pa.compute.equal(table["kind"], 0))
         if len(packed):
             ref, name, place = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("refs", np.int64), ("names", U64), ("places", np.uint32)))
-            order = np.argsort(name, kind="stable")
-            ref, name, place = ref[order], name[order], place[order]
-            at, size = _runs(name)
-            known = place == 0xFFFFFFFF
-            both = (np.maximum.reduceat(ref, at) != np.minimum.reduceat(ref, at)) | np.maximum.reduceat(known, at)
-            hot = name[at[size > HOT]]
+            known = place == KNOWN
+            hit, many = _common(ref, name, known)
+            some = hit[0] | hit[1] | known
+            gram_, at = np.unique(name[some] & ~U64(0xFFFFFFFF), return_inverse=True)
+            hot = np.concatenate([gram_[np.bincount(at, np.where(known, ref, 1)[some], len(gram_)) > HOT], *[np.unique(_side(name[h & (m > HOT)], side)) for side, (h, m) in enumerate(zip(hit, many, strict=True))]])
             if len(hot):
                 out.append(pa.table([pa.nulls(1, pa.int64()), pa.array([hot.tobytes()], pa.binary())], ["ref", "places"]))
-            keep = np.repeat(both, size) & ~known
-            ref, place = ref[keep], place[keep]
-            order = np.lexsort((place, ref))
-            ref, place = ref[order], place[order]
-            at, size = _runs(ref)
-            out.append(pa.table([pa.array(ref[at], pa.int64()), *_cut(at, size, place)], ["ref", "places"]))
+            r, p = (np.concatenate(x) for x in zip(*[(ref[h & ~known], place[h & ~known] * np.uint32(2) + np.uint32(side)) for side, h in enumerate(hit)], strict=True))
+            order = np.lexsort((p, r))
+            r, p = r[order], p[order]
+            at, size = _runs(r)
+            out.append(pa.table([pa.array(r[at], pa.int64()), *_cut(at, size, p)], ["ref", "places"]))
         return pa.concat_tables(out)
 
     return docs.mapInArrow(lean(entries), NAMES).groupBy("bucket").applyInArrow(lean(shared), "ref bigint, places binary")
 
 
+def _hot_bits(name: np.ndarray) -> np.ndarray:
+    """The bit (from 0) of a gram's or side's name in the bitmap of hot ones."""
+    return (mixed(name) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def hot_names(found: DataFrame) -> bytes:
-    """A bitmap (8 MB, whatever the input) of the names in the rows without ref. A false hit only deals suffixes one by one."""
+    """A bitmap (8 MB, whatever the input) of the names in the rows without ref. A false hit only deals sides, or suffixes, by themselves."""
 
     def names(batches):
         for batch in batches:
             name = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
-            yield pa.RecordBatch.from_arrays([pa.array((name >> U64(64 - FILTER_BITS)).astype(np.int64) + 1)], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hot_bits(name) + 1)], ["bit"])
 
     return bitmap_bytes(found.where("ref is null").select("places").mapInArrow(lean(names), "bit bigint"))
 
@@ -185,7 +262,7 @@ def _shifts() -> np.ndarray:
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal keys alike; the first key counts most."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), np.int32)
     new[:1] = 1
     for k in keys:
@@ -195,6 +272,23 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def _dense_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """_dense() of pairs of ranks; where both and a place fit 64 bits, plain numbers are sorted, which is several times faster."""
+    first, second = first.astype(U64), second.astype(U64)
+    n = len(first)
+    if n >= (1 << 21) - 1:
+        return _dense((first << U64(32)) | second)
+    packed = (first << U64(42)) | (second << U64(21)) | np.arange(n, dtype=U64)
+    packed.sort()
+    order = (packed & U64((1 << 21) - 1)).astype(np.int64)
+    packed >>= U64(21)
+    new = np.ones(n, np.int32)
+    new[1:] = packed[1:] != packed[:-1]
+    ranks = np.empty(n, np.int32)
+    ranks[order] = np.cumsum(new, dtype=np.int32)
+    return ranks
+
+
 def cover_ranks(eight: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Ranks of the suffixes at cover positions by their first `depth` (at least 8) bytes; 0 elsewhere."""
     place = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
@@ -203,7 +297,7 @@ def cover_ranks(eight: np.ndarray, n: int, depth: int) -> np.ndarray:
     ranks[place] = _dense(eight[place]) if reach == 8 else _dense(eight[place], eight[place + reach - 8])
     while reach < depth:
         step = min(reach // PERIOD * PERIOD, depth - reach)
-        ranks[place] = _dense((ranks[place].astype(U64) << U64(32)) | ranks[place + step].astype(U64))
+        ranks[place] = _dense_pairs(ranks[place], ranks[place + step])
         reach += step
     return ranks
 
@@ -245,50 +339,77 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
 
 STRETCHES = "bucket bigint, kind int, ids binary, refs binary, starts binary, windows binary, cells binary, texts binary"
 STRETCH_NAMES = ["bucket", "kind", "ids", "refs", "starts", "windows", "cells", "texts"]
-MARKED = "id bigint, ref bigint, start int, windows int"
+MARKED = "id bigint, ref bigint, marks binary"
+
+
+def _repeats(data: np.ndarray, eight: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, refs: np.ndarray, starts: np.ndarray, width: int, gram: int):
+    """Of stretches (count windows from first): whether an equal one here has a smaller id, and whether one is the same windows of the same text. Bytes decide."""
+    later, same = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    if len(first) < 2:
+        return later, same
+    size = count + width - 1
+    back = min(width, width - gram + 1) // 8 * 8 + 8  # the longest stretch has 2 * width - gram bytes
+    whole = _chained([count.astype(U64), *(eight[first + o] for o in _steps(width)), *(eight[first + size - o] for o in range(8, min(back, width) + 1, 8))])
+    order = np.argsort(whole)
+    _, n = _runs(whole[order])
+    some = order[np.repeat(n > 1, n)]
+    if not len(some):
+        return later, same
+    some = some[np.lexsort((starts[some], refs[some], ids[some], whole[some]))]
+    at, n = _runs(whole[some])
+    head = np.repeat(some[at], n)
+    raw = data.tobytes()
+    twin = np.array([raw[a : a + k] == raw[b : b + j] for a, k, b, j in zip(first[some].tolist(), size[some].tolist(), first[head].tolist(), size[head].tolist(), strict=True)])
+    later[some] = twin & (ids[some] > ids[head])
+    before = np.concatenate([some[:1], some[:-1]])
+    same[some] = twin & (some != head) & (ids[some] == ids[before]) & (refs[some] == refs[before]) & (starts[some] == starts[before]) & (whole[some] == whole[before]) & ~later[some]
+    return later, same
 
 
 def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (id, ref, start, windows) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has.
-    hot: a broadcast of hot_names()."""
+    """Rows (id, ref, marks) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has, packed uint32 pairs
+    (start, windows). hot: a broadcast of hot_names()."""
 
     def stretches(batches):
-        seen: dict[bytes, int] = {}  # strings of hot grams shipped by this task, with their least ids
+        seen: dict[bytes, int] = {}  # strings of hot sides shipped by this task, with their least ids
+        half = _half(width, gram)
         for batch in batches:
             lists = batch.schema.get_field_index("lists")
-            for part, column in slices(batch, "text"):
+            for part, column in slices(batch, "text", SHIP_BYTES):
                 data, offsets = buffers(column)
                 place, name, first, count = samples(data, offsets, width, gram)
                 text = np.searchsorted(offsets, place, "right") - 1
-                wanted = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + o for x, o in zip(part.column(lists).to_pylist(), offsets, strict=False)]
-                keep = np.isin(place, np.concatenate(wanted))
-                name, first, count, text = name[keep], first[keep], count[keep], text[keep]
-                sums = running(data)
-                alone = in_bitmap(hot.value, name >> U64(64 - FILTER_BITS))
-                if alone.any():  # hot grams: suffixes one by one
-                    c = count[alone]
-                    at = np.repeat(first[alone], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    name = np.concatenate([name[~alone], spans_hash(sums, at, at + width)])
-                    text = np.concatenate([text[~alone], np.repeat(text[alone], c)])
-                    first, count = np.concatenate([first[~alone], at]), np.concatenate([count[~alone], np.ones(len(at), np.int64)])
-                alone = np.arange(len(first)) >= len(first) - (c.sum() if alone.any() else 0)
+                wanted = np.zeros(2 * len(data), bool)
+                for x, o in zip(part.column(lists).to_pylist(), offsets.tolist(), strict=False):
+                    wanted[np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + 2 * o] = True
+                lefts = np.clip(place - half + 1 - first, 0, count)  # windows of the left side
+                take = [wanted[2 * place] & (lefts > 0), wanted[2 * place + 1] & (lefts < count)]
+                apart = in_bitmap(hot.value, _hot_bits(name & ~U64(0xFFFFFFFF)))
+                # A gram's sides travel together, unless it is hot.
+                whole = ~apart & (take[0] | take[1])
+                made = [(name[whole], text[whole], np.where(take[0], first, first + lefts)[whole], (lefts * take[0] + (count - lefts) * take[1])[whole])]
+                for side, begin, n in ((0, first, lefts), (1, first + lefts, count - lefts)):
+                    own = np.flatnonzero(apart & take[side])
+                    key = _side(name[own], side)
+                    alone = in_bitmap(hot.value, _hot_bits(key))
+                    made.append((mixed(key[~alone]), text[own[~alone]], begin[own[~alone]], n[own[~alone]]))
+                    own = own[alone]  # hot sides: suffixes one by one
+                    c = n[own]
+                    made.append((np.zeros(c.sum(), U64), np.repeat(text[own], c), np.repeat(begin[own] - np.cumsum(c) + c, c) + np.arange(c.sum()), np.ones(c.sum(), np.int64)))
+                alone = np.repeat([False, False, True, False, True], [len(m[0]) for m in made])
+                name, text, first, count = (np.concatenate(c) for c in zip(*made, strict=True))
+                if not len(first):
+                    continue
+                eight = eights(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
+                if alone.any():
+                    name[alone] = mixed(_chained(eight[first[alone] + o] for o in _steps(width)))
                 ids, refs = (np.asarray(part.column(i)).astype(np.int64)[text] for i in (0, 1))
                 start = first - offsets[text]
-                bucket, cell = _bucket(name, buckets), (name * U64(0xD6E8FEB86659FD93) >> U64(56)).astype(np.uint8)
+                bucket, cell = _bucket(name, buckets), (mixed(name >> U64(32)) & U64(0xFF)).astype(np.uint8)
                 # Equal stretches of this slice: the one with the least id goes on, later ids are marked here.
-                whole = spans_hash(sums, first, first + count + width - 1)
-                order = np.lexsort((ids, count, whole))
-                at, size = _runs(whole[order], count[order])
-                head = np.repeat(order[at], size)
+                later, same = _repeats(data, eight, first, count, ids, refs, start, width, gram)
                 raw = data.tobytes()
                 n = count + width - 1
-                twin = np.zeros(len(order), bool)
-                many = np.repeat(size > 1, size)
-                twin[many] = [raw[a : a + k] == raw[b : b + k] for a, b, k in zip(first[order][many].tolist(), first[head][many].tolist(), n[head][many].tolist(), strict=True)]
-                later = np.zeros(len(order), bool)
-                later[order] = twin & (ids[order] > ids[head])
-                same = np.zeros(len(order), bool)
-                same[order] = twin & (refs[order] == refs[head]) & (start[order] == start[head]) & (order != head)
                 for i in np.flatnonzero(alone & ~later & ~same).tolist():
                     string, id_ = raw[first[i] : first[i] + width], int(ids[i])
                     least = seen.get(string)
@@ -328,10 +449,15 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
                 lo = hi
                 if not len(own):
                     continue
+                bytes_, base = _gathered(data, begin[own], counts[own] + width - 1)
+                eight = eights(np.concatenate([bytes_, np.zeros(8, np.uint8)]), len(bytes_))
+                later, same = _repeats(bytes_, eight, base, counts[own], ids[own], refs[own], starts[own], width, gram)
+                if later.any():
+                    marks.append([x[own[later]] for x in (ids, refs, starts, counts)])
+                if later.any() or same.any():
+                    bytes_, base_ = _gathered(bytes_, base[~later & ~same], (counts[own] + width - 1)[~later & ~same])
+                    own, base = own[~later & ~same], base_
                 c = counts[own]
-                size = c + width - 1
-                base = np.cumsum(size) - size
-                bytes_ = data[np.repeat(begin[own] - base, size) + np.arange(size.sum())]
                 inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 order, classes = sorted_suffixes(bytes_, np.repeat(base, c) + inner, width)
                 owner = np.repeat(own, c)
@@ -344,15 +470,24 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
                     at = np.flatnonzero(new)
                     o = owner[hit[at]]
                     marks.append([ids[o], refs[o], starts[o] + inner[hit[at]], np.diff(np.append(at, len(hit)))])
-        columns = [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(4)]
-        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["id", "ref", "start", "windows"])
+        id_, ref, start, windows = (np.concatenate([m[i] for m in marks]).astype(np.int64) if marks else np.zeros(0, np.int64) for i in range(4))
+        order = np.lexsort((start, ref, id_))
+        pairs = np.stack([start[order], windows[order]], 1).astype(np.uint32)
+        at, size = _runs(id_[order], ref[order])
+        return pa.table([pa.array(id_[order][at]), pa.array(ref[order][at]), *_cut(at, size, pairs)], ["id", "ref", "marks"])
 
     return texts.mapInArrow(lean(stretches), STRETCHES).groupBy("bucket").applyInArrow(lean(sort_buckets), MARKED)
 
 
-def removed_runs(marks: list[dict], width: int) -> list[tuple[int, int]]:
-    """Maximal removed byte runs [start, end) of a text from its marked suffixes."""
-    pairs = np.array([(m["start"], m["windows"]) for m in marks], np.int64)
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte runs from each begin, one behind the other, and where they begin there."""
+    base = np.cumsum(size) - size
+    return data[np.repeat(begin - base, size) + np.arange(size.sum())], base
+
+
+def removed_runs(marks: list[bytes], width: int) -> list[tuple[int, int]]:
+    """Maximal removed byte runs [start, end) of a text from its marked suffixes, packed uint32 pairs (start, windows)."""
+    pairs = np.frombuffer(b"".join(marks), np.uint32).reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     ends = np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + width)
     new = np.concatenate([[True], pairs[1:, 0] > ends[:-1]])
@@ -360,12 +495,13 @@ def removed_runs(marks: list[dict], width: int) -> list[tuple[int, int]]:
     return list(zip(pairs[at, 0].tolist(), ends[np.append(at[1:], len(ends)) - 1].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Rows (own, ref, marks) for the earliest row of each distinct text that has marked windows; own: the id, null last."""
+def repeated_spans(docs: DataFrame, slim: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """Rows (own, ref, marks) for the earliest row of each distinct text that has marked windows; own: the id, null last.
+    slim: (own, ref, n_bytes) of all rows."""
     own = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     source = docs.select(own.alias("own"), F.xxhash64(text).alias("ref"), text.alias("text"))
-    sizes = staged(source.groupBy("ref", F.octet_length("text").cast("bigint").alias("n")).agg(F.min("own").alias("own")), "passages-texts")
+    sizes = staged(slim.groupBy("ref", F.col("n_bytes").alias("n")).agg(F.min("own").alias("own")), "passages-texts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, math.ceil(total / BUCKET_BYTES))
     found = shared_samples(source.select("ref", "text").where(F.octet_length("text") >= width), width, gram, buckets)
@@ -374,7 +510,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.where("ref is not null").groupBy("ref").agg(F.collect_list("places").alias("lists")).join(sizes, "ref").select("own", "ref", "lists")
     found = staged(found, "passages-samples")
     texts = _with_texts(source, found).select(F.col("own").alias("id"), "ref", "text", "lists")
-    marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list("marks").alias("marks"))
     return staged(marks.select(F.col("id").alias("own"), "ref", "marks"), "passages-marks")
 
 
@@ -391,7 +527,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     source = docs.select(own.alias("own"), F.xxhash64(text).alias("ref"), text.alias("text"))
     slim = staged(docs.select(F.col(f"`{id_col}`").alias("id"), own.alias("own"), F.xxhash64(text).alias("ref"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "passages-rows")
-    marks = repeated_spans(docs, id_col, text_col, width, gram)
+    marks = repeated_spans(docs, slim, id_col, text_col, width, gram)
 
     def cut(batches):
         for batch in batches:

@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import time
+import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,6 +346,111 @@ def test_passages_spans_on_documents(documents):
         assert hashlib.sha256(kept + data[at:]).hexdigest() == r.kept_sha256
 
 
+class Steps:
+    """Stands for a table: keeps the functions that are to run over it."""
+
+    def __init__(self):
+        self.found = []
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        self.found.append(f)
+        return self
+
+    def groupBy(self, *names):  # noqa: N802
+        return self
+
+    applyInArrow = mapInArrow  # noqa: N815
+
+
+def noise(r: random.Random, n: int) -> str:
+    return "".join(r.choices("bcdfghjklmnpqrstvwxz", k=n))
+
+
+def sampled_gram(r: random.Random) -> str:
+    """20 letters that are sampled wherever they stand."""
+    while True:
+        gram = noise(r, 20)
+        data = [np.frombuffer(f"{noise(r, 60)}{gram}{noise(r, 60)}".encode(), np.uint8) for _ in range(40)]
+        if all(60 in substring_dedup.samples(d, np.array([0, 140]), 50, 20)[0] for d in data):
+            return gram
+
+
+def passage_places(texts: list[str], at_once: int) -> pa.Table:
+    """Of shared_samples(): rows (ref, places), with the texts' numbers as ref."""
+    steps = Steps()
+    substring_dedup.shared_samples(steps, 50, 20, 1)
+    entries, shared = steps.found
+    batches = [pa.RecordBatch.from_pydict({"ref": pa.array(range(len(texts))[i : i + at_once], pa.int64()), "text": texts[i : i + at_once]}) for i in range(0, len(texts), at_once)]
+    return shared(pa.Table.from_batches(entries(iter(batches)))).filter(pa.compute.field("places") != b"")
+
+
+def passage_stretches(texts: list[str], found: pa.Table, at_once: int):
+    """Of marked_suffixes(): the stretches that are shipped, and the function that sorts a bucket."""
+    names = np.frombuffer(b"".join(p for r, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True) if r is None), np.uint64)
+    bits = np.zeros(1 << 26, bool)
+    bits[substring_dedup._hot_bits(names)] = True
+    steps, places = Steps(), [[p for r, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True) if r == i] for i in range(len(texts))]
+    substring_dedup.marked_suffixes(steps, types.SimpleNamespace(value=np.packbits(bits, bitorder="little").tobytes()), 50, 20, 1)
+    stretches, sort_buckets = steps.found
+    parts = [range(len(texts))[i : i + at_once] for i in range(0, len(texts), at_once)]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(p, pa.int64()), "ref": pa.array(p, pa.int64()), "text": [texts[i] for i in p], "lists": pa.array([places[i] for i in p], pa.list_(pa.binary()))}) for p in parts]
+    return pa.Table.from_batches(stretches(iter(batches))), sort_buckets
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 100])
+def test_passages_that_share_a_gram_only_stay_at_home(at_once):
+    r = random.Random(5)
+    gram = sampled_gram(r)
+    texts = [f"{noise(r, 60)}{gram}{noise(r, 60)}" for _ in range(100)]
+    assert len(passage_places(texts, at_once)) == 0  # all 100 have it sampled
+    # Two of them share what stands before it too: their left sides may travel, the right ones and the others not.
+    texts[3] = texts[3][:30] + texts[70][30:60] + texts[3][60:]
+    found = passage_places(texts, at_once)
+    places = {ref: set(np.frombuffer(p, np.uint32).tolist()) for ref, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True)}
+    assert set(places) == {3, 70} and all(120 in p and 121 not in p for p in places.values())
+
+
+@pytest.mark.parametrize("hot", [1000, 30, 2])
+def test_passages_of_a_hot_gram_travel_by_sides(monkeypatch, hot):
+    r = random.Random(6)
+    gram, ends = sampled_gram(r), [noise(r, 16) for _ in range(20)]
+    texts = [f"{noise(r, 60)}{gram}{end}{noise(r, 60)}" for end in ends for _ in range(4)]  # 80 have the gram, 4 each what follows
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    found = passage_places(texts, 10)
+    assert (None in found["ref"].to_pylist()) == (hot < 80)
+    shipped, sort_buckets = passage_stretches(texts, found, 10)
+    windows = np.frombuffer(b"".join(shipped["windows"].to_pylist()), np.uint16)
+    assert (windows > 1).all() if hot > 4 else (windows == 1).any()  # a side of 4 is not hot, so it doesn't travel suffix by suffix
+    marks = sort_buckets(shipped)
+    assert len(marks) == 0  # no 50 bytes are repeated
+
+
+def test_passages_equal_stretches_are_sorted_once(monkeypatch):
+    passage = noise(random.Random(7), 2_000)
+    texts = [passage, *(chr(32 + i) + passage + chr(32 + i) for i in range(1, 41))]
+    shipped, sort_buckets = passage_stretches(texts, passage_places(texts, 1), 1)
+    sizes, plain = [], substring_dedup.sorted_suffixes
+    monkeypatch.setattr(substring_dedup, "sorted_suffixes", lambda data, at, width: sizes.append(len(at)) or plain(data, at, width))
+    marks = sort_buckets(shipped)
+    assert sum(sizes) < 3 * 2_000  # of 41 times 1,951
+    packed = collections.defaultdict(list)
+    for ref, m in zip(marks["ref"].to_pylist(), marks["marks"].to_pylist(), strict=True):
+        packed[ref].append(m)
+    assert sorted(packed) == list(range(1, 41)) and all(substring_dedup.removed_runs(m, 50) == [(1, 2_001)] for m in packed.values())
+
+
+@pytest.mark.parametrize("hot", [12, 3])
+def test_passages_with_hot_grams_and_sides_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    r = random.Random(8)
+    gram, ends = sampled_gram(r), [noise(r, 33) for _ in range(6)]
+    rows = [(i, f"{noise(r, 40)}{gram}{r.choice(ends)[: r.randrange(10, 34)]}{noise(r, 40)}") for i in range(60)]
+    rows += [(100 + i, rows[i][1][r.randrange(30) :] + noise(r, 20)) for i in range(20)] + [(90, rows[5][1]), (4, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted((x.id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in substring_dedup.strip_repeats(docs).collect())
+    assert got == sorted(zip([i for i, _ in rows], brute_passages(rows), strict=True))
+
+
 # ----------------------------------------------------------------------------------- classifiers
 
 
