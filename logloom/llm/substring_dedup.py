@@ -339,7 +339,7 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
 
 STRETCHES = "bucket bigint, kind int, ids binary, refs binary, starts binary, windows binary, cells binary, texts binary"
 STRETCH_NAMES = ["bucket", "kind", "ids", "refs", "starts", "windows", "cells", "texts"]
-MARKED = "id bigint, ref bigint, marks binary"
+MARKED = "id bigint, ref bigint, mark bigint"
 
 
 def _repeats(data: np.ndarray, eight: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, refs: np.ndarray, starts: np.ndarray, width: int, gram: int):
@@ -367,8 +367,8 @@ def _repeats(data: np.ndarray, eight: np.ndarray, first: np.ndarray, count: np.n
 
 
 def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (id, ref, marks) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has, packed uint32 pairs
-    (start, windows). hot: a broadcast of hot_names()."""
+    """Rows (id, ref, mark) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has, as
+    start * 2**32 + windows. hot: a broadcast of hot_names()."""
 
     def stretches(batches):
         seen: dict[bytes, int] = {}  # strings of hot sides shipped by this task, with their least ids
@@ -471,10 +471,7 @@ def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int)
                     o = owner[hit[at]]
                     marks.append([ids[o], refs[o], starts[o] + inner[hit[at]], np.diff(np.append(at, len(hit)))])
         id_, ref, start, windows = (np.concatenate([m[i] for m in marks]).astype(np.int64) if marks else np.zeros(0, np.int64) for i in range(4))
-        order = np.lexsort((start, ref, id_))
-        pairs = np.stack([start[order], windows[order]], 1).astype(np.uint32)
-        at, size = _runs(id_[order], ref[order])
-        return pa.table([pa.array(id_[order][at]), pa.array(ref[order][at]), *_cut(at, size, pairs)], ["id", "ref", "marks"])
+        return pa.table([pa.array(id_), pa.array(ref), pa.array(start << 32 | windows)], ["id", "ref", "mark"])
 
     return texts.mapInArrow(lean(stretches), STRETCHES).groupBy("bucket").applyInArrow(lean(sort_buckets), MARKED)
 
@@ -485,10 +482,10 @@ def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     return data[np.repeat(begin - base, size) + np.arange(size.sum())], base
 
 
-def removed_runs(marks: list[bytes], width: int) -> list[tuple[int, int]]:
-    """Maximal removed byte runs [start, end) of a text from its marked suffixes, packed uint32 pairs (start, windows)."""
-    pairs = np.frombuffer(b"".join(marks), np.uint32).reshape(-1, 2).astype(np.int64)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+def removed_runs(marks: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal removed byte runs [start, end) of a text from its marked suffixes, start * 2**32 + windows."""
+    marks = np.sort(marks)
+    pairs = np.stack([marks >> 32, marks & 0xFFFFFFFF], 1)
     ends = np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + width)
     new = np.concatenate([[True], pairs[1:, 0] > ends[:-1]])
     at = np.flatnonzero(new)
@@ -510,7 +507,7 @@ def repeated_spans(docs: DataFrame, slim: DataFrame, id_col: str = "doc_id", tex
     found = found.where("ref is not null").groupBy("ref").agg(F.collect_list("places").alias("lists")).join(sizes, "ref").select("own", "ref", "lists")
     found = staged(found, "passages-samples")
     texts = _with_texts(source, found).select(F.col("own").alias("id"), "ref", "text", "lists")
-    marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list("marks").alias("marks"))
+    marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list("mark").alias("marks"))
     return staged(marks.select(F.col("id").alias("own"), "ref", "marks"), "passages-marks")
 
 
@@ -532,8 +529,9 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def cut(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for t, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data, runs = t.encode(), removed_runs(m, width)
+            offsets, marked = batch.column(3).offsets.to_pylist(), np.asarray(batch.column(3).values)
+            for t, a, b in zip(batch.column(2).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                data, runs = t.encode(), removed_runs(marked[a:b], width)
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
                     kept.update(data[at:a])

@@ -433,10 +433,10 @@ def test_passages_equal_stretches_are_sorted_once(monkeypatch):
     monkeypatch.setattr(substring_dedup, "sorted_suffixes", lambda data, at, width: sizes.append(len(at)) or plain(data, at, width))
     marks = sort_buckets(shipped)
     assert sum(sizes) < 3 * 2_000  # of 41 times 1,951
-    packed = collections.defaultdict(list)
-    for ref, m in zip(marks["ref"].to_pylist(), marks["marks"].to_pylist(), strict=True):
-        packed[ref].append(m)
-    assert sorted(packed) == list(range(1, 41)) and all(substring_dedup.removed_runs(m, 50) == [(1, 2_001)] for m in packed.values())
+    found = collections.defaultdict(list)
+    for ref, m in zip(marks["ref"].to_pylist(), marks["mark"].to_pylist(), strict=True):
+        found[ref].append(m)
+    assert sorted(found) == list(range(1, 41)) and all(substring_dedup.removed_runs(np.array(m), 50) == [(1, 2_001)] for m in found.values())
 
 
 @pytest.mark.parametrize("hot", [12, 3])
