@@ -173,8 +173,15 @@ def _common(ref: np.ndarray, name: np.ndarray, known: np.ndarray) -> tuple[list[
 
 
 def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (ref, places) from docs (ref, text): places, packed uint32, of each text's samples' sides that another text has (twice
-    the position, and 1 for the right side); and rows (null, names): packed names of hot grams and sides."""
+    """Rows (part, refs, places) from docs (ref, text): packed refs of texts, dealt to parts, and packed uint32 places of their samples'
+    sides that another text has (twice the position, and 1 for the right side); and rows with names of hot grams and sides as places, part null."""
+    parts = max(16, buckets // 16)
+
+    def packed_parts(r, p):
+        part = (r % parts).astype(np.int64)
+        order = np.lexsort((p, r, part))
+        a, n = _runs(part[order])
+        return pa.array(part[order][a]), *_cut(a, n, r[order], p[order])
 
     def entries(batches):
         for batch in batches:
@@ -192,11 +199,8 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
                 hit, _ = _common(ref, name, np.zeros(len(ref), bool))
                 r, p = (np.concatenate(x) for x in zip(*[(ref[h], place[h] * np.uint32(2) + np.uint32(side)) for side, h in enumerate(hit)], strict=True))
                 if len(r):  # two texts of this slice have it: the sides are shared, whoever else has them
-                    order = np.lexsort((p, r))
-                    r, p = r[order], p[order]
-                    a, n = _runs(r)
-                    none = pa.nulls(len(a), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(r[a] % buckets), pa.array(np.ones(len(a), np.int32)), *_cut(np.arange(len(a)), np.ones(len(a), np.int64), r[a]), none, *_cut(a, n, p)], NAME_COLUMNS)
+                    part, r, p = packed_parts(r, p)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(np.ones(len(part), np.int32)), r, pa.nulls(len(part), pa.binary()), p], NAME_COLUMNS)
                 known = (hit[0] | (_side(name, 0) == 0)) & (hit[1] | (_side(name, 1) == 0))
                 stay = ~known  # of known ones one entry each, so that others learn of them
                 _, at, size = np.unique(name[known], return_index=True, return_counts=True)
@@ -211,7 +215,7 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
 
     def shared(table: pa.Table) -> pa.Table:
         direct = table.filter(pa.compute.equal(table["kind"], 1))
-        out = [pa.table([pa.array([int.from_bytes(r, "little", signed=True) for r in direct["refs"].to_pylist()], pa.int64()), direct["places"].combine_chunks()], ["ref", "places"])]
+        out = [direct.select(["bucket", "refs", "places"]).rename_columns(["part", "refs", "places"])]
         packed = table.filter(pa.compute.equal(table["kind"], 0))
         if len(packed):
             ref, name, place = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("refs", np.int64), ("names", U64), ("places", np.uint32)))
@@ -221,15 +225,20 @@ def shared_samples(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
             gram_, at = np.unique(name[some] & ~U64(0xFFFFFFFF), return_inverse=True)
             hot = np.concatenate([gram_[np.bincount(at, np.where(known, ref, 1)[some], len(gram_)) > HOT], *[np.unique(_side(name[h & (m > HOT)], side)) for side, (h, m) in enumerate(zip(hit, many, strict=True))]])
             if len(hot):
-                out.append(pa.table([pa.nulls(1, pa.int64()), pa.array([hot.tobytes()], pa.binary())], ["ref", "places"]))
+                out.append(pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([hot.tobytes()], pa.binary())], ["part", "refs", "places"]))
             r, p = (np.concatenate(x) for x in zip(*[(ref[h & ~known], place[h & ~known] * np.uint32(2) + np.uint32(side)) for side, h in enumerate(hit)], strict=True))
-            order = np.lexsort((p, r))
-            r, p = r[order], p[order]
-            at, size = _runs(r)
-            out.append(pa.table([pa.array(r[at], pa.int64()), *_cut(at, size, p)], ["ref", "places"]))
+            out.append(pa.table([*packed_parts(r, p)], ["part", "refs", "places"]))
         return pa.concat_tables(out)
 
-    return docs.mapInArrow(lean(entries), NAMES).groupBy("bucket").applyInArrow(lean(shared), "ref bigint, places binary")
+    return docs.mapInArrow(lean(entries), NAMES).groupBy("bucket").applyInArrow(lean(shared), "part bigint, refs binary, places binary")
+
+
+def places_of(table: pa.Table) -> pa.Table:
+    """A row (ref, places) for each text of a part."""
+    ref, place = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("refs", np.int64), ("places", np.uint32)))
+    order = np.lexsort((place, ref))
+    at, size = _runs(ref[order])
+    return pa.table([pa.array(ref[order][at]), *_cut(at, size, place[order])], ["ref", "places"])
 
 
 def _hot_bits(name: np.ndarray) -> np.ndarray:
@@ -238,14 +247,14 @@ def _hot_bits(name: np.ndarray) -> np.ndarray:
 
 
 def hot_names(found: DataFrame) -> bytes:
-    """A bitmap (8 MB, whatever the input) of the names in the rows without ref. A false hit only deals sides, or suffixes, by themselves."""
+    """A bitmap (8 MB, whatever the input) of the names in the rows without part. A false hit only deals sides, or suffixes, by themselves."""
 
     def names(batches):
         for batch in batches:
             name = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
             yield pa.RecordBatch.from_arrays([pa.array(_hot_bits(name) + 1)], ["bit"])
 
-    return bitmap_bytes(found.where("ref is null").select("places").mapInArrow(lean(names), "bit bigint"))
+    return bitmap_bytes(found.where("part is null").select("places").mapInArrow(lean(names), "bit bigint"))
 
 
 # ------------------------------------------------------------------------- suffix sorting of a bucket
@@ -367,21 +376,21 @@ def _repeats(data: np.ndarray, eight: np.ndarray, first: np.ndarray, count: np.n
 
 
 def marked_suffixes(texts: DataFrame, hot, width: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (id, ref, mark) from (id, ref, text, lists): runs of suffixes whose first bytes a text with a smaller id has, as
+    """Rows (id, ref, mark) from (id, ref, text, places): runs of suffixes whose first bytes a text with a smaller id has, as
     start * 2**32 + windows. hot: a broadcast of hot_names()."""
 
     def stretches(batches):
         seen: dict[bytes, int] = {}  # strings of hot sides shipped by this task, with their least ids
         half = _half(width, gram)
         for batch in batches:
-            lists = batch.schema.get_field_index("lists")
+            places = batch.schema.get_field_index("places")
             for part, column in slices(batch, "text", SHIP_BYTES):
                 data, offsets = buffers(column)
                 place, name, first, count = samples(data, offsets, width, gram)
                 text = np.searchsorted(offsets, place, "right") - 1
                 wanted = np.zeros(2 * len(data), bool)
-                for x, o in zip(part.column(lists).to_pylist(), offsets.tolist(), strict=False):
-                    wanted[np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + 2 * o] = True
+                for x, o in zip(part.column(places).to_pylist(), offsets.tolist(), strict=False):
+                    wanted[np.frombuffer(x, np.uint32).astype(np.int64) + 2 * o] = True
                 lefts = np.clip(place - half + 1 - first, 0, count)  # windows of the left side
                 take = [wanted[2 * place] & (lefts > 0), wanted[2 * place + 1] & (lefts < count)]
                 apart = in_bitmap(hot.value, _hot_bits(name & ~U64(0xFFFFFFFF)))
@@ -504,9 +513,10 @@ def repeated_spans(docs: DataFrame, slim: DataFrame, id_col: str = "doc_id", tex
     found = shared_samples(source.select("ref", "text").where(F.octet_length("text") >= width), width, gram, buckets)
     found = staged(found, "passages-grams")
     hot = docs.sparkSession.sparkContext.broadcast(hot_names(found))
-    found = found.where("ref is not null").groupBy("ref").agg(F.collect_list("places").alias("lists")).join(sizes, "ref").select("own", "ref", "lists")
+    found = found.where("part is not null").groupBy("part").applyInArrow(lean(places_of), "ref bigint, places binary")
+    found = found.join(sizes, "ref").select("own", "ref", "places")
     found = staged(found, "passages-samples")
-    texts = _with_texts(source, found).select(F.col("own").alias("id"), "ref", "text", "lists")
+    texts = _with_texts(source, found).select(F.col("own").alias("id"), "ref", "text", "places")
     marks = marked_suffixes(texts, hot, width, gram, buckets).groupBy("id", "ref").agg(F.collect_list("mark").alias("marks"))
     return staged(marks.select(F.col("id").alias("own"), "ref", "marks"), "passages-marks")
 

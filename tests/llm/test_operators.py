@@ -375,25 +375,26 @@ def sampled_gram(r: random.Random) -> str:
             return gram
 
 
-def passage_places(texts: list[str], at_once: int) -> pa.Table:
-    """Of shared_samples(): rows (ref, places), with the texts' numbers as ref."""
+def passage_places(texts: list[str], at_once: int) -> tuple[dict, list]:
+    """Of shared_samples(): the places by text, with the texts' numbers as ref, and the hot names."""
     steps = Steps()
     substring_dedup.shared_samples(steps, 50, 20, 1)
     entries, shared = steps.found
     batches = [pa.RecordBatch.from_pydict({"ref": pa.array(range(len(texts))[i : i + at_once], pa.int64()), "text": texts[i : i + at_once]}) for i in range(0, len(texts), at_once)]
-    return shared(pa.Table.from_batches(entries(iter(batches)))).filter(pa.compute.field("places") != b"")
+    found = shared(pa.Table.from_batches(entries(iter(batches))))
+    rows = substring_dedup.places_of(found.filter(pa.compute.is_valid(found["part"]))).to_pylist()
+    return {r["ref"]: r["places"] for r in rows}, found.filter(pa.compute.is_null(found["part"]))["places"].to_pylist()
 
 
-def passage_stretches(texts: list[str], found: pa.Table, at_once: int):
+def passage_stretches(texts: list[str], places: dict, hot: list, at_once: int):
     """Of marked_suffixes(): the stretches that are shipped, and the function that sorts a bucket."""
-    names = np.frombuffer(b"".join(p for r, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True) if r is None), np.uint64)
-    bits = np.zeros(1 << 26, bool)
-    bits[substring_dedup._hot_bits(names)] = True
-    steps, places = Steps(), [[p for r, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True) if r == i] for i in range(len(texts))]
+    steps, bits = Steps(), np.zeros(1 << 26, bool)
+    bits[substring_dedup._hot_bits(np.frombuffer(b"".join(hot), np.uint64))] = True
     substring_dedup.marked_suffixes(steps, types.SimpleNamespace(value=np.packbits(bits, bitorder="little").tobytes()), 50, 20, 1)
     stretches, sort_buckets = steps.found
-    parts = [range(len(texts))[i : i + at_once] for i in range(0, len(texts), at_once)]
-    batches = [pa.RecordBatch.from_pydict({"id": pa.array(p, pa.int64()), "ref": pa.array(p, pa.int64()), "text": [texts[i] for i in p], "lists": pa.array([places[i] for i in p], pa.list_(pa.binary()))}) for p in parts]
+    own = sorted(places)
+    parts = [own[i : i + at_once] for i in range(0, len(own), at_once)]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(p, pa.int64()), "ref": pa.array(p, pa.int64()), "text": [texts[i] for i in p], "places": [places[i] for i in p]}) for p in parts]
     return pa.Table.from_batches(stretches(iter(batches))), sort_buckets
 
 
@@ -402,11 +403,10 @@ def test_passages_that_share_a_gram_only_stay_at_home(at_once):
     r = random.Random(5)
     gram = sampled_gram(r)
     texts = [f"{noise(r, 60)}{gram}{noise(r, 60)}" for _ in range(100)]
-    assert len(passage_places(texts, at_once)) == 0  # all 100 have it sampled
+    assert passage_places(texts, at_once) == ({}, [])  # all 100 have it sampled
     # Two of them share what stands before it too: their left sides may travel, the right ones and the others not.
     texts[3] = texts[3][:30] + texts[70][30:60] + texts[3][60:]
-    found = passage_places(texts, at_once)
-    places = {ref: set(np.frombuffer(p, np.uint32).tolist()) for ref, p in zip(found["ref"].to_pylist(), found["places"].to_pylist(), strict=True)}
+    places = {ref: set(np.frombuffer(p, np.uint32).tolist()) for ref, p in passage_places(texts, at_once)[0].items()}
     assert set(places) == {3, 70} and all(120 in p and 121 not in p for p in places.values())
 
 
@@ -416,9 +416,9 @@ def test_passages_of_a_hot_gram_travel_by_sides(monkeypatch, hot):
     gram, ends = sampled_gram(r), [noise(r, 16) for _ in range(20)]
     texts = [f"{noise(r, 60)}{gram}{end}{noise(r, 60)}" for end in ends for _ in range(4)]  # 80 have the gram, 4 each what follows
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    found = passage_places(texts, 10)
-    assert (None in found["ref"].to_pylist()) == (hot < 80)
-    shipped, sort_buckets = passage_stretches(texts, found, 10)
+    places, names = passage_places(texts, 10)
+    assert bool(names) == (hot < 80)
+    shipped, sort_buckets = passage_stretches(texts, places, names, 10)
     windows = np.frombuffer(b"".join(shipped["windows"].to_pylist()), np.uint16)
     assert (windows > 1).all() if hot > 4 else (windows == 1).any()  # a side of 4 is not hot, so it doesn't travel suffix by suffix
     marks = sort_buckets(shipped)
@@ -428,7 +428,7 @@ def test_passages_of_a_hot_gram_travel_by_sides(monkeypatch, hot):
 def test_passages_equal_stretches_are_sorted_once(monkeypatch):
     passage = noise(random.Random(7), 2_000)
     texts = [passage, *(chr(32 + i) + passage + chr(32 + i) for i in range(1, 41))]
-    shipped, sort_buckets = passage_stretches(texts, passage_places(texts, 1), 1)
+    shipped, sort_buckets = passage_stretches(texts, *passage_places(texts, 1), 1)
     sizes, plain = [], substring_dedup.sorted_suffixes
     monkeypatch.setattr(substring_dedup, "sorted_suffixes", lambda data, at, width: sizes.append(len(at)) or plain(data, at, width))
     marks = sort_buckets(shipped)
